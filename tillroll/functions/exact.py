@@ -42,11 +42,11 @@ def safe_divide(num: Column, den: Column, alternate: float = 0.0) -> Column:
     )
 
 
-def cents_to_amount(cents: Column) -> Column:
-    """Integer cents as DECIMAL(18,2)."""
-    return (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(
-        "decimal(18,2)"
-    )
+def cents_to_amount(cents: Column, digits: int = 15) -> Column:
+    """Integer cents as DECIMAL(18,2). Up to 15 digits the product stays a decimal
+    that Spark holds in a long."""
+    exact = cents.cast(f"decimal({digits},0)") * F.lit("0.01").cast("decimal(2,2)")
+    return exact.cast("decimal(18,2)")
 
 
 def decimals_to_double(df):

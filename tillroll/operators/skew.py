@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # A key is sure to be seen when it holds more than about 1/3000 of the rows; at most
 # MAX_HOT keys can, so the list that reaches the driver is bounded.
@@ -106,3 +106,23 @@ def salted_join(
         ),
     )
     return salted_rows.join(salted_keys, [key, "_salt"], how).drop("_salt")
+
+
+def with_group_values(
+    df: DataFrame, key: str, hot: HotKeys, values: dict[str, Column]
+) -> DataFrame:
+    """Attach aggregates of each row's ``key`` group to the row.
+
+    Ordinary groups fit in a window, which moves the rows once. A hot group is
+    aggregated map-side to a single row and broadcast (at most MAX_HOT rows), so its
+    own rows are not moved at all.
+    """
+    over = W.partitionBy(key)
+    windowed = lambda rows: rows.withColumns({n: v.over(over) for n, v in values.items()})
+    if not hot:
+        return windowed(df)
+    is_hot = hot.holds(F.col(key))
+    hot_rows = df.where(is_hot)
+    per_key = hot_rows.groupBy(key).agg(*[v.alias(n) for n, v in values.items()])
+    attached = hot_rows.join(F.broadcast(per_key), key)
+    return windowed(df.where(~is_hot)).unionByName(attached)

@@ -31,10 +31,12 @@ _BLOCKS = 16
 
 @dataclass(frozen=True)
 class BasketInput:
-    """``lines(order_id, product_id)`` of any status, ``orders(order_id)`` that
-    count, and ``products(product_id, product_name, category)``."""
+    """``lines(order_id, product_id)`` of any status, ``keys(order_id)`` of the orders
+    that count, those orders themselves, and ``products(product_id, product_name,
+    category)``."""
 
     lines: DataFrame
+    keys: DataFrame
     orders: DataFrame
     products: DataFrame
     hot_orders: HotKeys
@@ -43,7 +45,8 @@ class BasketInput:
 def product_baskets(t: RetailTables) -> BasketInput:
     return BasketInput(
         t.order_items.select("order_id", "product_id"),
-        t.completed().select("order_id"),
+        t.completed_keys(),
+        t.completed(),
         t.products.select("product_id", "product_name", "category"),
         t.hot_orders,
     )
@@ -135,7 +138,7 @@ def _affinity(
 
     lines = salted_join(
         source.lines,
-        source.orders,
+        source.keys,
         "order_id",
         source.hot_orders,
         ["product_id"],

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.functions.dates import month_label, month_number
 from tillroll.functions.exact import safe_divide
-from tillroll.operators.skew import salted_join
+from tillroll.operators.skew import salted_join, with_group_values
 from tillroll.sources.calendar import calendar
 from tillroll.sources.schemas import COMPLETED
 from tillroll.sources.tables import RetailTables
@@ -21,13 +21,18 @@ def analytics_master(t: RetailTables) -> DataFrame:
     products = t.products.withColumnsRenamed(
         {"unit_price": "unit_price_y", "unit_cost": "unit_cost_y"}
     )
-    orders = t.sequenced_orders().drop("line_count")
-    by_line = ["item_id", "product_id"]
-    wide = salted_join(items, orders, "order_id", t.hot_orders, by_line)
-    wide = salted_join(
-        wide, t.customers, "customer_id", t.hot_customers, ["order_id", *by_line]
+    # The sequence leaves orders partitioned by customer, so customers join there,
+    # at order grain. Lines meet their product while they are still narrow and then
+    # their order: each side is moved once per join, the wide rows never.
+    orders = salted_join(
+        t.sequenced_orders().drop("line_count"),
+        t.customers,
+        "customer_id",
+        t.hot_customers,
+        ["order_id"],
     )
-    wide = salted_join(wide, products, "product_id", t.hot_products, ["order_id", "item_id"])
+    sold = salted_join(items, products, "product_id", t.hot_products, ["item_id"])
+    wide = salted_join(sold, orders, "order_id", t.hot_orders, ["item_id", "product_id"])
     return wide.select(
         "item_id",
         "order_id",
@@ -118,19 +123,16 @@ def rolling_sales(t: RetailTables, days: int = 30) -> DataFrame:
     )
 
 
-def _with_customer_values(t: RetailTables, *values) -> DataFrame:
+def _with_customer_values(t: RetailTables, **values: Column) -> DataFrame:
     """Orders of every status with aggregates of their customer attached."""
-    per_customer = t.orders.groupBy("customer_id").agg(*values)
     orders = t.orders.select("order_id", "customer_id", "order_date_only", "total_amount")
-    return salted_join(
-        orders, per_customer, "customer_id", t.hot_customers, ["order_id"]
-    )
+    return with_group_values(orders, "customer_id", t.hot_customers, values)
 
 
 def bi_cohort_measures(t: RetailTables) -> DataFrame:
     first = F.col("first_order_date")
     return _with_customer_values(
-        t, F.min("order_date_only").alias("first_order_date")
+        t, first_order_date=F.min("order_date_only")
     ).select(
         "order_id",
         "customer_id",
@@ -159,10 +161,10 @@ def lod_customer_fields(t: RetailTables) -> DataFrame:
     month = F.trunc("order_date_only", "month")
     return _with_customer_values(
         t,
-        F.min(month).alias("cohort_month"),
-        F.sum("total_amount").alias("customer_ltv"),
-        F.count("*").alias("order_frequency"),
-        F.max("order_date_only").alias("last_order_date"),
+        cohort_month=F.min(month),
+        customer_ltv=F.sum("total_amount"),
+        order_frequency=F.count("*"),
+        last_order_date=F.max("order_date_only"),
     ).select(
         "order_id",
         "customer_id",

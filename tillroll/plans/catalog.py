@@ -24,7 +24,8 @@ def _brand_baskets(t) -> basket.BasketInput:
     name = F.col("product_id")
     return basket.BasketInput(
         lines.join(brand, "p_partkey").select("order_id", "product_id"),
-        t.completed().select("order_id"),
+        t.completed_keys(),
+        t.completed(),
         brand.select("product_id")
         .distinct()
         .select(name, name.alias("product_name"), F.lit("Brand").alias("category")),

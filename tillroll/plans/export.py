@@ -32,6 +32,9 @@ class _CompletedOnce(RetailTables):
     def completed(self) -> DataFrame:
         return self._completed
 
+    def completed_keys(self) -> DataFrame:
+        return self._t.completed_keys()
+
     def orders_with(self, status: str) -> DataFrame:
         return self._completed.where(F.col("order_status") == status)
 
@@ -119,4 +122,4 @@ def orders_through_parquet(t: RetailTables) -> DataFrame:
     # rebalance: few files per month, yet a large month is split over tasks
     by_month = orders.select("*", month).hint("rebalance", F.col("order_month"))
     sinks.write_parquet(by_month, path, ["order_month"])
-    return spark.read.schema(orders.schema).parquet(path)
+    return spark.read.parquet(path).select(*orders.columns)

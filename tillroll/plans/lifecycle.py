@@ -76,22 +76,24 @@ def _reached(t: RetailTables, max_milestone: int) -> DataFrame:
             .groupBy("k")
             .agg(F.sum("customers").alias("reached"))
         )
-    # The k-th order is not after the last completed one. Both sides are small per
-    # customer before they are shuffled: k rows and one row.
-    last = (
-        t.completed()
-        .groupBy("customer_id")
-        .agg(F.max(F.struct(*ORDER_OF_PURCHASE)).alias("last_completed"))
+    # Some completed order has ordinal >= k unless all of them are among the first
+    # k - 1. Both sides are small per customer before they are shuffled: at most
+    # max_milestone rows, and one count.
+    in_total = t.completed().groupBy("customer_id").agg(F.count("*").alias("in_total"))
+    earlier = (
+        W.partitionBy("customer_id")
+        .orderBy(*ORDER_OF_PURCHASE)
+        .rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         t.first_orders(max_milestone)
         .select(
             "customer_id",
             F.col("order_sequence").alias("k"),
-            F.struct(*ORDER_OF_PURCHASE).alias("position"),
+            F.count(F.when(_is_completed(), 1)).over(earlier).alias("before"),
         )
-        .join(last, "customer_id")
-        .where(F.col("position") <= F.col("last_completed"))
+        .join(in_total, "customer_id")
+        .where(F.col("before") < F.col("in_total"))
         .groupBy("k")
         .agg(F.count("*").alias("reached"))
     )

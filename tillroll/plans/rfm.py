@@ -179,15 +179,18 @@ NEW_DAYS, NEW_ORDERS = 60, 2
 
 def threshold_segments(t: RetailTables, snapshot: dt.date | None = None) -> DataFrame:
     """Segments by fixed thresholds over orders of every status, per customer."""
-    per_customer = t.orders.groupBy("customer_id").agg(
-        F.max("order_date_only").alias("last_order_date"),
-        F.count("*").alias("order_frequency"),
-        F.sum("total_amount").alias("customer_ltv"),
+    # written at customer grain, so the facts are read once for both uses
+    per_customer = materialize(
+        t.orders.groupBy("customer_id").agg(
+            F.max("order_date_only").alias("last_order_date"),
+            F.count("*").alias("order_frequency"),
+            F.sum("total_amount").alias("customer_ltv"),
+        ),
+        "customers",
     )
-    if snapshot:
-        last = F.lit(snapshot).cast("date")
-    else:
-        last = t.orders.select(F.max("order_date_only")).scalar()
+    if snapshot is None:
+        snapshot = per_customer.agg(F.max("last_order_date")).first()[0]
+    last = F.lit(snapshot).cast("date")
     days, orders, spend = (
         F.col(c) for c in ("recency_days", "order_frequency", "customer_ltv")
     )

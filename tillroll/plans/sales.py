@@ -104,7 +104,7 @@ def category_performance(t: RetailTables) -> DataFrame:
     )
     sold = salted_join(
         items,
-        t.completed().select("order_id"),
+        t.completed_keys(),
         "order_id",
         t.hot_orders,
         ["product_id"],

@@ -41,6 +41,10 @@ class RetailTables:
     def completed(self) -> DataFrame:
         return self.orders_with(COMPLETED)
 
+    def completed_keys(self) -> DataFrame:
+        """``order_id`` of completed orders, to restrict lines with."""
+        return self.completed().select("order_id")
+
     @property
     def customer_attributes(self) -> DataFrame:
         """Customers without the signup date."""

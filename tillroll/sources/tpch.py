@@ -130,6 +130,8 @@ class TpchTables(RetailTables):
         )
         subtotal, discount = F.col("subtotal_c"), F.col("discount_c")
         shipping, cost = F.col("shipping_c"), F.col("cost_c")
+        # an order's sum has no such bound as a line's amount
+        amount = lambda cents: cents_to_amount(cents, digits=18)
         status = F.col("o_orderstatus")
         label = F.lit(CANCELLED)
         for name, code in _STATUS_CODES.items():
@@ -141,12 +143,12 @@ class TpchTables(RetailTables):
             F.to_date("o_orderdate").alias("order_date_only"),
             label.alias("order_status"),
             F.col("o_orderpriority").alias("payment_method"),
-            cents_to_amount(subtotal).alias("subtotal"),
-            cents_to_amount(discount).alias("discount_amount"),
-            cents_to_amount(shipping).alias("shipping_fee"),
-            cents_to_amount(subtotal - discount + shipping).alias("total_amount"),
-            cents_to_amount(cost).alias("total_cost"),
-            cents_to_amount(subtotal - discount - cost).alias("gross_profit"),
+            amount(subtotal).alias("subtotal"),
+            amount(discount).alias("discount_amount"),
+            amount(shipping).alias("shipping_fee"),
+            amount(subtotal - discount + shipping).alias("total_amount"),
+            amount(cost).alias("total_cost"),
+            amount(subtotal - discount - cost).alias("gross_profit"),
             "line_count",
         )
 
@@ -154,12 +156,19 @@ class TpchTables(RetailTables):
     def orders(self) -> DataFrame:
         return self._orders(self._raw("orders"))
 
-    def orders_with(self, status: str) -> DataFrame:
+    def _rows_with(self, status: str) -> DataFrame:
         """The state is tested on the stored code, so the scan itself filters."""
         rows, code = self._raw("orders"), F.col("o_orderstatus")
         if status in _STATUS_CODES:
-            return self._orders(rows.where(code == _STATUS_CODES[status]))
-        return self._orders(rows.where(~code.isin(*_STATUS_CODES.values())))
+            return rows.where(code == _STATUS_CODES[status])
+        return rows.where(~code.isin(*_STATUS_CODES.values()))
+
+    def orders_with(self, status: str) -> DataFrame:
+        return self._orders(self._rows_with(status))
+
+    def completed_keys(self) -> DataFrame:
+        """Without the lines, which whoever joins these keys brings along."""
+        return self._rows_with(COMPLETED).select(F.col("o_orderkey").alias("order_id"))
 
     def line_counts(self) -> DataFrame:
         return self.orders.select("order_id", "line_count")
