@@ -52,11 +52,23 @@ def product_baskets(t: RetailTables) -> BasketInput:
     )
 
 
-def _pairs_within(baskets: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs a < b of the products sharing ``keys``; one row per basket and pair."""
-    a = baskets.withColumnRenamed("product_id", "a")
-    b = baskets.withColumnRenamed("product_id", "b")
-    return a.join(b, keys).where(F.col("a") < F.col("b"))
+def _order_sets(lines: DataFrame) -> DataFrame:
+    """Sorted distinct products of each order; for narrow orders only, so a set has
+    at most ``max_width`` members."""
+    return lines.groupBy("order_id").agg(
+        F.sort_array(F.collect_set("product_id")).alias("members")
+    )
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("members").alias("product_id"))
+
+
+def _pairs_of(sets: DataFrame) -> DataFrame:
+    """Pairs a < b of every set, generated in place: no join, no further shuffle."""
+    return sets.select(F.posexplode("members").alias("at", "a"), "members").select(
+        "a", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("b")
+    )
 
 
 def _count_pairs(pairs: DataFrame) -> DataFrame:
@@ -64,8 +76,8 @@ def _count_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def _blocked_pairs(baskets: DataFrame) -> DataFrame:
-    """As ``_pairs_within`` an order, with an order's products split into blocks and
-    every pair of blocks a join key of its own."""
+    """Pairs within wide orders, with an order's products split into blocks and every
+    pair of blocks a join key of its own."""
     block = F.pmod(F.xxhash64("product_id"), F.lit(_BLOCKS)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1)))
     left = baskets.select("order_id", F.col("product_id").alias("a"), block.alias("i"))
@@ -78,19 +90,11 @@ def _blocked_pairs(baskets: DataFrame) -> DataFrame:
     )
 
 
-def _pair_counts(
-    baskets: DataFrame, wide_ids: DataFrame | None, n_wide: int, at_least: int, top_k
+def _pairs_with_wide(
+    narrow: DataFrame, wide: DataFrame, n_wide: int, at_least: int, top_k: int | None
 ) -> DataFrame:
-    """``a, b, together`` for every pair that can be in the result."""
-    if not n_wide:
-        return _count_pairs(_pairs_within(baskets, ["order_id"]))
-    narrow_baskets = baskets.where(~F.col("is_wide")).drop("is_wide")
-    wide = materialize(
-        baskets.where("is_wide").select("order_id", "product_id"), "wide-baskets"
-    )
-    narrow = materialize(
-        _count_pairs(_pairs_within(narrow_baskets, ["order_id"])), "narrow-pairs"
-    )
+    """``a, b, together`` over all orders for every pair that can be in the result,
+    from the pair counts of the narrow orders and the baskets of the wide ones."""
     if top_k:
         # the k-th best narrow count bounds the k-th best count from below
         best = narrow.orderBy(F.desc("together")).limit(top_k).agg(
@@ -131,10 +135,11 @@ def _pair_counts(
 def _affinity(
     source: BasketInput, min_pair_orders: int, top_k: int | None, max_width: int
 ):
-    """Pair counts, per-product order counts and the number of orders."""
-    sizes = source.lines.groupBy("order_id").agg(F.count("*").alias("width"))
-    wide_ids = sizes.where(F.col("width") > max_width).select("order_id")
-    n_wide = wide_ids.count()
+    """Pair counts that qualify and the order count of every product."""
+    at_least = max(1, min_pair_orders)
+    widths = source.lines.groupBy("order_id").agg(F.count("*").alias("width"))
+    wide_keys = widths.where(F.col("width") > max_width).select("order_id")
+    n_wide = wide_keys.count()
 
     lines = salted_join(
         source.lines,
@@ -144,18 +149,32 @@ def _affinity(
         ["product_id"],
         how="left_semi",
     )
-    baskets = lines.distinct()
-    if n_wide:
-        flags = materialize(wide_ids.withColumn("is_wide", F.lit(True)), "wide-orders")
-        baskets = salted_join(
-            baskets, flags, "order_id", source.hot_orders, ["product_id"], how="left"
-        ).withColumn("is_wide", F.coalesce("is_wide", F.lit(False)))
-        baskets = materialize(baskets, "baskets")
-    pairs = _pair_counts(baskets, wide_ids, n_wide, max(1, min_pair_orders), top_k)
-    pairs = pairs.where(F.col("together") >= max(1, min_pair_orders))
+    if not n_wide:
+        sets = _order_sets(lines)
+        pairs, members = _count_pairs(_pairs_of(sets)), _members(sets)
+    else:
+        flags = materialize(wide_keys.withColumn("is_wide", F.lit(True)), "wide-orders")
+        flagged = materialize(
+            salted_join(
+                lines.distinct(),
+                flags,
+                "order_id",
+                source.hot_orders,
+                ["product_id"],
+                how="left",
+            ),
+            "baskets",
+        )
+        wide = flagged.where("is_wide").select("order_id", "product_id")
+        sets = _order_sets(flagged.where(F.col("is_wide").isNull()))
+        narrow = materialize(_count_pairs(_pairs_of(sets)), "narrow-pairs")
+        pairs = _pairs_with_wide(narrow, wide, n_wide, at_least, top_k)
+        members = flagged.select("product_id")
+
+    pairs = pairs.where(F.col("together") >= at_least)
     if top_k:
         pairs = pairs.orderBy(F.desc("together"), "a", "b").limit(top_k)
-    singles = baskets.groupBy("product_id").agg(F.count("*").alias("orders"))
+    singles = members.groupBy("product_id").agg(F.count("*").alias("orders"))
     return pairs, singles
 
 

@@ -13,18 +13,20 @@ from tillroll.sources.tables import RetailTables
 def _cohort_activity(t: RetailTables, status: str) -> DataFrame:
     """Active customers per (cohort month, months since).
 
-    Orders shrink to one row per customer and month before anything is grouped by
-    customer, so a customer's window never holds more rows than there are months.
-    That window replaces the join of orders to their own first purchase.
+    A customer's orders shrink to the set of its active months, map-side and before
+    the only shuffle of customers. The set is bounded by the calendar months covered,
+    however many orders there are; its minimum is the cohort, so orders need not be
+    joined to their own first purchase.
     """
-    active = (
+    months = (
         t.orders_with(status)
-        .select("customer_id", month_number(F.col("order_date_only")).alias("month_no"))
-        .distinct()
+        .groupBy("customer_id")
+        .agg(F.collect_set(month_number(F.col("order_date_only"))).alias("months"))
     )
-    own = W.partitionBy("customer_id")
     return (
-        active.withColumn("cohort_no", F.min("month_no").over(own))
+        months.select(
+            F.array_min("months").alias("cohort_no"), F.explode("months").alias("month_no")
+        )
         .groupBy("cohort_no", (F.col("month_no") - F.col("cohort_no")).alias("offset"))
         .agg(F.count("*").alias("active"))
     )
