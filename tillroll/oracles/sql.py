@@ -197,31 +197,73 @@ mw AS (SELECT COUNT(*) FILTER (first) AS n1, COUNT(*) FILTER (NOT first) AS n2,
        FROM rnk)"""
 
 
-def _h1() -> str:
-    half = lambda cond, tag: f"""
+_STEPS = 4000
+
+
+def _integral(density: str, upper: str) -> str:
+    """Simpson's rule for ``density`` (of ``u``) from 0 to ``upper``."""
+    return (
+        f"(SELECT SUM(({density}) * CASE WHEN i = 0 OR i = {_STEPS} THEN 1 "
+        f"WHEN i % 2 = 1 THEN 4 ELSE 2 END) * MAX(h) / 3 "
+        f"FROM (SELECT i, {upper} / {_STEPS}.0 AS h, i * ({upper}) / {_STEPS}.0 AS u "
+        f"FROM RANGE({_STEPS + 1}) r(i)))"
+    )
+
+
+def _normal_tail(z: str) -> str:
+    """P(Z > z)."""
+    below = _integral("EXP(-u * u / 2) / SQRT(2 * PI())", f"ABS({z})")
+    return f"(CASE WHEN {z} < 0 THEN 0.5 + {below} ELSE 0.5 - {below} END)"
+
+
+def _z(two_sided: bool) -> str:
+    """z of CTE ``mw`` over ``smp``, with tie and continuity correction."""
+    u = "GREATEST(u1, n1 * n2 - u1)" if two_sided else "u1"
+    return f"""(SELECT ({u} - n1 * n2 / 2.0 - 0.5) / SQRT(n1 * n2 / 12.0 * (n1 + n2 + 1
+        - (SELECT SUM(CAST(c AS DOUBLE) * c * c - c)
+           FROM (SELECT COUNT(*) AS c FROM smp GROUP BY x))
+          / ((n1 + n2) * (n1 + n2 - 1.0)))) FROM mw)"""
+
+
+def _h1_tables() -> str:
+    """CTEs ``stat`` (group sums, Welch t and df) and ``mw``."""
+
+    def half(cond, tag):
+        return f"""
         COUNT(*) FILTER ({cond}) AS n{tag}, SUM(total_c) FILTER ({cond}) AS c{tag},
         SUM(profit_c) FILTER ({cond}) AS p{tag},
         CAST(SUM(CAST(total_c AS HUGEINT) * total_c) FILTER ({cond}) AS DOUBLE) / 10000 AS q{tag}"""
-    mean = lambda t: f"(CAST(c{t} AS DOUBLE) / 100 / n{t})"
-    total = lambda t: f"(CAST(c{t} AS DOUBLE) / 100)"
-    e = lambda t: f"((q{t} - {total(t)} * {total(t)} / n{t}) / (n{t} - 1) / n{t})"
-    return _q(
+
+    mean = lambda k: f"(CAST(c{k} AS DOUBLE) / 100 / n{k})"
+    total = lambda k: f"(CAST(c{k} AS DOUBLE) / 100)"
+    err = lambda k: (
+        f"((q{k} - {total(k)} * {total(k)} / n{k}) / NULLIF(n{k} - 1, 0) / n{k})"
+    )
+    return (
         f"""grp AS (SELECT {half("discount_c > 0", 1)}, {half("discount_c <= 0", 2)}
-            FROM done), """
-        + _mann_whitney("SELECT total_c AS x, discount_c > 0 AS first FROM done"),
+        FROM done),
+stat AS (
+  SELECT *, (m1 - m2) / SQRT(e1 + e2) AS t,
+         (e1 + e2) * (e1 + e2) / (e1 * e1 / NULLIF(n1 - 1, 0)
+                                  + e2 * e2 / NULLIF(n2 - 1, 0)) AS df
+  FROM (SELECT *, {mean(1)} AS m1, {mean(2)} AS m2, {err(1)} AS e1, {err(2)} AS e2
+        FROM grp)), """
+        + _mann_whitney("SELECT total_c AS x, discount_c > 0 AS first FROM done")
+    )
+
+
+def _h1() -> str:
+    return _q(
+        _h1_tables(),
         f"""
-SELECT grp.n1 AS discounted_orders, grp.n2 AS full_price_orders,
-       {_avg_money("c1", "grp.n1")} AS discounted_aov,
-       {_avg_money("c2", "grp.n2")} AS full_price_aov,
+SELECT stat.n1 AS discounted_orders, stat.n2 AS full_price_orders,
+       {_avg_money("c1", "stat.n1")} AS discounted_aov,
+       {_avg_money("c2", "stat.n2")} AS full_price_aov,
        {_pct("p1", "c1", 1)} AS discounted_margin_pct,
        {_pct("p2", "c2", 1)} AS full_price_margin_pct,
-       ROUND((m1 - m2) / m2 * 100, 2) AS aov_lift_pct,
-       ROUND((m1 - m2) / SQRT(e1 + e2), 4) AS t_statistic,
-       ROUND((e1 + e2) * (e1 + e2) / (e1 * e1 / (grp.n1 - 1) + e2 * e2 / (grp.n2 - 1)), 4)
-         AS df,
-       u1 AS u_statistic
-FROM (SELECT *, {mean(1)} AS m1, {mean(2)} AS m2, {e(1)} AS e1, {e(2)} AS e2 FROM grp) grp,
-     mw""",
+       ROUND((m1 - m2) / m2 * 100, 2) AS aov_lift_pct, ROUND(t, 4) AS t_statistic,
+       ROUND(df, 4) AS df, u1 AS u_statistic
+FROM stat, mw""",
     )
 
 
@@ -235,20 +277,24 @@ tab AS (
 rate AS (SELECT *, {_pct("r", "t", 2)} AS rr FROM tab)"""
 
 
-def _h2() -> str:
-    cell = lambda c: (
-        f"POW({c} - t * (SUM({c}) OVER ()) / CAST(SUM(t) OVER () AS DOUBLE), 2)"
-        f" / (t * (SUM({c}) OVER ()) / CAST(SUM(t) OVER () AS DOUBLE))"
-    )
-    return _q(
+def _h2_tables() -> str:
+    expected = lambda c: f"(t * (SUM({c}) OVER ()) / CAST(SUM(t) OVER () AS DOUBLE))"
+    cell = lambda c: f"POW({c} - {expected(c)}, 2) / {expected(c)}"
+    return (
         _CONTINGENCY
         + f""",
-chi AS (SELECT SUM(part) AS chi2, COUNT(*) AS k, CAST(SUM(t) AS BIGINT) AS n
-        FROM (SELECT t, {cell("s")} + {cell("r")} AS part FROM tab))""",
+chi AS (SELECT SUM(part) AS chi2, CAST(COUNT(*) - 1 AS INTEGER) AS dof,
+               CAST(SUM(t) AS BIGINT) AS n
+        FROM (SELECT t, {cell("s")} + {cell("r")} AS part FROM tab))"""
+    )
+
+
+def _h2() -> str:
+    return _q(
+        _h2_tables(),
         """
-SELECT ROUND(chi2, 4) AS chi2, CAST(k - 1 AS INTEGER) AS dof, n,
-       ROUND(SQRT(chi2 / n), 4) AS cramers_v,
-       ROUND(SQRT(chi2 / (n * (LEAST(k, 4) - 1))), 4) AS cramers_v_as_published,
+SELECT ROUND(chi2, 4) AS chi2, dof, n, ROUND(SQRT(chi2 / n), 4) AS cramers_v,
+       ROUND(SQRT(chi2 / (n * (LEAST(dof + 1, 4) - 1))), 4) AS cramers_v_as_published,
        (SELECT ch FROM rate ORDER BY rr DESC, ch LIMIT 1) AS best_channel,
        (SELECT MAX(rr) FROM rate) AS best_rate_pct,
        (SELECT ch FROM rate ORDER BY rr, ch LIMIT 1) AS worst_channel,
@@ -257,15 +303,22 @@ FROM chi""",
     )
 
 
-def _h3() -> str:
-    sample = """SELECT spend AS x, n_lines > 1 AS first
+def _h3_tables() -> str:
+    return (
+        _mann_whitney(
+            """SELECT spend AS x, n_lines > 1 AS first
         FROM done JOIN (SELECT customer_id, SUM(total_c) AS spend FROM done
                         GROUP BY customer_id) s USING (customer_id)
         WHERE seq = 1"""
-    return _q(
-        _mann_whitney(sample)
+        )
         + """,
-grp AS (SELECT SUM(x) FILTER (first) AS c1, SUM(x) FILTER (NOT first) AS c2 FROM smp)""",
+grp AS (SELECT SUM(x) FILTER (first) AS c1, SUM(x) FILTER (NOT first) AS c2 FROM smp)"""
+    )
+
+
+def _h3() -> str:
+    return _q(
+        _h3_tables(),
         f"""
 SELECT n1 AS multi_customers, n2 AS single_customers,
        {_avg_money("c1", "n1")} AS multi_mean_ltv, {_avg_money("c2", "n2")} AS single_mean_ltv,
@@ -276,6 +329,27 @@ FROM mw, grp""",
     )
 
 
+def _p_values() -> str:
+    t_density = """EXP(LGAMMA((df + 1) / 2) - LGAMMA(df / 2)) / SQRT(df * PI())
+        * POW(1 + u * u / df, -(df + 1) / 2)"""
+    chi_density = "POW(u, dof / 2.0 - 1) * EXP(-u / 2) / (POW(2, dof / 2.0) * GAMMA(dof / 2.0))"
+    parts = [
+        f"""SELECT 'H1 Welch t' AS test, 1 - 2 * {_integral(t_density, "ABS(t)")} AS p
+        FROM ({_q(_h1_tables(), "SELECT t, df FROM stat")})""",
+        f"""SELECT 'H1 Mann-Whitney U', LEAST(2 * {_normal_tail("z")}, 1)
+        FROM ({_q(_h1_tables(), f"SELECT {_z(True)} AS z")})""",
+        f"""SELECT 'H2 chi-square', 1 - {_integral(chi_density, "chi2")}
+        FROM ({_q(_h2_tables(), "SELECT chi2, dof FROM chi")})""",
+        f"""SELECT 'H3 Mann-Whitney U, greater', {_normal_tail("z")}
+        FROM ({_q(_h3_tables(), f"SELECT {_z(False)} AS z")})""",
+    ]
+    return (
+        "SELECT test, ROUND(CASE WHEN ABS(p) < 1e-9 THEN 0.0 ELSE p END, 6) AS p_value\nFROM ("
+        + "\nUNION ALL ".join(parts)
+        + ")"
+    )
+
+
 _ORDER_COLUMNS = f"""order_date, day AS order_date_only,
        status AS order_status, payment_method, {_money("subtotal_c")} AS subtotal,
        {_money("o.discount_c")} AS discount_amount, {_money("o.shipping_c")} AS shipping_fee,
@@ -544,6 +618,7 @@ GROUP BY customer_id, region, acquisition_channel, signup_date""",
         ),
         "h2_chi_square": _h2(),
         "h3_first_basket_ltv": _h3(),
+        "hypothesis_p_values": _p_values(),
         "analytics_master": _q(
             "",
             f"""SELECT l.item_id, l.order_id, l.product_id, l.quantity,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.functions.dates import month_label, month_number
 from tillroll.functions.exact import safe_divide
+from tillroll.operators.scratch import materialize
 from tillroll.operators.skew import salted_join, with_group_values
 from tillroll.sources.calendar import calendar
 from tillroll.sources.schemas import COMPLETED
@@ -107,8 +108,12 @@ def bi_yoy_growth(t: RetailTables) -> DataFrame:
 
 def rolling_sales(t: RetailTables, days: int = 30) -> DataFrame:
     """Sales of the ``days`` days up to each day of the calendar, sold on or not."""
-    daily = t.orders.groupBy(F.col("order_date_only").alias("date")).agg(
-        F.sum("total_amount").alias("sales")
+    # one row per day, written so that the calendar does not read the facts again
+    daily = materialize(
+        t.orders.groupBy(F.col("order_date_only").alias("date")).agg(
+            F.sum("total_amount").alias("sales")
+        ),
+        "daily",
     )
     trailing = W.orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)  # days only
     return (

@@ -65,6 +65,7 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "h2_channel_contingency": stats.h2_channel_contingency,
     "h2_chi_square": stats.h2_chi_square,
     "h3_first_basket_ltv": stats.h3_first_basket_ltv,
+    "hypothesis_p_values": stats.hypothesis_p_values,
     "test_results_table": stats.test_results_table,
     "analytics_master": bi.analytics_master,
     "order_rollup": sales.order_rollup,

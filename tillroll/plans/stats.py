@@ -21,24 +21,24 @@ def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+# an empty or constant sample gives NULL, not an error
+_div = F.try_divide
+
+
 # -- generic tests: each adds its result to a one-row frame of sums ---------------------
 
 
 def _add_welch(sums: DataFrame, with_p: bool) -> DataFrame:
     for i in (1, 2):
-        variance = (_d(f"q{i}") - _d(f"s{i}") * _d(f"s{i}") / _d(f"n{i}")) / (
-            _d(f"n{i}") - 1
-        )
-        sums = sums.withColumns(
-            {f"mean{i}": _d(f"s{i}") / _d(f"n{i}"), f"_e{i}": variance / _d(f"n{i}")}
-        )
+        n, total = _d(f"n{i}"), _d(f"s{i}")
+        variance = _div(_d(f"q{i}") - _div(total * total, n), n - 1)
+        sums = sums.withColumns({f"mean{i}": _div(total, n), f"_e{i}": _div(variance, n)})
     e1, e2 = F.col("_e1"), F.col("_e2")
+    spread = _div(e1 * e1, _d("n1") - 1) + _div(e2 * e2, _d("n2") - 1)
     sums = sums.withColumns(
         {
-            "t_statistic": (F.col("mean1") - F.col("mean2")) / F.sqrt(e1 + e2),
-            "df": (e1 + e2)
-            * (e1 + e2)
-            / (e1 * e1 / (_d("n1") - 1) + e2 * e2 / (_d("n2") - 1)),
+            "t_statistic": _div(F.col("mean1") - F.col("mean2"), F.sqrt(e1 + e2)),
+            "df": _div((e1 + e2) * (e1 + e2), spread),
         }
     ).drop("_e1", "_e2")
     if with_p:
@@ -53,8 +53,9 @@ def _add_mann_whitney(sums: DataFrame, alternative: str, with_p: bool) -> DataFr
     u = F.col("u1")
     if alternative == "two-sided":
         u = F.greatest(u, n1 * n2 - u)
-    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
-    sums = sums.withColumn("z", (u - n1 * n2 / 2 - 0.5) / spread)
+    ties = _div(F.col("tie_term"), n * (n - 1))
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - ties))
+    sums = sums.withColumn("z", _div(u - n1 * n2 / 2 - 0.5, spread))
     if with_p:
         tail = normal_sf_udf("z")
         if alternative == "two-sided":
@@ -111,7 +112,7 @@ def chi_square(
     )
 
     def cell(c):
-        expected = F.col("_row") * F.col(f"_t_{c}") / F.col("_n")
+        expected = _div(F.col("_row") * F.col(f"_t_{c}"), F.col("_n"))
         off = F.abs(_d(c) - expected)
         off = F.when(F.col("_dof") == 1, off - F.least(off, F.lit(0.5))).otherwise(off)
         return F.when(expected > 0, off * off / expected).otherwise(0.0)
@@ -156,7 +157,7 @@ def h1_discount_effect(t: RetailTables, with_p: bool = False) -> DataFrame:
         mean(F.col("s2"), F.col("n2"), 2).alias("full_price_aov"),
         pct(F.col("profit1"), F.col("s1"), 1).alias("discounted_margin_pct"),
         pct(F.col("profit2"), F.col("s2"), 1).alias("full_price_margin_pct"),
-        F.round((mean1 - mean2) / mean2 * 100, 2).alias("aov_lift_pct"),
+        F.round(_div(mean1 - mean2, mean2) * 100, 2).alias("aov_lift_pct"),
         F.round("t_statistic", 4).alias("t_statistic"),
         F.round("df", 4).alias("df"),
         F.col("u1").alias("u_statistic"),
@@ -211,7 +212,7 @@ def h2_chi_square(t: RetailTables, with_p: bool = False) -> DataFrame:
 
     def effect(columns):
         smaller = F.least(F.col("categories").cast("int"), columns) - 1
-        return F.round(F.sqrt(F.try_divide(F.col("chi2"), _d("n") * smaller)), 4)
+        return F.round(F.sqrt(_div(F.col("chi2"), _d("n") * smaller)), 4)
 
     return test.select(
         F.round("chi2", 4).alias("chi2"),
@@ -247,13 +248,13 @@ def h3_first_basket_ltv(t: RetailTables, with_p: bool = False) -> DataFrame:
     """Lifetime spend after a multi-item (1) against a single-item (2) first basket."""
     sums = rank_sums(_first_baskets(t), "lifetime_spend", F.col("is_multi"))
     tested = _add_mann_whitney(sums, "greater", with_p)
-    mean1, mean2 = _d("s1") / _d("n1"), _d("s2") / _d("n2")
+    mean1, mean2 = _div(_d("s1"), _d("n1")), _div(_d("s2"), _d("n2"))
     return tested.select(
         F.col("n1").alias("multi_customers"),
         F.col("n2").alias("single_customers"),
         mean(F.col("s1"), F.col("n1")).alias("multi_mean_ltv"),
         mean(F.col("s2"), F.col("n2")).alias("single_mean_ltv"),
-        F.round((mean1 - mean2) / mean2 * 100, 2).alias("ltv_lift_pct"),
+        F.round(_div(mean1 - mean2, mean2) * 100, 2).alias("ltv_lift_pct"),
         F.round("u1", 2).alias("u_statistic"),
         *(["u_p_value"] if with_p else []),
     )
@@ -332,4 +333,32 @@ def test_results_table(t: RetailTables, alpha: float = ALPHA) -> DataFrame:
     return h1.unionByName(h2).unionByName(h3)
 
 
+def hypothesis_p_values(t: RetailTables, dp: int = 6) -> DataFrame:
+    """The four p-values, rounded."""
+    h1 = h1_discount_effect(t, with_p=True).select("t_p_value", "u_p_value")
+    h2 = h2_chi_square(t, with_p=True).select("chi2_p_value")
+    h3 = h3_first_basket_ltv(t, with_p=True).select("u_p_value")
+
+    def row(df, *tests):
+        return df.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(name).alias("test"),
+                            F.round(p, dp).alias("p_value"),
+                        )
+                        for name, p in tests
+                    ]
+                )
+            )
+        )
+
+    return (
+        row(h1, ("H1 Welch t", "t_p_value"), ("H1 Mann-Whitney U", "u_p_value"))
+        .unionByName(row(h2, ("H2 chi-square", "chi2_p_value")))
+        .unionByName(row(h3, ("H3 Mann-Whitney U, greater", "u_p_value")))
+    )
+
+
 test_results_table.__test__ = False  # not a pytest case
