@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from fixtures import rows
 from tillroll.functions.exact import mean, pct
-from tillroll.operators import ranks
+from tillroll.operators import ranks, skew
 from tillroll.operators.scan import ordered_scan
 from tillroll.operators.scratch import materialize, scratch_root
 from tillroll.operators.skew import HotKeys, hot_keys, salted_join, with_group_values
@@ -27,21 +27,23 @@ def skewed(spark):
     return spark.createDataFrame(data, "k int, day int, id int, x decimal(18,2)").repartition(5)
 
 
-def test_hot_keys(skewed):
-    (hot,) = hot_keys(skewed, "k", min_rows=500)
-    assert set(hot.counts) == {0}
+def test_hot_keys(skewed, monkeypatch):
     assert not hot_keys(skewed, "k")[0]  # small enough for any task
-    both = hot_keys(skewed, "k", "id", min_rows=500)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 500)
+    (hot,) = hot_keys(skewed, "k")
+    assert set(hot.counts) == {0}
+    both = hot_keys(skewed, "k", "id")
     assert [set(h.counts) for h in both] == [{0}, set()]
 
 
 @pytest.mark.parametrize("hot", [HotKeys({0: 1000}), HotKeys({0: 1000, 7: 30, 99: 1})])
-def test_ordered_scan_of_hot_keys(skewed, hot):
+def test_ordered_scan_of_hot_keys(skewed, hot, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 150)
     spec = dict(
         count="n", sums={"s": F.col("x")}, prev_max={"p": F.col("x"), "d": F.col("day")}
     )
     plain = ordered_scan(skewed, "k", ["day", "id"], HotKeys(), **spec)
-    sliced = ordered_scan(skewed, "k", ["day", "id"], hot, rows_per_task=150, **spec)
+    sliced = ordered_scan(skewed, "k", ["day", "id"], hot, **spec)
     assert sliced.schema == plain.schema
     assert sorted(map(str, rows(sliced))) == sorted(map(str, rows(plain)))
     one_customer = [r for r in rows(plain) if r[0] == 0]
@@ -49,7 +51,8 @@ def test_ordered_scan_of_hot_keys(skewed, hot):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_salted_join(skewed, spark, how):
+def test_salted_join(skewed, spark, how, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 150)
     keys = spark.range(0, 50, 2).select(F.col("id").cast("int").alias("k"))
     if how != "left_semi":
         keys = keys.withColumn("name", F.concat(F.lit("k"), "k"))
@@ -67,12 +70,13 @@ def test_group_values(skewed):
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 6, 23, 1003])
 @pytest.mark.parametrize("rows_per_task", [10**6, 100])
-def test_ntiles(spark, n, rows_per_task):
+def test_ntiles(spark, n, rows_per_task, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", rows_per_task)
     rng = random.Random(n)
     data = [(f"c{i:05d}", rng.randrange(4), Decimal(rng.randrange(10**6)) / 100) for i in range(n)]
     df = materialize(spark.createDataFrame(data, "id string, a int, b decimal(18,2)"), "t")
     got = add_ntiles(
-        df, n, "id", {"ta": -F.col("a"), "tb": F.col("b")}, 5, rows_per_task
+        df, n, "id", {"ta": -F.col("a"), "tb": F.col("b")}, 5
     ).withColumns(
         {
             "ea": F.ntile(5).over(W.orderBy(F.desc("a"), "id")),

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from fixtures import shop
+from tillroll.operators import skew
 from tillroll.operators.skew import HotKeys
 from tillroll.plans import basket
 
@@ -63,7 +64,8 @@ def test_wide_orders(spark, wide, products, least, top_k):
     assert _got(basket.market_basket_pairs(t, least, top_k)) == expected
 
 
-def test_hot_order(spark):
+def test_hot_order(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
     orders = _orders(5, 40, [80, 20], 30)
     t = shop(spark, orders, channels={"C1": "Email"})
     source = basket.product_baskets(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.operators.scratch import materialize
-from tillroll.operators.skew import ROWS_PER_TASK, HotKeys
+from tillroll.operators.skew import HotKeys
 
 
 def ordered_scan(
@@ -17,7 +17,6 @@ def ordered_scan(
     count: str | None = None,
     sums: dict[str, Column] | None = None,
     prev_max: dict[str, Column] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add running columns over ``partition by key order by order``.
 
@@ -35,9 +34,7 @@ def ordered_scan(
         return _running(df, [key], order, **spec)
     is_hot = hot.holds(F.col(key))
     ordinary = _running(df.where(~is_hot), [key], order, **spec)
-    sliced = _sliced(
-        df.where(is_hot), key, order, hot.slices(rows_per_task), **spec
-    )
+    sliced = _sliced(df.where(is_hot), key, order, hot.slices(), **spec)
     return ordinary.unionByName(sliced)
 
 

@@ -29,33 +29,28 @@ class HotKeys:
     def holds(self, key: Column) -> Column:
         return F.coalesce(key.isin(list(self.counts)), F.lit(False))
 
-    def slices(self, rows_per_task: int = ROWS_PER_TASK) -> int:
-        """Tasks needed to give no task more than ``rows_per_task`` hot rows."""
-        return max(2, ceil(sum(self.counts.values()) / rows_per_task))
+    def slices(self) -> int:
+        """Tasks needed to give no task more than ``ROWS_PER_TASK`` hot rows."""
+        return max(2, ceil(sum(self.counts.values()) / ROWS_PER_TASK))
 
-    def fanout(self, rows_per_task: int = ROWS_PER_TASK) -> int:
+    def fanout(self) -> int:
         """Salts needed by the largest key."""
-        return max(2, ceil(max(self.counts.values()) / rows_per_task))
+        return max(2, ceil(max(self.counts.values()) / ROWS_PER_TASK))
 
 
 NO_HOT_KEYS = HotKeys()
 
 
-def hot_keys(
-    df: DataFrame,
-    *keys: str,
-    tracked: int = MAX_HOT,
-    min_rows: int = ROWS_PER_TASK,
-) -> list[HotKeys]:
+def hot_keys(df: DataFrame, *keys: str) -> list[HotKeys]:
     """Heavy hitters of each key column, from one scan of just those columns.
 
     The frequent-items sketch is merged map-side, so its cost is one narrow scan.
-    Keys below ``min_rows`` rows fit in a task as they are and are not reported.
+    Keys of up to ``ROWS_PER_TASK`` rows fit in a task and are not reported.
     """
     sketches = df.agg(
         *[
             F.call_function(
-                "approx_top_k", F.col(k), F.lit(tracked), F.lit(tracked)
+                "approx_top_k", F.col(k), F.lit(MAX_HOT), F.lit(MAX_HOT)
             ).alias(k)
             for k in keys
         ]
@@ -65,7 +60,7 @@ def hot_keys(
             {
                 r["item"]: r["count"]
                 for r in sketches[k]
-                if r["item"] is not None and r["count"] > min_rows
+                if r["item"] is not None and r["count"] > ROWS_PER_TASK
             }
         )
         for k in keys

@@ -11,8 +11,8 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tillroll.operators import skew
 from tillroll.operators.scratch import materialize
-from tillroll.operators.skew import ROWS_PER_TASK
 
 _VALUE = "decimal(38,2)"
 
@@ -29,7 +29,6 @@ def add_ntiles(
     id_col: str,
     scores: dict[str, Column],
     tiles: int,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add one tile number per entry of ``scores``: ``NTILE(tiles) OVER (ORDER BY
     value, id_col)``. ``df`` must be written or otherwise stable, with ``n`` rows and
@@ -49,7 +48,7 @@ def add_ntiles(
             )
         ),
     )
-    cuts = _rows_at_ranks(narrow, wanted, ceil(n * len(scores) / rows_per_task))
+    cuts = _rows_at_ranks(narrow, wanted, ceil(n * len(scores) / skew.ROWS_PER_TASK))
     return df.withColumns(
         {
             name: sum(

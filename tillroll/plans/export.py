@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.operators.scratch import materialize, scratch_path
-from tillroll.plans import basket, cohort, lifecycle, rfm, sales
+from tillroll.plans import basket, bi, cohort, lifecycle, rfm, sales
 from tillroll.sources import files, sinks
 from tillroll.sources.schemas import PRODUCTS
 from tillroll.sources.tables import RetailTables
@@ -98,12 +98,27 @@ def write_dashboard(t: RetailTables, path: str) -> None:
     sinks.write_document(dashboard_payload(t), path)
 
 
+def _exports(t: RetailTables) -> dict[str, DataFrame]:
+    return {
+        "customers": t.customers,
+        "products": t.products,
+        "orders": sales.order_rollup(t),
+        "order_items": t.order_items,
+        "analytics_master": bi.analytics_master(t),
+    }
+
+
 def write_retail_csv(t: RetailTables, folder: str) -> None:
-    """The four entities as headed CSV."""
-    sinks.write_csv(t.customers, f"{folder}/customers.csv")
-    sinks.write_csv(t.products, f"{folder}/products.csv")
-    sinks.write_csv(sales.order_rollup(t), f"{folder}/orders.csv")
-    sinks.write_csv(t.order_items, f"{folder}/order_items.csv")
+    """The four entities and the wide table as headed CSV."""
+    for name, df in _exports(t).items():
+        sinks.write_csv(df, f"{folder}/{name}.csv")
+
+
+def write_retail_parquet(t: RetailTables, folder: str) -> None:
+    """The same as parquet. Analyses that read these tables find the order amounts
+    and the order sequence stored instead of deriving them from lines each time."""
+    for name, df in _exports(t).items():
+        sinks.write_parquet(df, f"{folder}/{name}")
 
 
 def products_through_csv(t: RetailTables) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.functions.exact import mean, pct
 from tillroll.operators.scratch import materialize
-from tillroll.operators.skew import ROWS_PER_TASK
 from tillroll.operators.tiles import add_ntiles
 from tillroll.sources.tables import RetailTables
 
@@ -60,7 +59,6 @@ def rfm_scores(
     rules: list = SEGMENT_RULES,
     tiles: int = 5,
     snapshot: dt.date | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per customer with a completed order.
 
@@ -92,7 +90,6 @@ def rfm_scores(
             M: F.col("monetary_spend"),
         },
         tiles,
-        rows_per_task,
     )
     return scored.select(
         "customer_id",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tillroll.functions.exact import cents_to_amount, ratio
 from tillroll.operators.skew import HotKeys, hot_keys
@@ -38,9 +39,19 @@ def _per_unit(cents: Column, quantity: Column) -> Column:
     return F.call_function("div", cents * 2 + quantity, quantity * 2)
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; its footers are only asked for the schema the first time."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 class TpchTables(RetailTables):
     def __init__(self, spark: SparkSession, folder: str):
-        self._raw = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+        self._raw = lambda name: _read(spark, f"{folder}/{name}.parquet")
 
     # -- dimensions ------------------------------------------------------------
 
