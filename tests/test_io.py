@@ -1,5 +1,6 @@
 """Sources, sinks and views."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -53,6 +54,24 @@ def test_replacing_table(spark):
     spark.sql("drop table tillroll_products")
 
 
+def test_bucketed_tables_join_in_place(spark):
+    t = shop(spark)
+    export.write_retail_tables(t, "till_", 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("till_order_items").join(spark.table("till_orders"), "order_id")
+        assert joined.count() == 11
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    stored = files.load_catalog_tables(spark, "till_")
+    assert rows(sales.executive_kpis(stored)) == rows(sales.executive_kpis(t))
+    for name in [*SCHEMAS, "analytics_master"]:
+        spark.sql(f"drop table till_{name}")
+
+
 def test_views(spark):
     t = shop(spark)
     t.create_views("shop_")
@@ -60,6 +79,36 @@ def test_views(spark):
     assert n.first()[0] == 5
 
 
+def test_report_views(spark):
+    sales.create_report_views(shop(spark))
+    assert spark.table("vw_customer_order_summary").count() == 3
+    months = spark.sql("select sum(total_orders) from vw_monthly_sales_summary")
+    assert months.first()[0] == 5
+
+
+def test_csv_as_written_by_other_tools(spark, tmp_path):
+    """Unquoted text, float spelling of amounts, a space in the timestamp."""
+    (tmp_path / "orders.csv").write_text(
+        "order_id,customer_id,order_date,order_date_only,order_status,payment_method,"
+        "subtotal,discount_amount,shipping_fee,total_amount,total_cost,gross_profit,"
+        "order_sequence\n"
+        "ORD-000001,CUST-00001,2024-01-05 10:20:30,2024-01-05,Completed,PayPal,"
+        "159.98000000000002,,4.99,164.97,71.0,88.98,1\n"
+    )
+    (row,) = rows(files.read_csv_table(spark, str(tmp_path / "orders.csv"), "orders"))
+    assert row[2:8] == (
+        dt.datetime(2024, 1, 5, 10, 20, 30), dt.date(2024, 1, 5), "Completed", "PayPal",
+        159.98, 0.0,
+    )
+    (tmp_path / "products.csv").write_text(
+        "product_id,product_name,category,unit_price,unit_cost,margin_percentage\n"
+        "204,Thermal Merino Wool Socks (3-Pack),Apparel,24.0,6.0,75.0\n"
+        '305,"Knife, 8-inch",Home & Kitchen,59.99,20.0,66.66\n'
+    )
+    products = files.read_csv_table(spark, str(tmp_path / "products.csv"), "products")
+    assert rows(products)[1] == (305, "Knife, 8-inch", "Home & Kitchen", 59.99, 20.0, 66.66)
+
+
 def test_document(spark, tmp_path):
     path = str(tmp_path / "dashboard")
     export.write_dashboard(shop(spark), path)

@@ -11,12 +11,14 @@ from tillroll.operators import skew
 
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 
-# one key per row class; the rest is copied as it is
+# the hot order is a completed one; other tables are copied as they are
 _SKEW = {
     "orders": """SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END
                  AS o_custkey) FROM t""",
     "lineitem": """SELECT * REPLACE (
-          CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 11 ELSE l_orderkey END
+          CASE WHEN (l_orderkey + l_linenumber) % 3 = 0
+               THEN (SELECT MIN(o_orderkey) FROM o WHERE o_orderstatus = 'F')
+               ELSE l_orderkey END
             AS l_orderkey,
           CASE WHEN (l_orderkey + l_linenumber) % 3 = 1 THEN 5 ELSE l_partkey END
             AS l_partkey) FROM t""",
@@ -34,6 +36,7 @@ def skewed_dir(sf_dir, tmp_path_factory):
     for name in ("region", "nation", "customer", "part", "orders", "lineitem"):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW t AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+        con.execute(f"CREATE VIEW o AS SELECT * FROM read_parquet('{sf_dir}/orders.parquet')")
         sql = _SKEW.get(name, "SELECT * FROM t")
         con.execute(f"COPY ({sql}) TO '{out}/{name}.parquet' (FORMAT parquet)")
     return str(out)

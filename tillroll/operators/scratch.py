@@ -8,6 +8,7 @@ recomputation that could slice the rows differently.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,21 +17,36 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="tillroll-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(_SETTING, None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError(
-            f"{_SETTING} must name a folder that every executor can reach"
-        )
-    root = tempfile.mkdtemp(prefix="tillroll-")
-    spark.conf.set(_SETTING, root)
-    return root
+    if spark.conf.get("spark.master", "local").startswith("local"):
+        return _local_root()
+    raise RuntimeError(f"{_SETTING} must name a folder that every executor can reach")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/tillroll/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's scratch folder."""
+    app = spark.sparkContext.applicationId
+    folder = f"{scratch_root(spark)}/tillroll-{app}"
+    _make_folder(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _make_folder(folder: str) -> None:
+    """Make the folder and have it removed when the application ends."""
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # MAX_HOT keys can, so the list that reaches the driver is bounded.
 MAX_HOT = 4000
 ROWS_PER_TASK = 2_000_000
+# Range slices are bounded too: their borders are sampled on the driver.
+MAX_SLICES = 5000
+
+
+def slices_for(rows: int) -> int:
+    """Range slices for ``rows`` rows, one where a task can take them all."""
+    return max(1, min(MAX_SLICES, ceil(rows / ROWS_PER_TASK)))
 
 
 @dataclass(frozen=True)
@@ -30,17 +37,13 @@ class HotKeys:
         return F.coalesce(key.isin(list(self.counts)), F.lit(False))
 
     def slices(self) -> int:
-        """Tasks needed to give no task more than ``ROWS_PER_TASK`` hot rows."""
-        return max(2, ceil(sum(self.counts.values()) / ROWS_PER_TASK))
+        return slices_for(sum(self.counts.values()))
 
     def fanout(self) -> int:
         """Salts needed by the largest key."""
         return max(2, ceil(max(self.counts.values()) / ROWS_PER_TASK))
 
 
-NO_HOT_KEYS = HotKeys()
-
-
 def hot_keys(df: DataFrame, *keys: str) -> list[HotKeys]:
     """Heavy hitters of each key column, from one scan of just those columns.
 

@@ -7,8 +7,6 @@ t - 1 literals per column: no shuffle of the wide rows, no join back.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.operators import skew
@@ -48,7 +46,7 @@ def add_ntiles(
             )
         ),
     )
-    cuts = _rows_at_ranks(narrow, wanted, ceil(n * len(scores) / skew.ROWS_PER_TASK))
+    cuts = _rows_at_ranks(narrow, wanted, skew.slices_for(n * len(scores)))
     return df.withColumns(
         {
             name: sum(
@@ -74,7 +72,7 @@ def _rows_at_ranks(narrow: DataFrame, ranks: set[int], slices: int) -> dict:
     """``{score: [(value, id) at each rank]}``: at most len(scores) * tiles rows."""
     if not ranks:
         return {}
-    if slices <= 1:
+    if slices == 1:
         sliced = narrow.withColumn("_slice", F.lit(0))
         starts = None
     else:

@@ -444,6 +444,26 @@ def _dq() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _reports()
+    sections = [
+        ("kpis", "executive_kpis", "total_orders"),
+        ("repeat_rate", "repeat_customer_rate", "repeat_customers"),
+        ("monthly_trend", "monthly_trend", "orders"),
+        ("category_performance", "category_performance", "units_sold"),
+        ("cohort_matrix", "cohort_matrix_dashboard", "active_users"),
+        ("rfm_segments", "rfm_dashboard", "customer_count"),
+        ("market_basket", "top_pairs_dashboard", "co_orders"),
+        ("channels", "channel_distribution", "orders"),
+    ]
+    out["dashboard_sections"] = "\nUNION ALL ".join(
+        f"SELECT '{name}' AS section, CAST(COUNT(*) AS INTEGER) AS n_rows, "
+        f"CAST(SUM({measure}) AS BIGINT) AS total FROM ({out[query]})"
+        for name, query, measure in sections
+    )
+    return out
+
+
+def _reports() -> dict[str, str]:
     churn = _pct("before - n", "before", 2)
     return {
         "customer_order_summary": _q(

@@ -79,6 +79,7 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "lod_customer_fields": bi.lod_customer_fields,
     "rfm_threshold_segments": rfm.threshold_segments,
     "dashboard_payload": export.dashboard_payload,
+    "dashboard_sections": export.dashboard_sections,
     "conditional_survival": lifecycle.conditional_survival,
     "repurchase_median": lifecycle.repurchase_median,
     "avg_month1_retention": cohort.avg_month1_retention,

@@ -94,6 +94,45 @@ def dashboard_payload(t: RetailTables) -> DataFrame:
     )
 
 
+# section -> measure that is summed when a document is checked
+_MEASURES = {
+    "kpis": "total_orders",
+    "repeat_rate": "repeat_customers",
+    "monthly_trend": "orders",
+    "category_performance": "units_sold",
+    "cohort_matrix": "active_users",
+    "rfm_segments": "customer_count",
+    "market_basket": "co_orders",
+    "channels": "orders",
+}
+
+
+def dashboard_sections(t: RetailTables) -> DataFrame:
+    """The written document read back: rows per section and the sum of a measure."""
+    path = scratch_path(t.products.sparkSession, "dashboard")
+    write_dashboard(t, path)
+    fields = []
+    for name, measure in _MEASURES.items():
+        row = f"struct<{measure}: bigint>"
+        fields.append(f"{name}: {row if name in _RECORDS else f'array<{row}>'}")
+    document = F.from_json("value", f"struct<{', '.join(fields)}>")
+
+    def section(name, measure):
+        rows = F.col("d").getField(name)
+        if name in _RECORDS:
+            rows = F.array(rows)
+        total = F.aggregate(
+            rows, F.lit(0).cast("bigint"), lambda acc, r: acc + r.getField(measure)
+        )
+        return F.struct(
+            F.lit(name).alias("section"), F.size(rows).alias("n_rows"), total.alias("total")
+        )
+
+    sections = F.array(*[section(n, m) for n, m in _MEASURES.items()])
+    text = t.products.sparkSession.read.text(path, wholetext=True)
+    return text.select(document.alias("d")).select(F.inline(sections))
+
+
 def write_dashboard(t: RetailTables, path: str) -> None:
     sinks.write_document(dashboard_payload(t), path)
 
@@ -121,6 +160,14 @@ def write_retail_parquet(t: RetailTables, folder: str) -> None:
         sinks.write_parquet(df, f"{folder}/{name}")
 
 
+def write_retail_tables(t: RetailTables, prefix: str, buckets: int) -> None:
+    """The same as catalogue tables. Orders and lines are bucketed by order, the key
+    they are joined on."""
+    keys = {"orders": "order_id", "order_items": "order_id"}
+    for name, df in _exports(t).items():
+        sinks.write_table(df, prefix + name, keys.get(name), buckets)
+
+
 def products_through_csv(t: RetailTables) -> DataFrame:
     """The product catalogue written as CSV and read back with its schema."""
     path = scratch_path(t.products.sparkSession, "products-csv")

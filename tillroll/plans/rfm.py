@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -168,14 +169,27 @@ def rfm_five_segments(t: RetailTables, **params) -> DataFrame:
     )
 
 
-# Thresholds of the threshold-based segments.
-CHAMPION_DAYS, CHAMPION_ORDERS, CHAMPION_SPEND = 90, 4, 500
-LOYAL_DAYS, LOYAL_ORDERS = 180, 3
-NEW_DAYS, NEW_ORDERS = 60, 2
+# The default bounds are those of the BI model.
+@dataclass(frozen=True)
+class Thresholds:
+    champion_days: int = 90
+    champion_orders: int = 4
+    champion_spend: int = 500
+    loyal_days: int = 180
+    loyal_orders: int = 3
+    new_days: int = 60
+    new_orders: int = 2
 
 
-def threshold_segments(t: RetailTables, snapshot: dt.date | None = None) -> DataFrame:
-    """Segments by fixed thresholds over orders of every status, per customer."""
+def threshold_segments(
+    t: RetailTables,
+    bounds: Thresholds = Thresholds(),
+    snapshot: dt.date | None = None,
+) -> DataFrame:
+    """Segments by fixed thresholds over orders of every status, per customer.
+
+    Recency counts to ``snapshot``, by default the latest order of all.
+    """
     # written at customer grain, so the facts are read once for both uses
     per_customer = materialize(
         t.orders.groupBy("customer_id").agg(
@@ -187,25 +201,26 @@ def threshold_segments(t: RetailTables, snapshot: dt.date | None = None) -> Data
     )
     if snapshot is None:
         snapshot = per_customer.agg(F.max("last_order_date")).first()[0]
-    last = F.lit(snapshot).cast("date")
     days, orders, spend = (
         F.col(c) for c in ("recency_days", "order_frequency", "customer_ltv")
     )
+    champion = (
+        (days <= bounds.champion_days)
+        & (orders >= bounds.champion_orders)
+        & (spend >= bounds.champion_spend)
+    )
+    regular = orders >= bounds.loyal_orders
+    recently_new = (days <= bounds.new_days) & (orders <= bounds.new_orders)
     return per_customer.select(
         "customer_id",
-        F.datediff(last, "last_order_date").alias("recency_days"),
+        F.datediff(F.lit(snapshot).cast("date"), "last_order_date").alias("recency_days"),
         "order_frequency",
         "customer_ltv",
     ).withColumn(
         "rfm_segment",
-        F.when(
-            (days <= CHAMPION_DAYS)
-            & (orders >= CHAMPION_ORDERS)
-            & (spend >= CHAMPION_SPEND),
-            "Champions",
-        )
-        .when((days <= LOYAL_DAYS) & (orders >= LOYAL_ORDERS), "Loyal Customers")
-        .when((days <= NEW_DAYS) & (orders <= NEW_ORDERS), "Promising New")
-        .when((days > LOYAL_DAYS) & (orders >= LOYAL_ORDERS), "At Risk Customers")
+        F.when(champion, "Champions")
+        .when((days <= bounds.loyal_days) & regular, "Loyal Customers")
+        .when(recently_new, "Promising New")
+        .when((days > bounds.loyal_days) & regular, "At Risk Customers")
         .otherwise(OTHERWISE),
     )

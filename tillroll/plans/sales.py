@@ -79,6 +79,12 @@ def monthly_trend(t: RetailTables) -> DataFrame:
     )
 
 
+def create_report_views(t: RetailTables) -> None:
+    """The two standing reports under their SQL names."""
+    customer_order_summary(t).createOrReplaceTempView("vw_customer_order_summary")
+    monthly_sales_summary(t).createOrReplaceTempView("vw_monthly_sales_summary")
+
+
 def executive_kpis(t: RetailTables) -> DataFrame:
     totals = t.completed().agg(
         F.sum("total_amount").alias("total_gmv"),

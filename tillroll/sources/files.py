@@ -1,4 +1,4 @@
-"""Retail tables from files in their own schema."""
+"""Retail tables from files or catalogue tables in their own schema."""
 
 from __future__ import annotations
 
@@ -15,12 +15,20 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Check that ``df`` has the declared columns and cast them to their types."""
+    """Check that ``df`` has the declared columns and cast them to their types.
+
+    Ids keep the type they are stored with, and with it any bucketing on them.
+    """
     schema = SCHEMAS[table]
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
         raise ValueError(f"{table}: missing columns {missing}")
-    typed = df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    typed = df.select(
+        *[
+            F.col(f.name) if f.name.endswith("_id") else F.col(f.name).cast(f.dataType)
+            for f in schema
+        ]
+    )
     return with_defaults(typed, table)
 
 
@@ -45,3 +53,8 @@ def load_parquet_tables(spark: SparkSession, folder: str) -> RetailTables:
     return RetailTables(
         **{t: conform(spark.read.parquet(f"{folder}/{t}"), t) for t in SCHEMAS}
     )
+
+
+def load_catalog_tables(spark: SparkSession, prefix: str = "") -> RetailTables:
+    """From catalogue tables ``<prefix>customers`` and so on."""
+    return RetailTables(**{t: conform(spark.table(prefix + t), t) for t in SCHEMAS})

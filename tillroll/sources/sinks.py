@@ -14,8 +14,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def write_table(
+    df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 1
+) -> None:
+    """A catalogue table, bucketed where later joins or groupings share a key: they
+    then read it in place instead of shuffling it."""
+    writer = df.write.mode("overwrite")
+    if bucket_by:
+        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    writer.saveAsTable(name)
 
 
 def write_document(df: DataFrame, path: str) -> None:
