@@ -102,11 +102,11 @@ def test_csv_as_written_by_other_tools(spark, tmp_path):
     )
     (tmp_path / "products.csv").write_text(
         "product_id,product_name,category,unit_price,unit_cost,margin_percentage\n"
-        "204,Thermal Merino Wool Socks (3-Pack),Apparel,24.0,6.0,75.0\n"
-        '305,"Knife, 8-inch",Home & Kitchen,59.99,20.0,66.66\n'
+        "7,Wool Hat (Grey),Clothes,24.0,6.0,75.0\n"
+        '8,"Pan, 20 cm",Kitchen & More,59.99,20.0,66.66\n'
     )
     products = files.read_csv_table(spark, str(tmp_path / "products.csv"), "products")
-    assert rows(products)[1] == (305, "Knife, 8-inch", "Home & Kitchen", 59.99, 20.0, 66.66)
+    assert rows(products)[1] == (8, "Pan, 20 cm", "Kitchen & More", 59.99, 20.0, 66.66)
 
 
 def test_document(spark, tmp_path):

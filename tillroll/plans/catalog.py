@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.functions.exact import decimals_to_double
+from tillroll.operators.skew import salted_join
 from tillroll.plans import basket, bi, cohort, export, lifecycle, quality, rfm, sales, stats
 from tillroll.sources.calendar import calendar
 from tillroll.sources.tables import RetailTables
@@ -22,8 +23,9 @@ def _brand_baskets(t) -> basket.BasketInput:
     )
     brand = t._raw("part").select("p_partkey", F.col("p_brand").alias("product_id"))
     name = F.col("product_id")
+    branded = salted_join(lines, brand, "p_partkey", t.hot_products, ["order_id"])
     return basket.BasketInput(
-        lines.join(brand, "p_partkey").select("order_id", "product_id"),
+        branded.select("order_id", "product_id"),
         t.completed_keys(),
         t.completed(),
         brand.select("product_id")

@@ -47,7 +47,8 @@ class _CompletedOnce(RetailTables):
     hot_customers = property(lambda self: self._t.hot_customers)
 
 
-# section -> (analysis, columns its rows are ordered by, minus = descending)
+# The section names of the document. A record section has one row; a
+# list section has the columns its rows are ordered by, minus for descending.
 _RECORDS = {
     "kpis": sales.executive_kpis,
     "repeat_rate": lifecycle.repeat_customer_rate,

@@ -12,7 +12,7 @@ from tillroll.functions.tails import (
 )
 from tillroll.operators.ranks import power_sums, rank_sums
 from tillroll.sources.schemas import COMPLETED
-from tillroll.sources.tables import RetailTables
+from tillroll.sources.tables import ORDER_OF_PURCHASE, RetailTables
 
 ALPHA = 0.05
 
@@ -232,16 +232,24 @@ def h2_chi_square(t: RetailTables, with_p: bool = False) -> DataFrame:
 
 
 def _first_baskets(t: RetailTables) -> DataFrame:
-    """``is_multi, lifetime_spend`` of customers whose first order was completed."""
-    first = t.first_orders(1).where(F.col("order_status") == COMPLETED)
-    if "line_count" not in first.columns:
-        first = first.join(t.line_counts(), "order_id")
-    spend = t.completed().groupBy("customer_id").agg(
-        F.sum("total_amount").alias("lifetime_spend")
-    )
-    return first.select("customer_id", "line_count").join(spend, "customer_id").select(
-        (F.col("line_count") > 1).alias("is_multi"), "lifetime_spend"
+    """``is_multi, lifetime_spend`` of customers whose first order was completed.
+
+    The first order (the smallest by position) and the spend of a customer come from
+    one map-side combined pass over the orders.
+    """
+    completed = F.col("order_status") == COMPLETED
+    position = ["order_sequence", "order_id"] if t.has_sequence else ORDER_OF_PURCHASE
+    per_customer = t.orders.groupBy("customer_id").agg(
+        F.min(F.struct(*position, "order_status", *t.order_line_count)).alias("first"),
+        F.sum(F.when(completed, F.col("total_amount"))).alias("lifetime_spend"),
     )
+    if t.has_sequence:
+        # a stored sequence may begin later than 1
+        per_customer = per_customer.where(F.col("first.order_sequence") == 1)
+    first = per_customer.select("first.*", "lifetime_spend").where(completed)
+    if not t.order_line_count:
+        first = first.join(t.line_counts(), "order_id")
+    return first.select((F.col("line_count") > 1).alias("is_multi"), "lifetime_spend")
 
 
 def h3_first_basket_ltv(t: RetailTables, with_p: bool = False) -> DataFrame:
@@ -281,7 +289,8 @@ def _result(df, hypothesis, test_type, statistic, p, takeaway, alpha):
 
 
 def test_results_table(t: RetailTables, alpha: float = ALPHA) -> DataFrame:
-    """The three tests as one report. The texts are fixed values."""
+    """The three tests as one report."""
+    # The texts of the report.
     h1 = _result(
         h1_discount_effect(t, with_p=True),
         "H1: Promotional Discounts lift AOV",

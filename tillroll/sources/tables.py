@@ -50,6 +50,11 @@ class RetailTables:
         """Customers without the signup date."""
         return self.customers.drop("signup_date")
 
+    @property
+    def order_line_count(self) -> list[str]:
+        """The column of ``orders`` with its number of lines, if there is one."""
+        return [c for c in self.orders.columns if c == "line_count"]
+
     def line_counts(self) -> DataFrame:
         """Lines per order, counted before any join so a huge order is one row."""
         return self.order_items.groupBy("order_id").agg(

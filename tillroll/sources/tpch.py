@@ -181,9 +181,6 @@ class TpchTables(RetailTables):
         """Without the lines, which whoever joins these keys brings along."""
         return self._rows_with(COMPLETED).select(F.col("o_orderkey").alias("order_id"))
 
-    def line_counts(self) -> DataFrame:
-        return self.orders.select("order_id", "line_count")
-
     # -- hot keys from the stored key columns --------------------------------------
 
     @cached_property
