@@ -34,6 +34,10 @@ def test_hot_keys(skewed, monkeypatch):
     assert set(hot.counts) == {0}
     both = hot_keys(skewed, "k", "id")
     assert [set(h.counts) for h in both] == [{0}, set()]
+    text = skewed.select(F.when(F.col("k") > 30, F.concat(F.lit("c"), "k")).alias("k"))
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 20)
+    (hot,) = hot_keys(text, "k")  # missing keys are never hot
+    assert hot and all(k.startswith("c") for k in hot.counts)
 
 
 @pytest.mark.parametrize("hot", [HotKeys({0: 1000}), HotKeys({0: 1000, 7: 30, 99: 1})])

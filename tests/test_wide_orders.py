@@ -64,6 +64,17 @@ def test_wide_orders(spark, wide, products, least, top_k):
     assert _got(basket.market_basket_pairs(t, least, top_k)) == expected
 
 
+def test_agrees_with_fp_growth(spark):
+    from pyspark.ml.fpm import FPGrowth
+
+    orders = [o for o in _orders(11, 60, [], 9) if o[3] == "Completed"]
+    sets = spark.createDataFrame([(sorted(set(o[-1])),) for o in orders], "items array<int>")
+    found = FPGrowth(minSupport=2 / len(orders)).fit(sets).freqItemsets.collect()
+    pairs = {tuple(sorted(r["items"])): r.freq for r in found if len(r["items"]) == 2}
+    ours = basket.market_basket_pairs(shop(spark, orders, channels={"C1": "Email"}), 2, None)
+    assert {(a, b): n for a, b, n, *_ in _got(ours)} == pairs
+
+
 def test_hot_order(spark, monkeypatch):
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
     orders = _orders(5, 40, [80, 20], 30)

@@ -7,30 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.functions.exact import decimals_to_double
-from tillroll.operators.skew import salted_join
 from tillroll.plans import basket, bi, cohort, export, lifecycle, quality, rfm, sales, stats
 from tillroll.sources.calendar import calendar
 from tillroll.sources.tables import RetailTables
-from tillroll.sources.tpch import load_tpch_tables
+from tillroll.sources.tpch import TpchTables, load_tpch_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _brand_baskets(t) -> basket.BasketInput:
+def _brand_baskets(t: TpchTables) -> basket.BasketInput:
     """Baskets of brands: parts are so many that few pairs of them ever repeat."""
-    lines = t._raw("lineitem").select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("p_partkey")
-    )
-    brand = t._raw("part").select("p_partkey", F.col("p_brand").alias("product_id"))
-    name = F.col("product_id")
-    branded = salted_join(lines, brand, "p_partkey", t.hot_products, ["order_id"])
+    brand = F.col("brand")
     return basket.BasketInput(
-        branded.select("order_id", "product_id"),
+        t.brand_lines().select("order_id", brand.alias("product_id")),
         t.completed_keys(),
         t.completed(),
-        brand.select("product_id")
-        .distinct()
-        .select(name, name.alias("product_name"), F.lit("Brand").alias("category")),
+        t.brands().select(
+            brand.alias("product_id"),
+            brand.alias("product_name"),
+            F.lit("Brand").alias("category"),
+        ),
         t.hot_orders,
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tillroll.functions.exact import cents_to_amount, ratio
-from tillroll.operators.skew import HotKeys, hot_keys
+from tillroll.operators.skew import HotKeys, hot_keys, salted_join
 from tillroll.sources.schemas import CANCELLED, COMPLETED, RETURNED
 from tillroll.sources.tables import RetailTables
 
@@ -181,6 +181,22 @@ class TpchTables(RetailTables):
         """Without the lines, which whoever joins these keys brings along."""
         return self._rows_with(COMPLETED).select(F.col("o_orderkey").alias("order_id"))
 
+    # -- brands: a coarser product grain --------------------------------------------
+
+    def _part_brands(self) -> DataFrame:
+        return self._raw("part").select(
+            F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand")
+        )
+
+    def brands(self) -> DataFrame:
+        return self._part_brands().select("brand").distinct()
+
+    def brand_lines(self) -> DataFrame:
+        lines = self._lines.select("order_id", "product_id")
+        return salted_join(
+            lines, self._part_brands(), "product_id", self.hot_products, ["order_id"]
+        ).select("order_id", "brand")
+
     # -- hot keys from the stored key columns --------------------------------------
 
     @cached_property
