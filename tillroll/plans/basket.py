@@ -32,14 +32,15 @@ _BLOCKS = 16
 @dataclass(frozen=True)
 class BasketInput:
     """``lines(order_id, product_id)`` of any status, ``keys(order_id)`` of the orders
-    that count, those orders themselves, and ``products(product_id, product_name,
-    category)``."""
+    that count, those orders themselves, ``products(product_id, product_name,
+    category)``, and the hot keys of the lines."""
 
     lines: DataFrame
     keys: DataFrame
     orders: DataFrame
     products: DataFrame
     hot_orders: HotKeys
+    hot_products: HotKeys = HotKeys()
 
 
 def product_baskets(t: RetailTables) -> BasketInput:
@@ -49,6 +50,7 @@ def product_baskets(t: RetailTables) -> BasketInput:
         t.completed(),
         t.products.select("product_id", "product_name", "category"),
         t.hot_orders,
+        t.hot_products,
     )
 
 
@@ -178,11 +180,16 @@ def _affinity(
     return pairs, singles
 
 
-def _with_side(pairs: DataFrame, side: DataFrame, key: str, top_k: int | None):
+def _with_side(
+    pairs: DataFrame, side: DataFrame, key: str, top_k: int | None, hot: HotKeys
+):
     """Join a per-product table to one end of the pairs. With a limit the pairs are
-    at most ``top_k`` rows, the only size that is broadcast here by name."""
-    renamed = side.withColumnRenamed("product_id", key)
-    return renamed.join(F.broadcast(pairs) if top_k else pairs, key)
+    at most ``top_k`` rows, the only size that is broadcast here by name; without one
+    a hot product may be in a large part of them."""
+    side = side.withColumnRenamed("product_id", key)
+    if top_k:
+        return side.join(F.broadcast(pairs), key)
+    return salted_join(pairs, side, key, hot, ["a", "b"])
 
 
 def market_basket_pairs(
@@ -196,14 +203,18 @@ def market_basket_pairs(
     pairs, singles = _affinity(source, min_pair_orders, top_k, max_width)
     for end in ("a", "b"):
         pairs = _with_side(
-            pairs, singles.withColumnRenamed("orders", f"orders_{end}"), end, top_k
+            pairs,
+            singles.withColumnRenamed("orders", f"orders_{end}"),
+            end,
+            top_k,
+            source.hot_products,
         )
         names = source.products.select(
             "product_id",
             F.col("product_name").alias(f"name_{end}"),
             F.col("category").alias(f"category_{end}"),
         )
-        pairs = _with_side(pairs, names, end, top_k)
+        pairs = _with_side(pairs, names, end, top_k, source.hot_products)
     total = source.orders.agg(F.count("*")).scalar()
     together = F.col("together")
     return pairs.select(
@@ -236,7 +247,7 @@ def top_pairs_dashboard(
             F.col("product_name").alias(f"{label}_name"),
             F.col("category").alias(f"{label}_cat"),
         )
-        pairs = _with_side(pairs, names, end, top_k)
+        pairs = _with_side(pairs, names, end, top_k, source.hot_products)
     total = source.orders.agg(F.count("*")).scalar()
     return pairs.orderBy(F.desc("together"), "a", "b").select(
         "p1_name",
