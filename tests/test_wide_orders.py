@@ -81,7 +81,11 @@ def test_hot_order(spark, monkeypatch):
     orders = _orders(5, 40, [80, 20], 30)
     t = shop(spark, orders, channels={"C1": "Email"})
     source = basket.product_baskets(t)
-    hot = replace(source, hot_orders=HotKeys({"O0": 80}), hot_products=HotKeys({3: 50}))
+    hot = replace(
+        source,
+        hot_orders=lambda: HotKeys({"O0": 80}),
+        hot_products=lambda: HotKeys({3: 50}),
+    )
     for top_k in (20, None):
         got = basket.market_basket_pairs(t, 2, top_k, max_width=12, source=hot)
         assert _got(got) == _brute(orders, 2, top_k)[0]

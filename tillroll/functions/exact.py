@@ -7,7 +7,7 @@ are summed nor on how an engine rounds binary fractions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DecimalType
 
 _SUM = "decimal(34,2)"
@@ -42,14 +42,7 @@ def safe_divide(num: Column, den: Column, alternate: float = 0.0) -> Column:
     )
 
 
-def cents_to_amount(cents: Column, digits: int = 15) -> Column:
-    """Integer cents as DECIMAL(18,2). Up to 15 digits the product stays a decimal
-    that Spark holds in a long."""
-    exact = cents.cast(f"decimal({digits},0)") * F.lit("0.01").cast("decimal(2,2)")
-    return exact.cast("decimal(18,2)")
-
-
-def decimals_to_double(df):
+def decimals_to_double(df: DataFrame) -> DataFrame:
     """Amounts leave the library as doubles, as the report tables declare them."""
     return df.select(
         *[

@@ -16,6 +16,7 @@ Together this is exact for any mix of orders.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -33,14 +34,14 @@ _BLOCKS = 16
 class BasketInput:
     """``lines(order_id, product_id)`` of any status, ``keys(order_id)`` of the orders
     that count, those orders themselves, ``products(product_id, product_name,
-    category)``, and the hot keys of the lines."""
+    category)``, and how to find the hot keys of the lines should they matter."""
 
     lines: DataFrame
     keys: DataFrame
     orders: DataFrame
     products: DataFrame
-    hot_orders: HotKeys
-    hot_products: HotKeys = HotKeys()
+    hot_orders: Callable[[], HotKeys] = HotKeys
+    hot_products: Callable[[], HotKeys] = HotKeys
 
 
 def product_baskets(t: RetailTables) -> BasketInput:
@@ -49,8 +50,8 @@ def product_baskets(t: RetailTables) -> BasketInput:
         t.completed_keys(),
         t.completed(),
         t.products.select("product_id", "product_name", "category"),
-        t.hot_orders,
-        t.hot_products,
+        lambda: t.hot_orders,
+        lambda: t.hot_products,
     )
 
 
@@ -143,13 +144,10 @@ def _affinity(
     wide_keys = widths.where(F.col("width") > max_width).select("order_id")
     n_wide = wide_keys.count()
 
+    # a hot order is a wide one
+    hot = source.hot_orders() if n_wide else HotKeys()
     lines = salted_join(
-        source.lines,
-        source.keys,
-        "order_id",
-        source.hot_orders,
-        ["product_id"],
-        how="left_semi",
+        source.lines, source.keys, "order_id", hot, ["product_id"], how="left_semi"
     )
     if not n_wide:
         sets = _order_sets(lines)
@@ -158,12 +156,7 @@ def _affinity(
         flags = materialize(wide_keys.withColumn("is_wide", F.lit(True)), "wide-orders")
         flagged = materialize(
             salted_join(
-                lines.distinct(),
-                flags,
-                "order_id",
-                source.hot_orders,
-                ["product_id"],
-                how="left",
+                lines.distinct(), flags, "order_id", hot, ["product_id"], how="left"
             ),
             "baskets",
         )
@@ -181,7 +174,7 @@ def _affinity(
 
 
 def _with_side(
-    pairs: DataFrame, side: DataFrame, key: str, top_k: int | None, hot: HotKeys
+    pairs: DataFrame, side: DataFrame, key: str, top_k: int | None, source: BasketInput
 ):
     """Join a per-product table to one end of the pairs. With a limit the pairs are
     at most ``top_k`` rows, the only size that is broadcast here by name; without one
@@ -189,7 +182,7 @@ def _with_side(
     side = side.withColumnRenamed("product_id", key)
     if top_k:
         return side.join(F.broadcast(pairs), key)
-    return salted_join(pairs, side, key, hot, ["a", "b"])
+    return salted_join(pairs, side, key, source.hot_products(), ["a", "b"])
 
 
 def market_basket_pairs(
@@ -207,14 +200,14 @@ def market_basket_pairs(
             singles.withColumnRenamed("orders", f"orders_{end}"),
             end,
             top_k,
-            source.hot_products,
+            source,
         )
         names = source.products.select(
             "product_id",
             F.col("product_name").alias(f"name_{end}"),
             F.col("category").alias(f"category_{end}"),
         )
-        pairs = _with_side(pairs, names, end, top_k, source.hot_products)
+        pairs = _with_side(pairs, names, end, top_k, source)
     total = source.orders.agg(F.count("*")).scalar()
     together = F.col("together")
     return pairs.select(
@@ -247,7 +240,7 @@ def top_pairs_dashboard(
             F.col("product_name").alias(f"{label}_name"),
             F.col("category").alias(f"{label}_cat"),
         )
-        pairs = _with_side(pairs, names, end, top_k, source.hot_products)
+        pairs = _with_side(pairs, names, end, top_k, source)
     total = source.orders.agg(F.count("*")).scalar()
     return pairs.orderBy(F.desc("together"), "a", "b").select(
         "p1_name",

@@ -27,7 +27,7 @@ def _brand_baskets(t: TpchTables) -> basket.BasketInput:
             brand.alias("product_name"),
             F.lit("Brand").alias("category"),
         ),
-        t.hot_orders,
+        lambda: t.hot_orders,
     )
 
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.functions.exact import cents_to_amount, ratio
+from tillroll.functions.exact import pct
 from tillroll.operators.skew import HotKeys, hot_keys, salted_join
 from tillroll.sources.schemas import CANCELLED, COMPLETED, RETURNED
 from tillroll.sources.tables import RetailTables
@@ -22,21 +22,27 @@ from tillroll.sources.tables import RetailTables
 _STATUS_CODES = {COMPLETED: "F", RETURNED: "O"}
 
 
-def _cents(amount: str) -> Column:
-    return F.round(F.col(amount) * 100).cast("bigint")
+def _cents(amount: str) -> str:
+    return f"CAST(round({amount} * 100) AS BIGINT)"
 
 
-def _share(cents: Column, percent: Column) -> Column:
+def _share(cents: str, percent: str) -> str:
     """``percent`` % of an amount, half-up to the cent."""
-    return F.call_function("div", cents * percent + 50, F.lit(100).cast("bigint"))
+    return f"({cents} * {percent} + 50) DIV 100"
 
 
-def _cost_percent(product_key: str) -> Column:
-    return (F.lit(40) + F.col(product_key) % 31).cast("bigint")
+def _cost_percent(product_key: str) -> str:
+    return f"(40 + {product_key} % 31)"
 
 
-def _per_unit(cents: Column, quantity: Column) -> Column:
-    return F.call_function("div", cents * 2 + quantity, quantity * 2)
+def _amount(cents: str, digits: int = 15) -> str:
+    """Integer cents as DECIMAL(18,2). Up to 15 digits the product stays a decimal that
+    Spark holds in a long."""
+    return f"CAST(CAST({cents} AS DECIMAL({digits},0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2))"
+
+
+def _per_unit(cents: str) -> str:
+    return f"({cents} * 2 + quantity) DIV (CAST(quantity AS BIGINT) * 2)"
 
 
 _schemas: dict[str, StructType] = {}
@@ -89,77 +95,80 @@ class TpchTables(RetailTables):
 
     @cached_property
     def products(self) -> DataFrame:
-        price = _cents("p_retailprice")
-        cost = _share(price, _cost_percent("p_partkey"))
-        return self._raw("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_type").alias("category"),
-            cents_to_amount(price).cast("decimal(10,2)").alias("unit_price"),
-            cents_to_amount(cost).cast("decimal(10,2)").alias("unit_cost"),
-            ratio(price - cost, price, 100, 2).alias("margin_percentage"),
+        priced = self._raw("part").selectExpr("*", f"{_cents('p_retailprice')} AS price_c")
+        costed = priced.selectExpr(
+            "*", f"{_share('price_c', _cost_percent('p_partkey'))} AS cost_c"
+        )
+        margin = pct(F.col("price_c") - F.col("cost_c"), F.col("price_c"), 2)
+        return costed.withColumn("margin_percentage", margin).selectExpr(
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            "p_type AS category",
+            f"CAST({_amount('price_c')} AS DECIMAL(10,2)) AS unit_price",
+            f"CAST({_amount('cost_c')} AS DECIMAL(10,2)) AS unit_cost",
+            "margin_percentage",
         )
 
     # -- facts -----------------------------------------------------------------
 
     @cached_property
     def _lines(self) -> DataFrame:
-        price = _cents("l_extendedprice")
-        hundredths = lambda c: F.round(F.col(c) * 100).cast("bigint")
-        return self._raw("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            price.alias("price_cents"),
-            _share(price, _cost_percent("l_partkey")).alias("cost_cents"),
-            _share(price, hundredths("l_discount")).alias("discount_cents"),
-            _share(price, hundredths("l_tax")).alias("shipping_cents"),
+        return (
+            self._raw("lineitem")
+            .selectExpr(
+                "l_orderkey AS order_id",
+                "l_partkey AS product_id",
+                "l_linenumber AS line_number",
+                "CAST(l_quantity AS INT) AS quantity",
+                f"{_cents('l_extendedprice')} AS price_c",
+                f"{_cents('l_discount')} AS discount_pct",
+                f"{_cents('l_tax')} AS shipping_pct",
+            )
+            .selectExpr(
+                "*",
+                f"{_share('price_c', _cost_percent('product_id'))} AS cost_c",
+                f"{_share('price_c', 'discount_pct')} AS discount_c",
+                f"{_share('price_c', 'shipping_pct')} AS shipping_c",
+            )
         )
 
     @cached_property
     def order_items(self) -> DataFrame:
-        quantity = F.col("quantity").cast("bigint")
-        return self._lines.select(
-            "item_id",
+        return self._lines.selectExpr(
+            "concat_ws('-', order_id, line_number) AS item_id",
             "order_id",
             "product_id",
             "quantity",
-            cents_to_amount(_per_unit(F.col("price_cents"), quantity)).alias("unit_price"),
-            cents_to_amount(_per_unit(F.col("cost_cents"), quantity)).alias("unit_cost"),
-            cents_to_amount(F.col("price_cents")).alias("line_subtotal"),
-            cents_to_amount(F.col("cost_cents")).alias("line_cost"),
+            f"{_amount(_per_unit('price_c'))} AS unit_price",
+            f"{_amount(_per_unit('cost_c'))} AS unit_cost",
+            f"{_amount('price_c')} AS line_subtotal",
+            f"{_amount('cost_c')} AS line_cost",
         )
 
     def _orders(self, rows: DataFrame) -> DataFrame:
         totals = self._lines.groupBy("order_id").agg(
-            F.sum("price_cents").alias("subtotal_c"),
-            F.sum("discount_cents").alias("discount_c"),
-            F.sum("shipping_cents").alias("shipping_c"),
-            F.sum("cost_cents").alias("cost_c"),
-            F.count("item_id").alias("line_count"),
+            F.expr("sum(price_c) AS subtotal_c"),
+            F.expr("sum(discount_c) AS discount_c"),
+            F.expr("sum(shipping_c) AS shipping_c"),
+            F.expr("sum(cost_c) AS cost_c"),
+            F.expr("count(*) AS line_count"),
         )
-        subtotal, discount = F.col("subtotal_c"), F.col("discount_c")
-        shipping, cost = F.col("shipping_c"), F.col("cost_c")
+        status = " ".join(f"WHEN '{code}' THEN '{name}'" for name, code in _STATUS_CODES.items())
         # an order's sum has no such bound as a line's amount
-        amount = lambda cents: cents_to_amount(cents, digits=18)
-        status = F.col("o_orderstatus")
-        label = F.lit(CANCELLED)
-        for name, code in _STATUS_CODES.items():
-            label = F.when(status == code, name).otherwise(label)
-        return rows.join(totals, F.col("o_orderkey") == F.col("order_id")).select(
+        amount = lambda cents: _amount(cents, digits=18)
+        return rows.join(totals, rows["o_orderkey"] == totals["order_id"]).selectExpr(
             "order_id",
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("order_date"),
-            F.to_date("o_orderdate").alias("order_date_only"),
-            label.alias("order_status"),
-            F.col("o_orderpriority").alias("payment_method"),
-            amount(subtotal).alias("subtotal"),
-            amount(discount).alias("discount_amount"),
-            amount(shipping).alias("shipping_fee"),
-            amount(subtotal - discount + shipping).alias("total_amount"),
-            amount(cost).alias("total_cost"),
-            amount(subtotal - discount - cost).alias("gross_profit"),
+            "o_custkey AS customer_id",
+            "o_orderdate AS order_date",
+            "CAST(o_orderdate AS DATE) AS order_date_only",
+            f"CASE o_orderstatus {status} ELSE '{CANCELLED}' END AS order_status",
+            "o_orderpriority AS payment_method",
+            f"{amount('subtotal_c')} AS subtotal",
+            f"{amount('discount_c')} AS discount_amount",
+            f"{amount('shipping_c')} AS shipping_fee",
+            f"{amount('subtotal_c - discount_c + shipping_c')} AS total_amount",
+            f"{amount('cost_c')} AS total_cost",
+            f"{amount('subtotal_c - discount_c - cost_c')} AS gross_profit",
             "line_count",
         )
 
