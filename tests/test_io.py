@@ -109,6 +109,18 @@ def test_csv_as_written_by_other_tools(spark, tmp_path):
     assert rows(products)[1] == (8, "Pan, 20 cm", "Kitchen & More", 59.99, 20.0, 66.66)
 
 
+def test_results_file(spark, sf_dir, tmp_path):
+    from tillroll.sources.tpch import load_tpch_tables
+
+    path = str(tmp_path / "results.csv")
+    export.write_test_results(load_tpch_tables(spark, sf_dir), path)
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == [
+        "hypothesis", "test_type", "statistic", "p_value", "verdict", "business_takeaway",
+    ]
+    assert back.count() == 3
+
+
 def test_document(spark, tmp_path):
     path = str(tmp_path / "dashboard")
     export.write_dashboard(shop(spark), path)

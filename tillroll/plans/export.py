@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.operators.scratch import materialize, scratch_path
-from tillroll.plans import basket, bi, cohort, lifecycle, rfm, sales
+from tillroll.plans import basket, bi, cohort, lifecycle, rfm, sales, stats
 from tillroll.sources import files, sinks
 from tillroll.sources.schemas import PRODUCTS
 from tillroll.sources.tables import RetailTables
@@ -91,10 +91,12 @@ def dashboard_payload(t: RetailTables) -> DataFrame:
     ]
     one_row = t.completed().sparkSession.range(1)
     return one_row.select(
-        F.to_json(F.struct(*sections), {"pretty": "true"}).alias("document")
+        F.to_json(F.struct(*sections), _JSON).alias("document")
     )
 
 
+_JSON = {"pretty": "true", "ignoreNullFields": "false"}
+
 # section -> measure that is summed when a document is checked
 _MEASURES = {
     "kpis": "total_orders",
@@ -138,6 +140,10 @@ def write_dashboard(t: RetailTables, path: str) -> None:
     sinks.write_document(dashboard_payload(t), path)
 
 
+def write_test_results(t: RetailTables, path: str) -> None:
+    sinks.write_csv(stats.test_results_table(t), path)
+
+
 def _exports(t: RetailTables) -> dict[str, DataFrame]:
     return {
         "customers": t.customers,
