@@ -2,6 +2,7 @@
 
 import random
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -131,6 +132,25 @@ def test_exact_rounding(spark):
     assert rows(money.select(mean(F.col("a"), F.col("n")))) == [(1.01,)]  # 1.005
 
 
+def test_ratios_against_fractions(spark):
+    rng = random.Random(9)
+    amounts = [
+        (Decimal(rng.randrange(-10**12, 10**12)) / 100, rng.randrange(1, 10**7))
+        for _ in range(500)
+    ]
+    df = spark.createDataFrame(amounts, "x decimal(28,2), n bigint")
+    got = rows(df.select("x", "n", pct(F.col("x"), F.col("n"), 1), mean(F.col("x"), F.col("n"), 2)))
+
+    def half_up(value, dp):
+        scaled = abs(value) * 10**dp
+        units = int(scaled + Fraction(1, 2))
+        return (-units if value < 0 else units) / 10**dp
+
+    for (x, n), (_, _, p, m) in zip(amounts, got):
+        assert p == half_up(Fraction(x) / n * 100, 1)
+        assert m == half_up(Fraction(x) / n, 2)
+
+
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     assert scratch_root(spark)
 
