@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import language, quality
+from tillroll.llm import language, licenses, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op7_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
