@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from tillroll.llm import textbytes as tb
 
 #: Words and whole chunks whose encoding a worker remembers; both are emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -86,7 +86,7 @@ class Vocabulary:
                 self.machine.add_word(text[::-1], (i, len(text)))
         self.machine.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
 
     @staticmethod
@@ -126,56 +126,62 @@ class Vocabulary:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word in byte letters, without its end mark."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
         text = word + _END
         n = len(text)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        # The automaton gives the longest of the matches that end at a place first.
         for end, token in self.machine.iter(text[::-1]):
             starts[n - 1 - end].append(token)
-        for tokens in starts:
-            tokens.sort(key=lambda t: -t[1])
         taken: list[tuple[int, int, int]] = []  # id, length, place in its list
         dead = bytearray(n + 1)
         at, k = 0, 0
+        pairs = self.pairs
+        before = -1
         while at < n:
             tokens = starts[at]
-            before = taken[-1][0] if taken else None
             while k < len(tokens):
                 token, length = tokens[k]
-                if not dead[at + length] and (before is None or self.compatible(before, token)):
-                    break
+                if not dead[at + length]:
+                    fits = before < 0 or pairs.get(before << 20 | token)
+                    if fits or fits is None and self.compatible(before, token):
+                        break
                 k += 1
             if k < len(tokens):
                 taken.append((token, length, k))
-                at, k = at + length, 0
+                before, at, k = token, at + length, 0
             else:
                 dead[at] = 1
                 _, length, k = taken.pop()
+                before = taken[-1][0] if taken else -1
                 at, k = at - length, k + 1
-        ids = [t[0] for t in taken]
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        self.words[word] = ids
-        return ids
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a run of text without white space or special tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        ids: list[int] = []
-        for word in _WORDS.findall(chunk.lower()):
-            ids += self.encode_word(word.encode().decode("latin-1").translate(self.letters))
-        return ids
+        return [t[0] for t in taken]
+
+    def _word(self, word: str) -> tuple[str, str]:
+        known = self.words.get(word)
+        if known is None:
+            ids = self.encode_word(word.encode().decode("latin-1").translate(self.letters))
+            known = " ".join(map(str, ids)), self.decode(ids)
+            if len(word) <= 64:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = known
+        return known
 
     def decode(self, ids: list[int]) -> str:
         blob, offsets = self.blob, self.offsets
         return " ".join([blob[offsets[i] : offsets[i + 1]] for i in ids])
 
-    def _remember(self, chunk: str) -> tuple[str, str]:
-        ids = self.encode_chunk(chunk)
-        found = (" ".join(map(str, ids)), self.decode(ids))
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """A run of text without white space or special tokens, whose words are encoded alone."""
+        plain = chunk
+        if not plain.isascii():
+            plain = unicodedata.normalize("NFC", plain).replace("Σ", "σ")
+        words = _WORDS.findall(plain.lower())
+        if len(words) == 1:
+            found = self._word(words[0])
+        else:
+            known = [self._word(w) for w in words]
+            found = " ".join([k[0] for k in known]), " ".join([k[1] for k in known])
         if len(chunk) <= 64:
             if len(self.chunks) >= REMEMBERED:
                 self.chunks.clear()
@@ -193,7 +199,7 @@ class Vocabulary:
                 continue
             chunks = _NOT_SPACE.findall(part) if _ODD_SPACE.search(part) else part.split()
             known = self.chunks.get
-            found += [known(c) or self._remember(c) for c in chunks]
+            found += [known(c) or self._chunk(c) for c in chunks]
         found = [f for f in found if f[0]]
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
