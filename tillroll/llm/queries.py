@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, language, licenses, pii, quality, toxicity
+from tillroll.llm import bpe, jaccard, language, licenses, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language_id, op7_license_scan, op8_bpe, op9_toxicity, op10_personal_data)}
+    found = (
+        op1_quality_rules,
+        op2_language_id,
+        op6_jaccard_join,
+        op7_license_scan,
+        op8_bpe,
+        op9_toxicity,
+        op10_personal_data,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
