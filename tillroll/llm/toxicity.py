@@ -155,18 +155,18 @@ class ToxicModel:
 
 def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     """Scaled kernels of units and landmarks."""
-    table = np.zeros((len(landmarks), _LETTERS**ORDER), np.float32)
+    held = []
     for length, at, part in by_length(landmarks):
         code = codes(part)
         index, decay = subsequences(length)
-        found = keys(code, index)
-        norm = np.sqrt(np.maximum(self_kernel(code), 1e-12))
-        for row, k, scale in zip(found, at, norm):
-            np.add.at(table[k], row, decay / scale)
-    used = np.flatnonzero(table.any(0))
-    place = np.zeros(_LETTERS**ORDER, np.int64)
+        held.append((at, keys(code, index), decay / np.sqrt(np.maximum(self_kernel(code), 1e-12))[:, None]))
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *(k.ravel() for _, k, _ in held)]))
+    place = np.zeros(_LETTERS**ORDER, np.int32)
     place[used] = np.arange(1, len(used) + 1)
-    narrow = np.hstack((np.zeros((len(landmarks), 1), np.float32), table[:, used])).T.copy()
+    # Row 0 stands for all subsequences that no landmark has.
+    narrow = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+    for at, found, weight in held:
+        np.add.at(narrow, (place[found], np.array(at)[:, None]), weight)
     out = np.zeros((len(units), len(landmarks)), np.float32)
     for length, at, part in by_length(units):
         code = codes(part)
