@@ -96,7 +96,7 @@ def test_hard_groups(spark):
 def test_hot_pivots_and_few_hubs(spark, monkeypatch):
     """The numbers that steer the work change no link."""
     monkeypatch.setattr(jaccard, "HOT", 3)
-    monkeypatch.setattr(jaccard, "SPARE", 1)
+    monkeypatch.setattr(jaccard, "spare", lambda regions: regions * 0)
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", 1)
     texts = hard_texts(8)
     agree(jaccard.jaccard_components(docs_of(spark, texts)), dict(enumerate(texts)))

@@ -37,8 +37,7 @@ HOT = 32
 #: ... if it is among so many most frequent ones (8 bytes each reach every task). This
 #: and the two numbers below steer work only; links do not depend on them.
 MAX_HOT = 500_000
-SPARE = 32
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 class Sets:
@@ -96,6 +95,11 @@ def reach(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
+def spare(regions: np.ndarray) -> np.ndarray:
+    """Pivots kept beyond a document's regions, in case some of them are hot."""
+    return 8 + regions // 4
+
+
 def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
@@ -104,13 +108,14 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
             for lo, hi in tb.row_slices(offsets):
                 sets = Sets(tb.Texts(data, offsets[lo : hi + 1]), width)
                 one, two = sets.signatures()
+                regions = reach(sets.counts, percent)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
                         pa.array(sets.counts),
                         pa.array(one),
                         pa.array(two),
-                        sets.heads(reach(sets.counts, percent) + SPARE),
+                        sets.heads(regions + spare(regions)),
                     ],
                     ["doc_id", "n", "sig1", "sig2", "head"],
                 )
@@ -179,9 +184,7 @@ def _regions(classes: DataFrame, docs: DataFrame, hot, percent: int, width: int)
                     ["pivot", "doc", "n"],
                 )
 
-    told = materialize(
-        classes.mapInArrow(from_heads, "pivot long, doc long, n long, known boolean"), "regions"
-    )
+    told = classes.mapInArrow(from_heads, "pivot long, doc long, n long, known boolean")
     # Where most of the first pivots are hot, the order needs the whole set.
     open_ids = told.where("not known").select(F.col("doc").alias("doc_id"))
     again = docs.select(F.col("doc_id").cast("long"), "text").join(open_ids, "doc_id", "left_semi")
@@ -191,46 +194,41 @@ def _regions(classes: DataFrame, docs: DataFrame, hot, percent: int, width: int)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose sets are within the threshold."""
+    """The pairs (a, b) whose sets are within the threshold.
 
-    def set_rows(batches):
-        for batch in batches:
-            data, offsets = tb.buffers(tb.column(batch, "text"))
-            ids = tb.column(batch, "doc_id")
-            for lo, hi in tb.row_slices(offsets):
-                sets = Sets(tb.Texts(data, offsets[lo : hi + 1]), width)
-                packed = [
-                    sets.key[sets.first[k] : sets.first[k + 1]].tobytes() for k in range(hi - lo)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(packed, pa.binary())], ["id", "keys"]
-                )
+    Texts move, not sets, since they compress; rows arrive together by b, so the set of a
+    hub is made once for the rows of its batch.
+    """
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(tb.column(batch, "x"), tb.column(batch, "y")):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = int(_in_sorted(p, q).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared) and shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialize(sets.mapInArrow(set_rows, "id long, keys binary"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("keys").alias("y")), "b"
+            a, b = np.asarray(tb.column(batch, "a")), np.asarray(tb.column(batch, "b"))
+            keep = np.zeros(len(a), bool)
+            data, offsets = tb.buffers(tb.column(batch, "x"))
+            hubs = tb.column(batch, "y")
+            last, hub = None, None
+            for lo, hi in tb.row_slices(offsets):
+                sets = Sets(tb.Texts(data, offsets[lo : hi + 1]), width)
+                for k in range(lo, hi):
+                    if last != b[k]:
+                        last, hub = b[k], Sets(tb.Texts(*tb.buffers(hubs.slice(k, 1))), width).key
+                    own = sets.key[sets.first[k - lo] : sets.first[k - lo + 1]]
+                    shared = int(_in_sorted(own, hub).sum())
+                    keep[k] = shared > 0 and 100 * shared >= percent * (len(own) + len(hub) - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
     )
-    return joined.mapInArrow(compare, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _labelled(regions: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(regions: DataFrame, links: DataFrame) -> DataFrame:
     """Regions with the component of each document, without regions of one component."""
-    if links is None:
-        found = regions.withColumn("label", F.col("doc"))
-    else:
-        labels = components(links).withColumnRenamed("id", "doc")
-        found = regions.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labels = components(links).withColumnRenamed("id", "doc")
+    found = regions.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     split = (
         found.groupBy("pivot")
         .agg(F.min("label").alias("least"), F.max("label").alias("most"))
@@ -244,20 +242,28 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def _hub_pairs(open_regions: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Per document, the hub of most of its regions that is in another component."""
-    hub = F.min(F.struct(F.xxhash64("label", F.lit(turn)), F.xxhash64("doc", F.lit(turn)), "doc", "n", "label"))
-    hubs = open_regions.groupBy("pivot").agg(hub.alias("hub"))
-    met = (
-        open_regions.join(hubs, "pivot")
-        .where((F.col("label") != F.col("hub.label")) & _sizes_fit("n", "hub.n", percent))
-        .groupBy("doc", F.col("hub.doc").alias("other"))
+def _hub(label: str, turn: int):
+    """A document of the region, by a hash that differs from turn to turn."""
+    return F.min(
+        F.struct(
+            F.xxhash64(label, F.lit(turn)).alias("h1"),
+            F.xxhash64("doc", F.lit(turn)).alias("h2"),
+            F.col("doc").alias("doc"),
+            F.col("n").alias("n"),
+            F.col(label).alias("label"),
+        )
+    )
+
+
+def _hub_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """From rows (doc, n, hub, hub_n): each document's hub of most regions, as (a, b = hub)."""
+    counted = (
+        met.where((F.col("doc") != F.col("hub")) & _sizes_fit("n", "hub_n", percent))
+        .groupBy("doc", "hub")
         .agg(F.count("*").alias("regions"))
     )
-    best = met.groupBy("doc").agg(F.max(F.struct("regions", -F.col("other"))).alias("best"))
-    return best.select(F.col("doc").alias("a"), (-F.col("best.col2")).alias("b")).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    best = counted.groupBy("doc").agg(F.max(F.struct("regions", (-F.col("hub")).alias("minus"))).alias("best"))
+    return best.select(F.col("doc").alias("a"), (-F.col("best.minus")).alias("b"))
 
 
 def _rest_pairs(open_regions: DataFrame, percent: int) -> DataFrame:
@@ -279,7 +285,7 @@ def _rest_pairs(open_regions: DataFrame, percent: int) -> DataFrame:
             & _sizes_fit("na", "nb", percent)
             & ((F.col("lb") == F.col("major")) | (F.col("a") < F.col("b")))
         )
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .select("a", "b")
         .distinct()
     )
 
@@ -307,17 +313,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
     table = np.sort(np.asarray(frequent.column("pivot").combine_chunks()).view(np.uint64))
     hot = spark.sparkContext.broadcast(table)
     regions = _regions(classes.select("doc", "n", "head"), docs, hot, percent, width)
-    shared = regions.groupBy("pivot").agg(F.count("*").alias("docs")).where("docs > 1").select("pivot")
+    shared = (
+        regions.groupBy("pivot")
+        .agg(F.count("*").alias("docs"), _hub("doc", 0).alias("hub"))
+        .where("docs > 1")
+        .select("pivot", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"))
+    )
     regions = materialize(regions.join(shared, "pivot"), "regions")
 
-    links = None
-    for turn in range(HUB_ROUNDS):
-        pairs = materialize(_hub_pairs(_labelled(regions, links), percent, turn), "pairs")
-        found = materialize(_verify(pairs, docs, percent, width), "found")
-        links = found if links is None else links.unionByName(found)
-        if not found.limit(1).count():
-            break
-    pairs = materialize(_rest_pairs(_labelled(regions, links), percent), "pairs")
+    pairs = materialize(_hub_pairs(regions, percent), "pairs")
+    links = materialize(_verify(pairs, docs, percent, width), "found")
+    still = _labelled(regions.select("pivot", "doc", "n"), links)
+    for turn in range(1, HUB_ROUNDS):
+        hubs = still.groupBy("pivot").agg(_hub("label", turn).alias("h"))
+        met = still.join(hubs, "pivot").where(F.col("label") != F.col("h.label"))
+        met = met.select("doc", "n", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"))
+        pairs = materialize(_hub_pairs(met, percent), "pairs")
+        links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
+        still = _labelled(still.select("pivot", "doc", "n"), links)
+    pairs = materialize(_rest_pairs(still, percent), "pairs")
     links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
     labels = components(links).select(F.col("id").alias("doc"), "label")
     named = classes.select("sig1", "sig2", "n", "doc").join(labels, "doc", "left")
