@@ -5,6 +5,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import rows, shop
 from tillroll.plans import basket, bi, cohort, export, lifecycle, quality, rfm, sales, stats
@@ -218,3 +219,26 @@ def test_rolled_up_lines(spark, t):
         ("O1", 30.0, 3.0, 31.99, 15.0),
         ("O3", 20.0, 1.0, 19.0, 11.0),
     ]
+
+
+def test_sequence_follows_the_time_of_day(spark):
+    """A at 18:00 and B at 09:00 of one day: B came first, dates alone say A."""
+    orders = [
+        ("A", "C1", "2024-01-10", "Completed", 0, 100, 40, [1]),
+        ("B", "C1", "2024-01-10", "Completed", 0, 50, 20, [1, 2]),
+        ("C", "C1", "2024-01-20", "Completed", 0, 10, 5, [1]),
+    ]
+    t = shop(spark, orders, stored_sequence=False, channels={"C1": "Email"})
+    t.orders = t.orders.withColumn(
+        "order_date",
+        F.when(F.col("order_id") == "A", F.col("order_date") + F.expr("interval 8 hours")).otherwise(
+            F.col("order_date")
+        ),
+    )
+    sequence = {r.order_id: r.order_sequence for r in t.sequenced_orders().collect()}
+    assert sequence == {"B": 1, "A": 2, "C": 3}
+    assert {r.order_id for r in t.first_orders(1).collect()} == {"B"}
+    spend = {r.order_id: r for r in lifecycle.running_spend(t).collect()}
+    assert {o: r.order_sequence for o, r in spend.items()} == sequence
+    assert [float(spend[o].running_cumulative_spend) for o in "ABC"] == [100.0, 150.0, 160.0]
+    assert spend["B"].days_since_prior_order == 0

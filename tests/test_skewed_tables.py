@@ -1,6 +1,6 @@
 """All queries against their SQL on tables in which one customer, one order and one
 product hold a third of the rows, with limits low enough that every such key is
-handled as hot."""
+handled as hot. Orders have a time of day, and customers several orders on a day."""
 
 import duckdb
 import pytest
@@ -13,8 +13,10 @@ QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
 
 # the hot order is a completed one; other tables are copied as they are
 _SKEW = {
-    "orders": """SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END
-                 AS o_custkey) FROM t""",
+    "orders": """SELECT * REPLACE (
+          CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS o_custkey,
+          CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)
+            + INTERVAL 1 HOUR * ((o_orderkey * 7919) % 24) AS o_orderdate) FROM t""",
     "lineitem": """SELECT * REPLACE (
           CASE WHEN (l_orderkey + l_linenumber) % 3 = 0
                THEN (SELECT MIN(o_orderkey) FROM o WHERE o_orderstatus = 'F')

@@ -89,3 +89,18 @@ def test_hot_order(spark, monkeypatch):
     for top_k in (20, None):
         got = basket.market_basket_pairs(t, 2, top_k, max_width=12, source=hot)
         assert _got(got) == _brute(orders, 2, top_k)[0]
+
+
+@pytest.mark.parametrize("max_width", [12, 200])
+def test_products_without_a_name_take_no_place(spark, max_width):
+    """The best pair holds a product that the product table lacks."""
+    lines = [[1, 2]] * 5 + [[2, 3]] * 4 + [[2, 3, *range(10, 25)]] + [[3, 4]] * 2
+    orders = [
+        (f"O{i}", "C1", "2024-01-10", "Completed", i + 1, 10, 4, products)
+        for i, products in enumerate(lines)
+    ]
+    t = shop(spark, orders, channels={"C1": "Email"})
+    t.products = t.products.where("product_id <> 1")
+    assert _got(basket.market_basket_pairs(t, 1, 1, max_width=max_width)) == [(2, 3, 5, 10, 7)]
+    top = basket.top_pairs_dashboard(t, 1, max_width=max_width).collect()
+    assert [(r.p1_name, r.p2_name, r.co_orders) for r in top] == [("P2", "P3", 5)]

@@ -179,7 +179,8 @@ SELECT p.a AS product_a_id, na.product_name AS product_a_name, na.category AS ca
        sb.n AS orders_with_product_b, {_pct("p.n", "total.n", 2)} AS basket_support_pct,
        {_pct("p.n", "sa.n", 1)} AS confidence_a_to_b_pct,
        {_pct("p.n", "sb.n", 1)} AS confidence_b_to_a_pct
-FROM (SELECT * FROM pair WHERE n >= {least} ORDER BY n DESC, a, b LIMIT 20) p
+FROM (SELECT pair.* FROM pair JOIN item_name x ON x.product_id = a JOIN item_name y ON y.product_id = b
+      WHERE n >= {least} ORDER BY n DESC, a, b LIMIT 20) p
 JOIN single sa ON sa.product_id = p.a JOIN single sb ON sb.product_id = p.b
 JOIN item_name na ON na.product_id = p.a JOIN item_name nb ON nb.product_id = p.b, total""",
     )
@@ -603,7 +604,8 @@ GROUP BY customer_id, region, acquisition_channel, signup_date""",
             f"""SELECT x.product_name AS p1_name, x.category AS p1_cat,
             y.product_name AS p2_name, y.category AS p2_cat, p.n AS co_orders,
             {_pct("p.n", "total.n", 2)} AS support_pct
-            FROM (SELECT * FROM pair ORDER BY n DESC, a, b LIMIT 10) p
+            FROM (SELECT pair.* FROM pair JOIN prod x ON x.product_id = a
+                  JOIN prod y ON y.product_id = b ORDER BY n DESC, a, b LIMIT 10) p
             JOIN prod x ON x.product_id = a JOIN prod y ON y.product_id = b, total""",
         ),
         "executive_kpis": _q(

@@ -149,6 +149,11 @@ def _affinity(
     lines = salted_join(
         source.lines, source.keys, "order_id", hot, ["product_id"], how="left_semi"
     )
+    # A product that the product table lacks is in no pair, so it must not take a place
+    # among the first top_k.
+    lines = lines.join(
+        source.products.select("product_id"), "product_id", "left_semi"
+    ).select("order_id", "product_id")
     if not n_wide:
         sets = _order_sets(lines)
         pairs, members = _count_pairs(_pairs_of(sets)), _members(sets)

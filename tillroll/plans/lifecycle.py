@@ -17,23 +17,23 @@ def _is_completed():
 def running_spend(t: RetailTables, limit: int | None = None) -> DataFrame:
     """Completed orders with cumulative spend and the gap to the previous one.
 
-    One pass over the orders of every status gives the overall ordinal and, counting
-    completed orders only, the running sum and the previous date.
+    The ordinal counts orders of every status by the moment of purchase; the running sum
+    and the previous date count completed orders by date. Both share one shuffle.
     """
     rows = t.orders.select(
         "order_id",
         "customer_id",
+        "order_date",
         "order_date_only",
         "order_status",
         "total_amount",
         *(["order_sequence"] if t.has_sequence else []),
     )
     scanned = ordered_scan(
-        rows,
+        t.sequenced_orders(rows),
         "customer_id",
         ORDER_OF_PURCHASE,
         t.hot_customers,
-        count=None if t.has_sequence else "order_sequence",
         sums={
             "running_cumulative_spend": F.when(_is_completed(), F.col("total_amount"))
         },
@@ -82,7 +82,7 @@ def _reached(t: RetailTables, max_milestone: int) -> DataFrame:
     in_total = t.completed().groupBy("customer_id").agg(F.count("*").alias("in_total"))
     earlier = (
         W.partitionBy("customer_id")
-        .orderBy(*ORDER_OF_PURCHASE)
+        .orderBy("order_sequence")
         .rowsBetween(W.unboundedPreceding, -1)
     )
     return (
@@ -145,22 +145,19 @@ def _intervals(t: RetailTables, max_sequence: int) -> DataFrame:
     The gap is between completed orders, the label is the ordinal over all orders.
     """
     if t.has_sequence:
-        rows = ordered_scan(
-            t.completed().select("customer_id", "order_sequence", *ORDER_OF_PURCHASE),
-            "customer_id",
-            ORDER_OF_PURCHASE,
-            t.hot_customers,
-            prev_max={"previous": F.col("order_date_only")},
-        ).where(F.col("order_sequence") <= max_sequence)
+        completed = t.completed()
     else:
-        # The order before a customer's k-th is among the first k, so only the
-        # first few orders of each customer are ever shuffled.
-        own = W.partitionBy("customer_id").orderBy(*ORDER_OF_PURCHASE)
-        rows = (
-            t.first_orders(max_sequence)
-            .where(_is_completed())
-            .withColumn("previous", F.lag("order_date_only").over(own))
-        )
+        # The order before another by date and id can be a later one of the same day, so
+        # the ordinal is not enough to find it among a customer's first orders.
+        narrow = t.orders.select("customer_id", "order_date", "order_status", *ORDER_OF_PURCHASE)
+        completed = t.sequenced_orders(narrow).where(_is_completed())
+    rows = ordered_scan(
+        completed.select("customer_id", "order_sequence", *ORDER_OF_PURCHASE),
+        "customer_id",
+        ORDER_OF_PURCHASE,
+        t.hot_customers,
+        prev_max={"previous": F.col("order_date_only")},
+    ).where(F.col("order_sequence") <= max_sequence)
     return rows.where(F.col("previous").isNotNull()).select(
         "order_sequence", F.datediff("order_date_only", "previous").alias("days")
     )

@@ -12,7 +12,7 @@ from tillroll.functions.tails import (
 )
 from tillroll.operators.ranks import power_sums, rank_sums
 from tillroll.sources.schemas import COMPLETED
-from tillroll.sources.tables import ORDER_OF_PURCHASE, RetailTables
+from tillroll.sources.tables import ORDER_OF_SEQUENCE, RetailTables
 
 ALPHA = 0.05
 
@@ -238,7 +238,7 @@ def _first_baskets(t: RetailTables) -> DataFrame:
     one map-side combined pass over the orders.
     """
     completed = F.col("order_status") == COMPLETED
-    position = ["order_sequence", "order_id"] if t.has_sequence else ORDER_OF_PURCHASE
+    position = ["order_sequence", "order_id"] if t.has_sequence else ORDER_OF_SEQUENCE
     per_customer = t.orders.groupBy("customer_id").agg(
         F.min(F.struct(*position, "order_status", *t.order_line_count)).alias("first"),
         F.sum(F.when(completed, F.col("total_amount"))).alias("lifetime_spend"),

@@ -10,15 +10,17 @@ from tillroll.operators.scan import ordered_scan
 from tillroll.operators.skew import HotKeys, hot_keys
 from tillroll.sources.schemas import COMPLETED
 
+# The purchase ordinal follows the time of day; running values go by date, then id.
 ORDER_OF_PURCHASE = ["order_date_only", "order_id"]
+ORDER_OF_SEQUENCE = ["order_date", "order_id"]
 
 
 class RetailTables:
     """Customers, products, orders and order items as lazy DataFrames.
 
     Where ``orders`` has an ``order_sequence`` column it is taken as given. Otherwise
-    the sequence is each customer's purchases of *any* status in order of date, then
-    order id.
+    the sequence is each customer's purchases of *any* status in order of the moment of
+    purchase, then order id.
     """
 
     def __init__(
@@ -93,7 +95,7 @@ class RetailTables:
         return ordered_scan(
             orders,
             "customer_id",
-            ORDER_OF_PURCHASE,
+            ORDER_OF_SEQUENCE,
             self.hot_customers,
             count="order_sequence",
         )
@@ -104,7 +106,7 @@ class RetailTables:
         map task, however many orders a customer has."""
         if self.has_sequence:
             return self.orders.where(F.col("order_sequence") <= k)
-        ordered = W.partitionBy("customer_id").orderBy(*ORDER_OF_PURCHASE)
+        ordered = W.partitionBy("customer_id").orderBy(*ORDER_OF_SEQUENCE)
         return self.orders.withColumn(
             "order_sequence", F.row_number().over(ordered)
         ).where(F.col("order_sequence") <= k)
