@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import bpe, jaccard, language, leaks, pii
+from tillroll.llm.workers import find_package
 from tillroll.operators.scratch import materialize
 
 #: Near copies in a corpus: shingles of so many words, and this similarity in per cent.
@@ -53,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    find_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
