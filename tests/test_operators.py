@@ -16,6 +16,17 @@ from tillroll.operators.skew import HotKeys, hot_keys, salted_join, with_group_v
 from tillroll.operators.tiles import add_ntiles, tile_ends
 
 
+@pytest.mark.parametrize("share", [4_000, 10_000])
+def test_hot_keys_of_any_share(spark, monkeypatch, share):
+    """Many equal heavy keys, each a small share of the rows, are all found."""
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 60)
+    per_key, n_hot = 100, 200
+    heavy = spark.range(n_hot * per_key).select((F.col("id") % n_hot).alias("k"))
+    light = spark.range(share * per_key - n_hot * per_key).select((F.col("id") + 1_000_000).alias("k"))
+    (hot,) = hot_keys(heavy.unionByName(light), "k")
+    assert set(range(n_hot)) <= set(hot.counts)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of the rows belong to key 0; many ties in day."""

@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tillroll.functions import tails
 from tillroll.functions.tails import chi2_sf, normal_sf, student_t_two_sided
 from tillroll.plans import stats
 
@@ -35,7 +36,29 @@ def test_student():
     assert student_t_two_sided(-1.2176, 7000) == pytest.approx(0.22341, abs=2e-5)
     assert student_t_two_sided(0, 5) == close(1)
     assert student_t_two_sided(3, 2) == close(1 - 3 / math.sqrt(11))
-    assert student_t_two_sided(1.96, 1e9) == pytest.approx(2 * normal_sf(1.96), rel=1e-6)
+
+
+@pytest.mark.parametrize("dof", [1e4, 1e6, 1e9, 1.5e11, 1e12])
+@pytest.mark.parametrize("t", [0.1, 1.96, 6, 17])
+def test_student_at_large_dof(t, dof):
+    """Against the expansion of the tail around the normal one, to second order."""
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    first = (t**3 + t) / (4 * dof)
+    second = (3 * t**7 - 5 * t**5 - 7 * t**3 - 9 * t) / (96 * dof * dof) + 0 * t
+    want = 2 * (normal_sf(t) + density * (first + second))
+    rel = 1e-9 + 10 * (t**4 / dof) ** 3
+    assert student_t_two_sided(t, dof) == pytest.approx(want, rel=min(rel, 1e-2))
+
+
+def test_student_on_both_sides_of_the_switch():
+    for t in (0.5, 2, 8, 20):
+        below, above = student_t_two_sided(t, 9_999.9999), student_t_two_sided(t, 10_000)
+        assert below == pytest.approx(above, rel=1e-5) and below > above
+
+
+def test_no_convergence_is_an_error():
+    with pytest.raises(ArithmeticError):
+        tails._continued_fraction(iter([(0.0, 1.0), (1.0, 1.0), (5.0, 1.0)]))
 
 
 def _two_samples(spark, a, b):

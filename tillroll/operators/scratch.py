@@ -9,6 +9,7 @@ recomputation that could slice the rows differently.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(_SETTING, None)
     if root:
         return root.rstrip("/")
-    if spark.conf.get("spark.master", "local").startswith("local"):
-        return _local_root()
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        return _local_root()  # driver and executor are one process
     raise RuntimeError(f"{_SETTING} must name a folder that every executor can reach")
 
 

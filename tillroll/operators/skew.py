@@ -11,10 +11,13 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# A key is sure to be seen when it holds more than about 1/3000 of the rows; at most
-# MAX_HOT keys can, so the list that reaches the driver is bounded.
-MAX_HOT = 4000
+# Keys of more rows than this are split. A table has at most rows / ROWS_PER_TASK of
+# them, which bounds the list that reaches the driver.
 ROWS_PER_TASK = 2_000_000
+# The sketch follows SEEN times as many items as there can be such keys, between these
+# bounds, and so sees them all up to about 500 billion rows.
+SEEN = 4
+MIN_ITEMS, MAX_ITEMS = 4_000, 1_000_000
 # Range slices are bounded too: their borders are sampled on the driver.
 MAX_SLICES = 5000
 
@@ -47,13 +50,20 @@ class HotKeys:
 def hot_keys(df: DataFrame, *keys: str) -> list[HotKeys]:
     """Heavy hitters of each key column, from one scan of just those columns.
 
-    The frequent-items sketch is merged map-side, so its cost is one narrow scan.
-    Keys of up to ``ROWS_PER_TASK`` rows fit in a task and are not reported.
+    The rows are counted first (from the footers where the table is stored). The
+    frequent-items sketch then has room for every key that can be hot among them; it is
+    merged map-side, so its cost is one narrow scan. Keys of up to ``ROWS_PER_TASK``
+    rows fit in a task and are not reported.
     """
+    rows = df.count()
+    if rows <= ROWS_PER_TASK:
+        return [HotKeys() for _ in keys]
+    most = ceil(rows / ROWS_PER_TASK)
+    items = min(MAX_ITEMS, max(MIN_ITEMS, SEEN * most))
     sketches = df.agg(
         *[
             F.call_function(
-                "approx_top_k", F.col(k), F.lit(MAX_HOT), F.lit(MAX_HOT)
+                "approx_top_k", F.col(k), F.lit(min(items, max(most, 1_000))), F.lit(items)
             ).alias(k)
             for k in keys
         ]
@@ -83,7 +93,7 @@ def salted_join(
     Without hot keys this is the plain equi-join and Catalyst picks the strategy
     from the sizes. The rows of a hot key are spread over ``fanout`` salts by a hash
     of ``spread_by``; the few hot rows of the other side are repeated once per salt
-    (at most MAX_HOT * fanout rows more).
+    (at most a row per hot key and salt more).
     """
     if not hot:
         return rows.join(per_key, key, how)
@@ -112,7 +122,7 @@ def with_group_values(
     """Attach aggregates of each row's ``key`` group to the row.
 
     Ordinary groups fit in a window, which moves the rows once. A hot group is
-    aggregated map-side to a single row and broadcast (at most MAX_HOT rows), so its
+    aggregated map-side to a single row and broadcast (a row per hot key), so its
     own rows are not moved at all.
     """
     over = W.partitionBy(key)
