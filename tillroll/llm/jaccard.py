@@ -9,10 +9,15 @@ document is replicated to just these regions, and no link is lost.
 
 The order puts long shingles first, since they are rare, and pivots that turn out to be
 held by many documents last (which moves documents that share a common passage into
-smaller regions). Within a region documents are first compared with a hub: those within
-the threshold form one component, and need no comparison with each other. Further hubs
-are tried for the rest, and what still lies in regions of several components is
-compared pair by pair, across components only. All comparisons are exact.
+smaller regions). Within a region documents first meet a hub: those within the threshold
+form one component, and need no comparison with each other. Further hubs are tried for
+the rest, and what still lies in regions of several components is compared pair by
+pair, across components only.
+
+A set's profile counts its shingles in ``CLASSES`` hash classes. Two profiles differ by
+no more than the sets do (the triangle inequality again, for the classes as pivots), so
+pairs with profiles too far apart are dropped unread, and of several hubs a document
+is compared with the one of the nearest profile. Every link is verified on the texts.
 
 Documents with equal sets are one class from the start; a class is named by its least
 doc_id. Defined cases: a text without a word has no shingle and links with nothing (its
@@ -37,7 +42,10 @@ HOT = 32
 #: ... if it is among so many most frequent ones (8 bytes each reach every task). This
 #: and the two numbers below steer work only; links do not depend on them.
 MAX_HOT = 500_000
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
+#: In a round a document meets the hubs of about one in so many of its regions.
+HUB_SHARE = 6
+CLASSES = 96
 
 
 class Sets:
@@ -80,6 +88,14 @@ class Sets:
             out.append((total[self.first[1:]] - total[self.first[:-1]]).view(np.int64))
         return out[0], out[1]
 
+    def profiles(self) -> pa.Array:
+        """Per row, how many keys each hash class has, up to 255."""
+        kind = (self.key % np.uint64(CLASSES)).astype(np.int64)
+        rows = len(self.counts)
+        counts = np.bincount(self.row * CLASSES + kind, minlength=rows * CLASSES)
+        counts = np.minimum(counts, 255).astype(np.uint8).reshape(rows, CLASSES)
+        return pa.array([c.tobytes() for c in counts], pa.binary())
+
     def heads(self, lengths: np.ndarray) -> pa.ListArray:
         """The first ``lengths`` keys of each row."""
         place = np.arange(len(self.key)) - np.repeat(self.first[:-1], self.counts)
@@ -116,12 +132,13 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
                         pa.array(one),
                         pa.array(two),
                         sets.heads(regions + spare(regions)),
+                        sets.profiles(),
                     ],
-                    ["doc_id", "n", "sig1", "sig2", "head"],
+                    ["doc_id", "n", "sig1", "sig2", "head", "profile"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        rows, "doc_id long, n long, sig1 long, sig2 long, head array<long>"
+        rows, "doc_id long, n long, sig1 long, sig2 long, head array<long>, profile binary"
     )
 
 
@@ -242,28 +259,54 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles allow a link, with the distance of the profiles."""
+
+    def matrix(column) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        return data[offsets[0] : offsets[len(column)]].reshape(-1, CLASSES).astype(np.int16)
+
+    def measure(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gap = np.abs(matrix(tb.column(batch, "pa")) - matrix(tb.column(batch, "pb"))).sum(1)
+            total = np.asarray(tb.column(batch, "na")) + np.asarray(tb.column(batch, "nb"))
+            shared = -(-percent * total // (100 + percent))
+            yield pa.RecordBatch.from_arrays(
+                [tb.column(batch, "a"), tb.column(batch, "b"), pa.array(gap.astype(np.int64))], ["a", "b", "gap"]
+            ).filter(pa.array(gap <= total - 2 * shared))
+
+    side = lambda x: profiles.select(
+        F.col("doc").alias(x), F.col("n").alias("n" + x), F.col("profile").alias("p" + x)
+    )
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit("na", "nb", percent))
+    return joined.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(measure, "a long, b long, gap long")
+
+
 def _hub(label: str, turn: int):
-    """A document of the region, by a hash that differs from turn to turn."""
+    """A document of the region, by a hash that differs from region to region and turn to turn."""
     return F.min(
         F.struct(
-            F.xxhash64(label, F.lit(turn)).alias("h1"),
-            F.xxhash64("doc", F.lit(turn)).alias("h2"),
+            F.xxhash64(label, "pivot", F.lit(turn)).alias("h1"),
+            F.xxhash64("doc", "pivot", F.lit(turn)).alias("h2"),
             F.col("doc").alias("doc"),
-            F.col("n").alias("n"),
             F.col(label).alias("label"),
         )
     )
 
 
-def _hub_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """From rows (doc, n, hub, hub_n): each document's hub of most regions, as (a, b = hub)."""
-    counted = (
-        met.where((F.col("doc") != F.col("hub")) & _sizes_fit("n", "hub_n", percent))
-        .groupBy("doc", "hub")
-        .agg(F.count("*").alias("regions"))
+def _hub_pairs(met: DataFrame, profiles: DataFrame, percent: int, turn: int) -> DataFrame:
+    """From rows (pivot, doc, n, hub): each document's nearest hub of this turn, as (a, b = hub)."""
+    sampled = (F.pmod(F.xxhash64("pivot"), F.lit(HUB_SHARE)) == turn % HUB_SHARE) | (F.col("n") < 100)
+    pairs = met.where(sampled & (F.col("doc") != F.col("hub"))).select(
+        F.col("doc").alias("a"), F.col("hub").alias("b")
     )
-    best = counted.groupBy("doc").agg(F.max(F.struct("regions", (-F.col("hub")).alias("minus"))).alias("best"))
-    return best.select(F.col("doc").alias("a"), (-F.col("best.minus")).alias("b"))
+    near = _near(pairs.distinct(), profiles, percent)
+    best = near.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"))
 
 
 def _rest_pairs(open_regions: DataFrame, percent: int) -> DataFrame:
@@ -297,9 +340,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
     classes = materialize(
         members.where("n > 0 and doc_id is not null")
         .groupBy("sig1", "sig2", "n")
-        .agg(F.min("doc_id").alias("doc"), F.first("head").alias("head")),
+        .agg(
+            F.min("doc_id").alias("doc"),
+            F.first("head").alias("head"),
+            F.first("profile").alias("profile"),
+        ),
         "classes",
     )
+    profiles = classes.select("doc", "n", "profile")
     frequent = (
         classes.select(F.explode("head").alias("pivot"))
         .groupBy("pivot")
@@ -317,21 +365,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
         regions.groupBy("pivot")
         .agg(F.count("*").alias("docs"), _hub("doc", 0).alias("hub"))
         .where("docs > 1")
-        .select("pivot", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"))
+        .select("pivot", F.col("hub.doc").alias("hub"))
     )
     regions = materialize(regions.join(shared, "pivot"), "regions")
 
-    pairs = materialize(_hub_pairs(regions, percent), "pairs")
+    pairs = materialize(_hub_pairs(regions, profiles, percent, 0), "pairs")
     links = materialize(_verify(pairs, docs, percent, width), "found")
     still = _labelled(regions.select("pivot", "doc", "n"), links)
     for turn in range(1, HUB_ROUNDS):
         hubs = still.groupBy("pivot").agg(_hub("label", turn).alias("h"))
         met = still.join(hubs, "pivot").where(F.col("label") != F.col("h.label"))
-        met = met.select("doc", "n", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"))
-        pairs = materialize(_hub_pairs(met, percent), "pairs")
+        met = met.select("pivot", "doc", "n", F.col("h.doc").alias("hub"))
+        pairs = materialize(_hub_pairs(met, profiles, percent, turn), "pairs")
         links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
         still = _labelled(still.select("pivot", "doc", "n"), links)
-    pairs = materialize(_rest_pairs(still, percent), "pairs")
+    pairs = _near(_rest_pairs(still, percent), profiles, percent).select("a", "b")
+    pairs = materialize(pairs, "pairs")
     links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
     labels = components(links).select(F.col("id").alias("doc"), "label")
     named = classes.select("sig1", "sig2", "n", "doc").join(labels, "doc", "left")
