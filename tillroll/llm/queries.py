@@ -78,5 +78,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+      WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1),
+                                           lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM worded),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM met JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+  WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN reach ON reach.a = d.doc_id
+GROUP BY d.doc_id, size.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the whole result; the others are tested by brute force."""
+    return {"op6_jaccard_join": _JACCARD_SQL}
