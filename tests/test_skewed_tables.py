@@ -5,11 +5,12 @@ handled as hot. Orders have a time of day, and customers several orders on a day
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_points
 from compare import differences, duck
 from tillroll.operators import skew
+from tillroll.oracles import sql
+from tillroll.plans import catalog
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = catalog.queries(), sql.oracle_sql()
 
 # the hot order is a completed one; other tables are copied as they are
 _SKEW = {

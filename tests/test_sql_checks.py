@@ -4,8 +4,11 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import differences, duck
+from tillroll.oracles import sql
+from tillroll.plans import catalog
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+# The retail queries; those of other parts have tests of their own.
+QUERIES, SQL = catalog.queries(), sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +19,8 @@ def con(sf_dir):
 def test_catalogue():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"dashboard_payload", "test_results_table"}
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert SQL.items() <= entry_points.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
