@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_points
+from tillroll.plans import catalog
 
-QUERIES = entry_points.queries()
+QUERIES = catalog.queries()
 
 
 @pytest.fixture(scope="module")
