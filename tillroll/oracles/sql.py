@@ -656,6 +656,12 @@ GROUP BY customer_id, region, acquisition_channel, signup_date""",
             JOIN prod p ON p.product_id = l.product_id""",
         ),
         "order_rollup": _q("", _ROLLUP),
+        "order_rollup_by_rate": _q(
+            "r AS (SELECT *, (subtotal_c * 5 * (order_id % 4) + 50) // 100 AS cut_c FROM ord)",
+            f"""SELECT order_id, {_money("subtotal_c")} AS subtotal, {_money("cut_c")} AS discount_amount,
+            {_money("(subtotal_c - cut_c + shipping_c)")} AS total_amount, {_money("cost_c")} AS total_cost,
+            {_money("(subtotal_c - cut_c - cost_c)")} AS gross_profit FROM r""",
+        ),
         "orders_through_parquet": _q("", _ROLLUP),
         "product_margin": _q("", _PRODUCTS),
         "products_through_csv": _q(
@@ -673,6 +679,21 @@ GROUP BY customer_id, region, acquisition_channel, signup_date""",
             {_money("p")} / ({_money("t")}) AS gross_margin, n AS total_completed_orders,
             {_money("t")} / n AS average_order_value FROM k""",
         ),
+        "bi_core_measures_by_region": _q(
+            "k AS (SELECT region, status, SUM(total_c) AS t, SUM(profit_c) AS p, "
+            "COUNT(*) FILTER (status = 'Completed') AS n FROM ord JOIN cust USING (customer_id) "
+            "GROUP BY ALL)",
+            f"""SELECT region, status AS order_status, {_money("t")} AS total_sales,
+            {_money("p")} AS total_gross_profit,
+            {_money("p")} / ({_money("t")}) AS gross_margin, n AS total_completed_orders,
+            CASE WHEN n = 0 THEN 0.0 ELSE {_money("t")} / n END AS average_order_value FROM k""",
+        ),
+        "bi_prior_year_daily": _q(
+            "d AS (SELECT day, SUM(total_c) AS c FROM ord GROUP BY day)",
+            f"""SELECT x.day AS date, {_money("x.c")} AS total_sales,
+            {_money("y.c")} AS sales_prior_year
+            FROM d x LEFT JOIN d y ON y.day = CAST(x.day - INTERVAL 1 YEAR AS DATE)""",
+        ),
         "bi_yoy_growth": _q(
             "m AS (SELECT mon, SUM(total_c) AS c FROM ord GROUP BY mon)",
             f"""SELECT {_month("m.mon")} AS month, {_money("m.c")} AS total_sales,

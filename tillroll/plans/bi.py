@@ -68,14 +68,36 @@ def analytics_master(t: RetailTables) -> DataFrame:
     )
 
 
-def bi_core_measures(t: RetailTables) -> DataFrame:
-    totals = t.orders.agg(
+def _sliced_orders(t: RetailTables, by: list[str]) -> DataFrame:
+    """Orders with the columns to slice by, whether of the order or of its customer.
+
+    Slices by customer columns sum up each customer's orders before they meet the
+    customer, so one row per customer and order slice is joined.
+    """
+    of_order = [c for c in by if c in t.orders.columns]
+    of_customer = [c for c in by if c not in of_order]
+    keys = [*of_order, *(["customer_id"] if of_customer else [])]
+    sums = t.orders.groupBy(*keys).agg(
         F.sum("total_amount").alias("total_sales"),
         F.sum("gross_profit").alias("total_gross_profit"),
         F.count_if(F.col("order_status") == COMPLETED).alias("total_completed_orders"),
     )
+    if of_customer:
+        sums = sums.join(t.customer_attributes.select("customer_id", *of_customer), "customer_id")
+    return sums
+
+
+def bi_core_measures(t: RetailTables, by: list[str] | None = None) -> DataFrame:
+    """The measures over all orders, or per slice of order or customer columns."""
+    by = by or []
+    totals = _sliced_orders(t, by).groupBy(*by).agg(
+        F.sum("total_sales").alias("total_sales"),
+        F.sum("total_gross_profit").alias("total_gross_profit"),
+        F.coalesce(F.sum("total_completed_orders"), F.lit(0)).alias("total_completed_orders"),
+    )
     sales = F.col("total_sales")
     return totals.select(
+        *by,
         "total_sales",
         "total_gross_profit",
         safe_divide(F.col("total_gross_profit"), sales).alias("gross_margin"),
@@ -84,6 +106,23 @@ def bi_core_measures(t: RetailTables) -> DataFrame:
     )
 
 
+def bi_prior_year_daily(t: RetailTables) -> DataFrame:
+    """Sales per day and those of the same day a year earlier (29 February: the 28th)."""
+    daily = materialize(
+        t.orders.groupBy(F.col("order_date_only").alias("date")).agg(
+            F.sum("total_amount").alias("total_sales")
+        ),
+        "daily",
+    )
+    prior = daily.select(F.col("date").alias("day_prior"), F.col("total_sales").alias("sales_prior_year"))
+    return (
+        daily.withColumn("day_prior", F.add_months("date", -12))
+        .join(prior, "day_prior", "left")
+        .select("date", "total_sales", "sales_prior_year")
+        .orderBy("date")
+    )
+
+
 def bi_yoy_growth(t: RetailTables) -> DataFrame:
     """Sales per month, the same month a year earlier, and the growth.
 

@@ -31,6 +31,19 @@ def _brand_baskets(t: TpchTables) -> basket.BasketInput:
     )
 
 
+def _rated_orders(t: RetailTables) -> DataFrame:
+    """Order amounts from the lines with a discount rate per order: 0, 5, 10 or 15 %."""
+    headers = t.orders.select(
+        "order_id",
+        "customer_id",
+        (F.col("order_id") % 4 * F.lit(5) / F.lit(100)).alias("rate"),
+        "shipping_fee",
+    )
+    return sales.roll_up_lines(headers, t.order_items, "rate", "shipping_fee").select(
+        "order_id", "subtotal", "discount_amount", "total_amount", "total_cost", "gross_profit"
+    )
+
+
 def _sample_rows(t: RetailTables) -> DataFrame:
     return lifecycle.running_spend(t, limit=25)
 
@@ -67,9 +80,12 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "test_results_table": stats.test_results_table,
     "analytics_master": bi.analytics_master,
     "order_rollup": sales.order_rollup,
+    "order_rollup_by_rate": _rated_orders,
     "product_margin": sales.product_margin,
     "category_count": sales.category_count,
     "bi_core_measures": bi.bi_core_measures,
+    "bi_core_measures_by_region": lambda t: bi.bi_core_measures(t, ["region", "order_status"]),
+    "bi_prior_year_daily": bi.bi_prior_year_daily,
     "bi_yoy_growth": bi.bi_yoy_growth,
     "bi_rolling_30d": bi.rolling_sales,
     "bi_cohort_measures": bi.bi_cohort_measures,

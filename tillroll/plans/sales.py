@@ -184,7 +184,8 @@ def order_rollup(t: RetailTables) -> DataFrame:
 def roll_up_lines(
     headers: DataFrame, items: DataFrame, discount_rate: str, shipping_fee: str
 ) -> DataFrame:
-    """Order amounts from lines for orders that carry a discount rate and a fee."""
+    """Order amounts from lines for orders that carry a discount rate (of up to four
+    decimals) and a fee; the discount is rounded half-up to the cent."""
     lines = items.groupBy("order_id").agg(
         F.sum("line_subtotal").alias("subtotal"),
         F.sum("line_cost").alias("total_cost"),
@@ -194,7 +195,9 @@ def roll_up_lines(
         headers.join(lines, "order_id")
         .withColumn(
             "discount_amount",
-            F.round(subtotal * F.col(discount_rate), 2).cast("decimal(18,2)"),
+            F.round(
+                subtotal.cast("decimal(18,2)") * F.col(discount_rate).cast("decimal(9,4)"), 2
+            ).cast("decimal(18,2)"),
         )
         .withColumn("total_amount", subtotal - discount + F.col(shipping_fee))
         .withColumn("gross_profit", subtotal - discount - F.col("total_cost"))

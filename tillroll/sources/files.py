@@ -33,11 +33,13 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A headed CSV file or folder with the declared schema; never inferred."""
+    """A headed CSV file or folder with the declared schema; never inferred. A row that
+    does not parse is an error, not a row of NULLs."""
     df = (
         spark.read.schema(SCHEMAS[table])
         .option("header", True)
         .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
     return with_defaults(df, table)

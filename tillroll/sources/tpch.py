@@ -45,19 +45,17 @@ def _per_unit(cents: str) -> str:
     return f"({cents} * 2 + quantity) DIV (CAST(quantity AS BIGINT) * 2)"
 
 
-_schemas: dict[str, StructType] = {}
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; its footers are only asked for the schema the first time."""
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
-
-
 class TpchTables(RetailTables):
     def __init__(self, spark: SparkSession, folder: str):
-        self._raw = lambda name: _read(spark, f"{folder}/{name}.parquet")
+        self._spark, self._folder = spark, folder
+        self._schemas: dict[str, StructType] = {}
+
+    def _raw(self, name: str) -> DataFrame:
+        """A stored table; its footers are asked for the schema once per table set."""
+        path = f"{self._folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self._spark.read.parquet(path).schema
+        return self._spark.read.schema(self._schemas[name]).parquet(path)
 
     # -- dimensions ------------------------------------------------------------
 
