@@ -35,6 +35,8 @@ WALKS, TABLES, BITS = 4, 24, 2
 #: Items are taken in blocks of about so many characters, each broadcast and compared
 #: with all documents.
 BLOCK_CHARS = 20_000_000
+#: Windows that are embedded together.
+SEEDS_AT_ONCE = 2_000
 
 SCHEMA = (
     "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double"
@@ -50,28 +52,43 @@ def limit_of(n: int) -> int:
     return n - -(-PERCENT * n // 100)
 
 
-def embed(tokens: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """CGK walks over rows of ``tokens`` (0 pads the end), 3 * size places each."""
+def embed(tokens: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
+    """CGK walks over rows of ``tokens``, the first ``sizes`` of each: 3 places per token.
+
+    Places after the end of a row's sequence hold 0; those beyond 3 * its size mean nothing.
+    """
     rows, width = tokens.shape
-    coins = tb.seeds(3 * size, 1000 + walk)
+    coins = tb.seeds(3 * width, 1000 + walk)
     at = np.zeros(rows, np.int64)
-    out = np.zeros((rows, 3 * size), np.uint64)
-    every = np.arange(rows)
-    for j in range(3 * size):
-        inside = at < width
-        word = np.where(inside, tokens[every, np.minimum(at, width - 1)], np.uint64(0))
+    out = np.zeros((rows, 3 * width), np.uint64)
+    padded = np.hstack((tokens, np.zeros((rows, 1), np.uint64)))
+    padded[np.arange(width + 1) >= sizes[:, None]] = 0
+    flat, base = padded.ravel(), np.arange(rows) * (width + 1)
+    one, shift = np.uint64(1), np.uint64(32)
+    for j in range(3 * width):
+        word = flat[base + at]
         out[:, j] = word
-        at += ((tb.mix(word ^ coins[j]) & np.uint64(1)) == 1) & inside
+        # The coin of a word at this step: a bit of the scrambled product.
+        step = ((word ^ coins[j]) * (coins[j] | one) >> shift) & one
+        at = np.minimum(at + step.astype(np.int64), sizes)
     return out
 
 
-def collides(windows: np.ndarray, items: np.ndarray, size: int) -> np.ndarray:
-    """Whether each window agrees with its item in one of the LSH tables."""
+def collides(windows: np.ndarray, items: np.ndarray, which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each window agrees with its item (a row of ``items``) in one of the LSH tables."""
     found = np.zeros(len(windows), bool)
+    item_sizes = np.zeros(len(items), np.int64)
+    item_sizes[which] = sizes
     for walk in range(WALKS):
-        same = embed(windows, size, walk) == embed(items, size, walk)
-        picks = (tb.seeds(TABLES * BITS, 2000 + walk) % np.uint64(3 * size)).astype(np.int64)
-        found |= same[:, picks].reshape(len(windows), TABLES, BITS).all(2).any(1)
+        left = np.flatnonzero(~found)
+        if not len(left):
+            break
+        own = embed(items, item_sizes, walk)[which[left]]
+        same = embed(windows[left], sizes[left], walk) == own
+        picks = tb.seeds(TABLES * BITS, 2000 + walk)
+        places = (picks[None, :] % (3 * sizes[left]).astype(np.uint64)[:, None]).astype(np.int64)
+        agree = np.take_along_axis(same, places, 1)
+        found[left] = agree.reshape(len(left), TABLES, BITS).all(2).any(1)
     return found
 
 
@@ -152,20 +169,25 @@ def find_leaks(words: tb.Spans, hashes: np.ndarray, items: Items) -> list[tuple[
     if not len(seeds):
         return []
     first = words.first
-    sizes = np.array([len(w) for w in items.words])
+    involved, which = np.unique(seeds[:, 1], return_inverse=True)
+    sizes = np.array([len(items.words[k]) for k in involved])
+    width = int(sizes.max())
+    matrix = np.zeros((len(involved), width), np.uint64)
+    for k, item in enumerate(involved):
+        matrix[k, : sizes[k]] = items.words[item]
     survivors = []
-    size_of = sizes[seeds[:, 1]]
-    for size in np.unique(size_of):
-        group = seeds[size_of == size]
-        place = group[:, 2][:, None] + np.arange(size)
+    for at in range(0, len(seeds), SEEDS_AT_ONCE):
+        group, own = seeds[at : at + SEEDS_AT_ONCE], which[at : at + SEEDS_AT_ONCE]
+        place = group[:, 2][:, None] + np.arange(width)
         lo, hi = first[group[:, 0]][:, None], first[group[:, 0] + 1][:, None]
         # A window that leaves its text is shorter; its words move to the front.
-        inside = (place >= lo) & (place < hi)
+        inside = (place >= lo) & (place < hi) & (np.arange(width) < sizes[own][:, None])
         tokens = np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], np.uint64(0))
-        order = np.argsort(~inside, axis=1, kind="stable")
-        tokens = np.take_along_axis(tokens, order, 1)
-        own = np.stack([items.words[k] for k in group[:, 1]])
-        survivors.append(group[collides(tokens, own, int(size))])
+        outside = np.flatnonzero(group[:, 2] < lo[:, 0])
+        if len(outside):
+            order = np.argsort(~inside[outside], axis=1, kind="stable")
+            tokens[outside] = np.take_along_axis(tokens[outside], order, 1)
+        survivors.append(group[collides(tokens, matrix, own, sizes[own])])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], int] = {}
     for text, item, start in np.concatenate(survivors).tolist():
@@ -208,7 +230,7 @@ def _search(items: Items):
         for batch in batches:
             data, offsets = tb.buffers(tb.column(batch, "text"))
             ids = tb.column(batch, "doc_id")
-            for lo, hi in tb.row_slices(offsets):
+            for lo, hi in tb.row_slices(offsets, 1 << 20):
                 words, hashes = word_hashes(tb.Texts(data, offsets[lo : hi + 1]))
                 found = find_leaks(words, hashes, items)
                 if not found:
@@ -244,7 +266,7 @@ def _clean_rows(items: Items):
         for batch in batches:
             data, offsets = tb.buffers(tb.column(batch, "text"))
             clean = np.ones(batch.num_rows, bool)
-            for lo, hi in tb.row_slices(offsets):
+            for lo, hi in tb.row_slices(offsets, 1 << 20):
                 words, hashes = word_hashes(tb.Texts(data, offsets[lo : hi + 1]))
                 for found in find_leaks(words, hashes, items):
                     clean[lo + found[0]] = False
