@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tillroll.llm import jaccard, queries
 from tillroll.llm.components import components
 from tests.llm.tables import ODD_TEXTS, docs_of, rows_by_id
@@ -109,8 +111,11 @@ def test_query_against_brute_force(spark, sf_dir):
 
 def test_keep_one_of_each(spark):
     texts = ["a b c d e", "x y z", "a b c d e", None, ""]
-    kept = jaccard.keep_one_of_each(docs_of(spark, texts))
+    docs = docs_of(spark, texts)
+    kept = jaccard.keep_one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4]
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") < 2, F.col("doc_id")))
+    assert jaccard.keep_one_of_each(unnamed).count() == 5
 
 
 def test_components(spark):

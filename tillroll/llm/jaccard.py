@@ -393,7 +393,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
-    """The documents that name their component, with their columns."""
+    """The documents that name their component, with their columns. Rows without a doc_id
+    cannot be told apart and all stay."""
     kept = jaccard_components(docs, percent, width).where("doc_id = component_id").select("doc_id")
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
-    return docs.select(*names).join(kept.distinct(), "doc_id", "left_semi")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return rows.join(kept.distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
