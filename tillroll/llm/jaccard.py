@@ -113,7 +113,7 @@ def reach(n: np.ndarray, percent: int) -> np.ndarray:
 
 def spare(regions: np.ndarray) -> np.ndarray:
     """Pivots kept beyond a document's regions, in case some of them are hot."""
-    return 8 + regions // 4
+    return 8 + regions // 8
 
 
 def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -149,8 +149,11 @@ def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _regions(classes: DataFrame, docs: DataFrame, hot, percent: int, width: int) -> DataFrame:
-    """(pivot, doc, n): the regions of every class under the order (hot, key)."""
+def _regions(
+    classes: DataFrame, counts: DataFrame, docs: DataFrame, hot, percent: int, width: int
+) -> DataFrame:
+    """(pivot, doc, n): the regions of every class under the order (hot, key), without
+    most regions of one document. ``counts`` has the pivots of two heads or more."""
 
     def from_heads(batches):
         table = hot.value
@@ -205,9 +208,11 @@ def _regions(classes: DataFrame, docs: DataFrame, hot, percent: int, width: int)
     # Where most of the first pivots are hot, the order needs the whole set.
     open_ids = told.where("not known").select(F.col("doc").alias("doc_id"))
     again = docs.select(F.col("doc_id").cast("long"), "text").join(open_ids, "doc_id", "left_semi")
-    return told.where("known").select("pivot", "doc", "n").unionByName(
-        again.mapInArrow(from_texts, "pivot long, doc long, n long")
-    )
+    whole = materialize(again.mapInArrow(from_texts, "pivot long, doc long, n long"), "whole")
+    # A pivot of two documents is in both heads, or in a set that was read as a whole.
+    shared = counts.select("pivot").unionByName(whole.select("pivot")).distinct()
+    regions = told.where("known").select("pivot", "doc", "n").unionByName(whole)
+    return materialize(regions.join(shared, "pivot", "left_semi"), "regions")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -348,11 +353,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
         "classes",
     )
     profiles = classes.select("doc", "n", "profile")
+    counts = materialize(
+        classes.select(F.explode("head").alias("pivot")).groupBy("pivot").count().where("count > 1"),
+        "counts",
+    )
     frequent = (
-        classes.select(F.explode("head").alias("pivot"))
-        .groupBy("pivot")
-        .count()
-        .where(F.col("count") > HOT)
+        counts.where(F.col("count") > HOT)
         .orderBy(F.desc("count"), "pivot")
         .limit(MAX_HOT)
         .select("pivot")
@@ -360,14 +366,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
     )
     table = np.sort(np.asarray(frequent.column("pivot").combine_chunks()).view(np.uint64))
     hot = spark.sparkContext.broadcast(table)
-    regions = _regions(classes.select("doc", "n", "head"), docs, hot, percent, width)
-    shared = (
+    regions = _regions(classes.select("doc", "n", "head"), counts, docs, hot, percent, width)
+    hubs = (
         regions.groupBy("pivot")
         .agg(F.count("*").alias("docs"), _hub("doc", 0).alias("hub"))
         .where("docs > 1")
         .select("pivot", F.col("hub.doc").alias("hub"))
     )
-    regions = materialize(regions.join(shared, "pivot"), "regions")
+    regions = materialize(regions.join(hubs, "pivot"), "regions")
 
     pairs = materialize(_hub_pairs(regions, profiles, percent, 0), "pairs")
     links = materialize(_verify(pairs, docs, percent, width), "found")
