@@ -145,19 +145,39 @@ def _intervals(t: RetailTables, max_sequence: int) -> DataFrame:
     The gap is between completed orders, the label is the ordinal over all orders.
     """
     if t.has_sequence:
-        completed = t.completed()
+        rows = ordered_scan(
+            t.completed().select("customer_id", "order_sequence", *ORDER_OF_PURCHASE),
+            "customer_id",
+            ORDER_OF_PURCHASE,
+            t.hot_customers,
+            prev_max={"previous": F.col("order_date_only")},
+        ).where(F.col("order_sequence") <= max_sequence)
     else:
-        # The order before another by date and id can be a later one of the same day, so
-        # the ordinal is not enough to find it among a customer's first orders.
-        narrow = t.orders.select("customer_id", "order_date", "order_status", *ORDER_OF_PURCHASE)
-        completed = t.sequenced_orders(narrow).where(_is_completed())
-    rows = ordered_scan(
-        completed.select("customer_id", "order_sequence", *ORDER_OF_PURCHASE),
-        "customer_id",
-        ORDER_OF_PURCHASE,
-        t.hot_customers,
-        prev_max={"previous": F.col("order_date_only")},
-    ).where(F.col("order_sequence") <= max_sequence)
+        # Of a customer's first few orders only those are ever shuffled, and the orders
+        # of earlier days are among them. The order before by date and id can also be a
+        # later one of the same day, with a smaller id: the least id of a day tells.
+        days_before = (
+            W.partitionBy("customer_id")
+            .orderBy(F.unix_date("order_date_only"))
+            .rangeBetween(W.unboundedPreceding, -1)
+        )
+        least = (
+            t.completed()
+            .groupBy("customer_id", "order_date_only")
+            .agg(F.min("order_id").alias("least"))
+        )
+        rows = (
+            t.first_orders(max_sequence)
+            .where(_is_completed())
+            .withColumn("earlier", F.max("order_date_only").over(days_before))
+            .join(least, ["customer_id", "order_date_only"])
+            .withColumn(
+                "previous",
+                F.when(F.col("least") < F.col("order_id"), F.col("order_date_only")).otherwise(
+                    F.col("earlier")
+                ),
+            )
+        )
     return rows.where(F.col("previous").isNotNull()).select(
         "order_sequence", F.datediff("order_date_only", "previous").alias("days")
     )
