@@ -42,7 +42,7 @@ HOT = 32
 #: ... if it is among so many most frequent ones (8 bytes each reach every task). This
 #: and the two numbers below steer work only; links do not depend on them.
 MAX_HOT = 500_000
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: In a round a document meets the hubs of about one in so many of its regions.
 HUB_SHARE = 6
 CLASSES = 96
@@ -152,8 +152,8 @@ def _in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _regions(
     classes: DataFrame, counts: DataFrame, docs: DataFrame, hot, percent: int, width: int
 ) -> DataFrame:
-    """(pivot, doc, n): the regions of every class under the order (hot, key), without
-    most regions of one document. ``counts`` has the pivots of two heads or more."""
+    """(pivot, doc, n, at): the regions of every class under the order (hot, key) and the
+    pivot's place in it, without most regions of one document. ``counts`` has the pivots of two heads or more."""
 
     def from_heads(batches):
         table = hot.value
@@ -179,9 +179,10 @@ def _regions(
                     pa.array(np.concatenate((keys[take].view(np.int64), np.zeros((~known).sum(), np.int64)))),
                     pa.array(np.concatenate((ids[row[take]], ids[~known]))),
                     pa.array(np.concatenate((n[row[take]], n[~known]))),
+                    pa.array(np.concatenate((rank[take], np.zeros((~known).sum(), np.int64)))),
                     pa.array(np.concatenate((np.ones(take.sum(), bool), np.zeros((~known).sum(), bool)))),
                 ],
-                ["pivot", "doc", "n", "known"],
+                ["pivot", "doc", "n", "at", "known"],
             )
 
     def from_texts(batches):
@@ -200,18 +201,19 @@ def _regions(
                         pa.array(key[take].view(np.int64)),
                         pa.array(all_ids[lo:hi][row[take]]),
                         pa.array(sets.counts[row[take]]),
+                        pa.array(place[take]),
                     ],
-                    ["pivot", "doc", "n"],
+                    ["pivot", "doc", "n", "at"],
                 )
 
-    told = classes.mapInArrow(from_heads, "pivot long, doc long, n long, known boolean")
+    told = classes.mapInArrow(from_heads, "pivot long, doc long, n long, at long, known boolean")
     # Where most of the first pivots are hot, the order needs the whole set.
     open_ids = told.where("not known").select(F.col("doc").alias("doc_id"))
     again = docs.select(F.col("doc_id").cast("long"), "text").join(open_ids, "doc_id", "left_semi")
-    whole = materialize(again.mapInArrow(from_texts, "pivot long, doc long, n long"), "whole")
+    whole = materialize(again.mapInArrow(from_texts, "pivot long, doc long, n long, at long"), "whole")
     # A pivot of two documents is in both heads, or in a set that was read as a whole.
     shared = counts.select("pivot").unionByName(whole.select("pivot")).distinct()
-    regions = told.where("known").select("pivot", "doc", "n").unionByName(whole)
+    regions = told.where("known").select("pivot", "doc", "n", "at").unionByName(whole)
     return materialize(regions.join(shared, "pivot", "left_semi"), "regions")
 
 
@@ -257,7 +259,7 @@ def _labelled(regions: DataFrame, links: DataFrame) -> DataFrame:
         .where("least < most")
         .select("pivot")
     )
-    return materialize(found.join(split, "pivot").select("pivot", "doc", "n", "label"), "open")
+    return materialize(found.join(split, "pivot").select("pivot", "doc", "n", "at", "label"), "open")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -316,21 +318,29 @@ def _hub_pairs(met: DataFrame, profiles: DataFrame, percent: int, turn: int) ->
 
 def _rest_pairs(open_regions: DataFrame, percent: int) -> DataFrame:
     """Pairs of one region and different components; the region's largest component meets
-    only the documents outside it."""
+    only the documents outside it.
+
+    A pair within the threshold shares no pivot before its first region, so there neither
+    has passed more pivots than the sets may differ in; other rows of a pair are dropped.
+    """
     sizes = open_regions.groupBy("pivot", "label").agg(F.count("*").alias("members"))
     major = sizes.groupBy("pivot").agg(F.max(F.struct("members", "label")).getField("label").alias("major"))
     known = open_regions.join(major, "pivot")
     minor = known.where("label <> major").select(
-        "pivot", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "major"
+        "pivot", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"), "major"
     )
     other = open_regions.select(
-        "pivot", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")
+        "pivot", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib")
     )
     return (
         minor.join(other, "pivot")
         .where(
             (F.col("la") != F.col("lb"))
             & _sizes_fit("na", "nb", percent)
+            & (
+                (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+                >= percent * (F.col("na") + F.col("nb"))
+            )
             & ((F.col("lb") == F.col("major")) | (F.col("a") < F.col("b")))
         )
         .select("a", "b")
@@ -377,14 +387,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
 
     pairs = materialize(_hub_pairs(regions, profiles, percent, 0), "pairs")
     links = materialize(_verify(pairs, docs, percent, width), "found")
-    still = _labelled(regions.select("pivot", "doc", "n"), links)
+    still = _labelled(regions.select("pivot", "doc", "n", "at"), links)
     for turn in range(1, HUB_ROUNDS):
         hubs = still.groupBy("pivot").agg(_hub("label", turn).alias("h"))
         met = still.join(hubs, "pivot").where(F.col("label") != F.col("h.label"))
         met = met.select("pivot", "doc", "n", F.col("h.doc").alias("hub"))
         pairs = materialize(_hub_pairs(met, profiles, percent, turn), "pairs")
         links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
-        still = _labelled(still.select("pivot", "doc", "n"), links)
+        still = _labelled(still.select("pivot", "doc", "n", "at"), links)
     pairs = _near(_rest_pairs(still, percent), profiles, percent).select("a", "b")
     pairs = materialize(pairs, "pairs")
     links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
