@@ -4,7 +4,8 @@ A text is a unit vector of TF-IDF weights over hashed byte n-grams of its letter
 language has a few centroids (spherical k-means); a text gets the language of the
 centroid with the largest cosine. A text that is too far from every centroid is
 rejected: its cosine is below ``REJECT_SHARE`` of the least cosines usual for texts of
-its length around that centroid, or it has no letter.
+its length around that centroid, or it has no letter. Texts of fewer than 32 n-grams say
+too little for a distance and are not rejected for it.
 
 Defined cases: null and letterless texts get `und`, score 0 and are rejected; ties go to
 the centroid listed first (languages in order of name); rows with a null language or
@@ -54,6 +55,8 @@ class LanguageModel:
 _LETTER = tb.byte_table(lambda b: b >= 128 or chr(b).isalpha())
 #: Upper bounds in letters of the length classes of the rejection distance.
 LENGTHS = np.array([8, 32, 128, 512])
+#: The first length class whose texts can be too far.
+JUDGED = 2
 
 
 def letter_texts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +223,8 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, *more: str) -
                 top = np.clip(cosine[np.arange(hi - lo), best], 0, 1)
                 names[lo:hi][use] = np.array(model.languages, object)[lang[use]]
                 score[lo:hi][use] = top[use]
-                rejected[lo:hi] = ~use | (top < REJECT_SHARE * model.least[lang, length])
+                far = top < REJECT_SHARE * model.least[lang, length]
+                rejected[lo:hi] = ~use | (far & (length >= JUDGED))
             yield pa.RecordBatch.from_arrays(
                 [
                     tb.column(batch, "doc_id"),
