@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, jaccard, language, leaks, licenses, pages, passages, pii, quality, toxicity
+from tillroll.llm import bpe, jaccard, language, leaks, licenses, manifest, oracles, pages, passages, pii, quality, toxicity
 from tillroll.llm.workers import find_package
 
 
@@ -62,6 +62,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bpe,
         op9_toxicity,
         op10_personal_data,
+        op12_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
@@ -107,4 +112,4 @@ GROUP BY d.doc_id, size.n
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested by brute force."""
-    return {"op6_jaccard_join": _JACCARD_SQL}
+    return {"op6_jaccard_join": _JACCARD_SQL, "op12_merkle_manifest": oracles.MERKLE}
