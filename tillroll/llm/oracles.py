@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillroll.llm.manifest import RUN, TAMPER_MOD
+from tillroll.llm.resample import BUCKETS, DRAWN_PERCENT, MIN_WORDS, SEED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,3 +85,44 @@ FROM leaf JOIN subroot ON subroot.source = leaf.tree CROSS JOIN root
 LEFT JOIN proof ON proof.tree = leaf.tree AND proof.pos = leaf.pos
 JOIN folded ON folded.tree = leaf.tree AND folded.pos = leaf.pos AND folded.k = coalesce(proof.steps, 0)
 """
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _grams(table: str, key: str) -> str:
+    return f"""
+  SELECT {key}, w, unnest(w || list_transform(range(1, len(w)), lambda i : w[i] || ' ' || w[i + 1])
+      || list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+  FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w
+        FROM {table})"""
+
+
+RESAMPLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+gram AS ({_grams('documents', 'doc_id')}),
+wanted AS ({_grams('benchmark', 'item_id')}),
+bucket AS (
+  SELECT g, {_crc("list_transform(range(0, strlen(g)), lambda i : ('0x' || substr(x, 2 * i + 1, 2))::INTEGER)")}
+            % {BUCKETS} AS b
+  FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT g FROM gram UNION SELECT g FROM wanted)), crc),
+had AS (SELECT b, count(*) AS s FROM gram JOIN bucket USING (g) GROUP BY b),
+want AS (SELECT b, count(*) AS t FROM wanted JOIN bucket USING (g) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM gram)::DOUBLE AS ss, (SELECT count(*) FROM wanted)::DOUBLE AS tt),
+gain AS (
+  SELECT b, floor(1000.0 * ln(((coalesce(t, 0)::DOUBLE + 1) * (ss + {BUCKETS}))
+                              / ((s::DOUBLE + 1) * (tt + {BUCKETS}))))::BIGINT AS gain
+  FROM had LEFT JOIN want USING (b), total),
+weighed AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight, max(len(w)) AS n_words
+  FROM gram JOIN bucket USING (g) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(n_words, 0) >= {MIN_WORDS} AS enough,
+         (coalesce(weight, 0) + floor(-1000.0 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                      / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE enough)
+SELECT doc_id, n_features, weight, score, rank
+FROM scored LEFT JOIN (SELECT * FROM ranked
+                       WHERE rank <= (SELECT {DRAWN_PERCENT} * count(*) // 100 FROM scored WHERE enough)) USING (doc_id)
+"""

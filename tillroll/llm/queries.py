@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe, jaccard, language, leaks, licenses, manifest, oracles, pages, passages, pii, quality, toxicity
+from tillroll.llm import bpe, jaccard, language, leaks, licenses, manifest, oracles, pages, passages, pii, quality, resample, simhash, toxicity
 from tillroll.llm.workers import find_package
 
 
@@ -62,10 +62,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.merkle_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules,
@@ -78,7 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bpe,
         op9_toxicity,
         op10_personal_data,
+        op11_simhash,
         op12_merkle_manifest,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in found}
 
@@ -112,4 +124,8 @@ GROUP BY d.doc_id, size.n
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the others are tested by brute force."""
-    return {"op6_jaccard_join": _JACCARD_SQL, "op12_merkle_manifest": oracles.MERKLE}
+    return {
+        "op6_jaccard_join": _JACCARD_SQL,
+        "op12_merkle_manifest": oracles.MERKLE,
+        "op13_importance_resampling": oracles.RESAMPLE,
+    }
