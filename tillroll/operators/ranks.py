@@ -29,10 +29,14 @@ def power_sums(df: DataFrame, value: str, in_first: Column) -> DataFrame:
 
 
 def rank_sums(
-    df: DataFrame, value: str, in_first: Column, extra: dict[str, Column] | None = None
+    df: DataFrame,
+    value: str,
+    in_first: Column,
+    extra: dict[str, Column] | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """The power sums plus ``u1, tie_term`` for the Mann-Whitney test, and the sums
-    of ``extra`` columns, all from one pass over ``df``.
+    of ``extra`` columns, all from one pass over ``df``; one row, or one per ``by`` group.
 
     ``u1`` counts the pairs in which the first sample is larger, ties as half;
     ``tie_term`` is the sum of t^3 - t over groups of t tied values.
@@ -45,7 +49,7 @@ def rank_sums(
     extra = extra or {}
     counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(value)
+        .groupBy(*by, value)
         .agg(
             F.count(F.when(in_first, 1)).cast(_BIG).alias("n1"),
             F.count(F.when(~in_first, 1)).cast(_BIG).alias("n2"),
@@ -53,17 +57,17 @@ def rank_sums(
         )
     )
     below = (
-        W.partitionBy("_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*by, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     )
     tied = (F.col("n1") + F.col("n2")).cast("double")
     s1, q1 = _sums_of(F.col(value), F.col("n1"))
     s2, q2 = _sums_of(F.col(value), F.col("n2"))
     twice_local_u = F.col("n1") * (F.col("_below") * 2 + F.col("n2"))
     slices = (
-        counted.repartitionByRange(value)
+        counted.repartitionByRange(*by, value)
         .withColumn("_slice", F.spark_partition_id())
         .withColumn("_below", F.coalesce(F.sum("n2").over(below), F.lit(0)).cast(_BIG))
-        .groupBy("_slice")
+        .groupBy(*by, "_slice")
         .agg(
             F.sum("n1").cast(_BIG).alias("n1"),
             F.sum("n2").cast(_BIG).alias("n2"),
@@ -76,12 +80,12 @@ def rank_sums(
             *[F.sum(name).alias(name) for name in extra],
         )
     )
-    # one row per shuffle partition from here on
-    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    # one row per shuffle partition (and group) from here on
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     n2_before = F.coalesce(F.sum("n2").over(earlier), F.lit(0)).cast(_BIG)
     twice_u = F.col("_twice_u") + F.col("n1") * F.col("_n2_before") * 2
     kept = ["s1", "q1", "s2", "q2", *extra]
-    return slices.withColumn("_n2_before", n2_before).agg(
+    return slices.withColumn("_n2_before", n2_before).groupBy(*by).agg(
         F.sum("n1").cast("bigint").alias("n1"),
         F.sum("n2").cast("bigint").alias("n2"),
         (F.sum(twice_u.cast(_BIG)).cast("double") / 2).alias("u1"),

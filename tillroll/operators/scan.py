@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.operators.scratch import materialize
+from tillroll.operators import skew
 from tillroll.operators.skew import HotKeys
 
 
@@ -32,9 +33,9 @@ def ordered_scan(
     spec = dict(count=count, sums=sums or {}, prev_max=prev_max or {})
     if not hot:
         return _running(df, [key], order, **spec)
-    is_hot = hot.holds(F.col(key))
-    ordinary = _running(df.where(~is_hot), [key], order, **spec)
-    sliced = _sliced(df.where(is_hot), key, order, hot.slices(), **spec)
+    marked, is_hot = hot.marked(df, key), F.col("_fanout").isNotNull()
+    ordinary = _running(marked.where(~is_hot).drop("_fanout"), [key], order, **spec)
+    sliced = _sliced(marked.where(is_hot).drop("_fanout"), key, order, hot, **spec)
     return ordinary.unionByName(sliced)
 
 
@@ -52,7 +53,8 @@ def _running(df, by, order, count, sums, prev_max):
     return df.withColumns(added)
 
 
-def _sliced(df, key, order, slices, count, sums, prev_max):
+def _sliced(df, key, order, hot, count, sums, prev_max):
+    slices = hot.slices()
     # Written once: the slice numbers must be the same for the running values and
     # for the totals carried between slices, whatever happens to an executor.
     ranged = materialize(
@@ -89,5 +91,7 @@ def _sliced(df, key, order, slices, count, sums, prev_max):
         ).cast(local.schema[name].dataType)
     for name in prev_max:
         final[name] = F.greatest(F.col(name), F.col(f"_c_{name}"))
-    out = local.join(F.broadcast(carry), [key, "_slice"]).withColumns(final)
+    if slices + len(hot) <= skew.BROADCAST_ROWS:
+        carry = F.broadcast(carry)
+    out = local.join(carry, [key, "_slice"]).withColumns(final)
     return out.select(*[c for c in local.columns if c != "_slice"])
