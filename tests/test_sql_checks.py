@@ -18,7 +18,7 @@ def con(sf_dir):
 
 def test_catalogue():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"dashboard_payload", "test_results_table"}
+    assert set(QUERIES) == set(SQL)
     assert set(QUERIES) <= set(entry_points.queries())
     assert SQL.items() <= entry_points.oracle_sql().items()
 

@@ -1,6 +1,8 @@
 """Tail probabilities and tests against published and hand-worked values."""
 
+import itertools
 import math
+import random
 from decimal import Decimal
 
 import pytest
@@ -142,3 +144,75 @@ def test_report(spark, sf_dir):
         assert 0 <= p <= 1
         assert r.verdict.startswith("Statistically" if p < 0.05 else "Not")
         assert r.business_takeaway.endswith(".")
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_exact_mann_whitney_against_enumeration(n):
+    for m in range(1, 9):
+        counted = [0] * (n * m + 1)
+        for chosen in itertools.combinations(range(n + m), n):
+            counted[sum(chosen) - n * (n - 1) // 2] += 1
+        assert tails.u_ways(n, m) == counted
+        total = sum(counted)
+        for u in range(n * m + 1):
+            assert tails.mann_whitney_exact(u, n, m) == sum(counted[u:]) / total
+
+
+def test_exact_mann_whitney_of_uneven_samples():
+    ways = tails.u_ways(3, 4_000)
+    assert sum(ways) == math.comb(4_003, 3) and ways == ways[::-1]
+
+
+def test_small_samples_are_exact_unless_tied(spark):
+    a, b = [1, 5, 9], [2, 3, 4]
+    row = stats.mann_whitney_u(_two_samples(spark, a, b), "x", F.col("first"), "greater").first()
+    # of the 20 orders 7 have a U of 6 or more
+    assert (row.u1, row.exact, row.u_p_value) == (6, True, 7 / 20)
+    both = stats.mann_whitney_u(_two_samples(spark, a, b), "x", F.col("first")).first()
+    assert both.u_p_value == 14 / 20
+    tied = stats.mann_whitney_u(_two_samples(spark, a, [2, 3, 5]), "x", F.col("first")).first()
+    assert not tied.exact
+    large = stats.mann_whitney_u(_two_samples(spark, range(0, 18, 2), range(1, 19, 2)), "x", F.col("first")).first()
+    assert not large.exact and large.u_p_value == close(2 * normal_sf(large.z))
+
+
+def test_mann_whitney_by_group(spark):
+    rng = random.Random(6)
+    rows = [(g, Decimal(rng.randrange(10_000)), rng.random() < 0.3) for g in "abc" for _ in range(40)]
+    df = spark.createDataFrame(rows, "g string, x decimal(18,2), first boolean").repartition(5)
+    got = {r.g: r for r in stats.mann_whitney_u(df, "x", F.col("first"), by=("g",)).collect()}
+    for g in "abc":
+        one = stats.mann_whitney_u(df.where(F.col("g") == g), "x", F.col("first")).first()
+        assert got[g].asDict() == {"g": g, **one.asDict()}
+
+
+@pytest.mark.parametrize("z", [-2.0, 0.0, 3.0, 17.2, 19.9, 20.1, 36.0])
+def test_log_normal_tail_where_the_tail_itself_can_be_said(z):
+    assert tails.log_normal_sf(z) == pytest.approx(math.log(normal_sf(z)), rel=1e-12, abs=1e-14)
+
+
+def test_log_tails_below_the_least_double():
+    # by the recurrence of the Mills ratio: z between these bounds for any z > 0
+    for z in (40.0, 100.0, 1e4):
+        density = -z * z / 2 - math.log(math.sqrt(2 * math.pi))
+        low, high = z / (z * z + 1), (z * z + 2) / (z * (z * z + 3))
+        got, room = tails.log_normal_sf(z), 1e-15 * z * z
+        assert density + math.log(low) - room < got < density + math.log(high) + room
+    # even degrees of freedom have closed forms
+    for x in (50.0, 2_000.0, 9e5):
+        assert tails.log_chi2_sf(x, 2) == close(-x / 2, 1e-13)
+        assert tails.log_chi2_sf(x, 4) == close(-x / 2 + math.log1p(x / 2), 1e-13)
+    # one degree of freedom: the arc tangent
+    for t in (5.0, 1e6, 1e150):
+        assert tails.log_student_t_two_sided(t, 1) == close(math.log(2 / math.pi * math.atan(1 / t)), 1e-12)
+    assert tails.log_student_t_two_sided(20, 5_000) == close(math.log(student_t_two_sided(20, 5_000)), 1e-12)
+    assert tails.log_student_t_two_sided(-60, 1e6) == close(tails.log_student_t_two_sided(60, 1e6))
+    assert tails.log_student_t_two_sided(300, 1e6) < -745  # below any double's logarithm
+
+
+def test_welch_of_values_far_from_zero(spark):
+    """The spread is a few cents, the mean a million times that."""
+    low, high = [10**12 + x for x in (1, 2, 3, 4)], [10**12 + x for x in (2, 4, 6)]
+    near = stats.welch_t(_two_samples(spark, [1, 2, 3, 4], [2, 4, 6]), "x", F.col("first")).first()
+    far = stats.welch_t(_two_samples(spark, low, high), "x", F.col("first")).first()
+    assert (far.t_statistic, far.df) == (near.t_statistic, near.df)

@@ -330,6 +330,65 @@ FROM mw, grp""",
     )
 
 
+#: Small samples without ties, of n1 and n2 values.
+_SMALL = "ties = 0 AND LEAST(n1, n2) BETWEEN 1 AND 8 AND n1 * n2 <= 200000"
+
+#: Subsets of c of the first i ranks with sum s, as far as the small samples in ``test`` go.
+_WAYS = """
+ways AS (
+  SELECT 0 AS i, 0 AS c, 0 AS s, CAST(1 AS HUGEINT) AS w
+  UNION ALL
+  SELECT i + 1, c + d, s + d * (i + 1), CAST(SUM(w) AS HUGEINT) FROM ways, (VALUES (0), (1)) t(d)
+  WHERE i < (SELECT MAX(n1 + n2) FROM test WHERE exact) AND c + d <= 8 GROUP BY ALL)"""
+
+_EXACT_P = """(SELECT CAST(SUM(w) FILTER (s - c * (c + 1) // 2 >= u1) AS DOUBLE) / CAST(SUM(w) AS DOUBLE)
+            FROM ways WHERE i = n1 + n2 AND c = LEAST(n1, n2))"""
+
+
+def _h3_log_p() -> str:
+    """ln of the third test's p, from counting all orders if a sample is small."""
+    return _q(
+        _h3_tables()
+        + f""",
+test AS (SELECT *, {_z(False)} AS z, {_SMALL} AS exact FROM mw,
+         (SELECT SUM(c * c * c - c) AS ties FROM (SELECT COUNT(*) AS c FROM smp GROUP BY x))),
+{_WAYS}""",
+        f"SELECT CASE WHEN exact THEN LN({_EXACT_P}) ELSE {_log_normal('z')} END AS ln_p FROM test",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _h3_by_group() -> str:
+    """U by average ranks within each group; p from counting all orders of a small sample,
+    else from the normal tail."""
+    return _q(
+        f"""
+smp AS (SELECT region, acquisition_channel, spend AS x, n_lines > 1 AS first
+        FROM done JOIN cust USING (customer_id)
+        JOIN (SELECT customer_id, SUM(total_c) AS spend FROM done GROUP BY customer_id) s USING (customer_id)
+        WHERE seq = 1),
+rnk AS (SELECT *, RANK() OVER (PARTITION BY region, acquisition_channel ORDER BY x)
+               + (COUNT(*) OVER (PARTITION BY region, acquisition_channel, x) - 1) / 2.0 AS r FROM smp),
+tie AS (SELECT region, acquisition_channel, SUM(CAST(c AS DOUBLE) * c * c - c) AS ties
+        FROM (SELECT region, acquisition_channel, x, COUNT(*) AS c FROM smp GROUP BY ALL) GROUP BY ALL),
+mw AS (
+  SELECT region, acquisition_channel, COUNT(*) FILTER (first) AS n1, COUNT(*) FILTER (NOT first) AS n2,
+         COALESCE(SUM(r) FILTER (first), 0) - COUNT(*) FILTER (first) * (COUNT(*) FILTER (first) + 1) / 2.0 AS u1
+  FROM rnk GROUP BY ALL),
+test AS (
+  SELECT *, {_SMALL} AS exact,
+         (u1 - n1 * n2 / 2.0 - 0.5) / NULLIF(SQRT(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / NULLIF((n1 + n2) * (n1 + n2 - 1.0), 0))), 0) AS z
+  FROM mw JOIN tie USING (region, acquisition_channel)),
+{_WAYS}""",
+        f"""
+SELECT region, acquisition_channel, n1 AS multi_customers, n2 AS single_customers,
+       CAST(u1 AS DOUBLE) AS u_statistic, exact,
+       ROUND(CASE WHEN exact THEN
+           {_EXACT_P}
+         ELSE {_normal_tail("z")} END, 9) AS p_value
+FROM test""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _p_values() -> str:
     t_density = """EXP(LGAMMA((df + 1) / 2) - LGAMMA(df / 2)) / SQRT(df * PI())
         * POW(1 + u * u / df, -(df + 1) / 2)"""
@@ -351,6 +410,103 @@ def _p_values() -> str:
     )
 
 
+_FINE, _REACH = 20_000, 60
+
+
+def _log_tail(log_density: str, shape: str, scale: str) -> str:
+    """ln of a tail: the log density at its start, and Simpson's rule for what is left of
+    the density further out, relative to its start. ``shape`` is the log of that ratio at
+    ``v`` beyond the start; ``scale`` is about the distance over which it falls."""
+    weights = f"CASE WHEN i = 0 OR i = {_FINE} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (
+        f"({log_density} + LN((SELECT SUM(EXP({shape}) * {weights}) * MAX(h) / 3 "
+        f"FROM (SELECT i, ({scale}) * {_REACH}.0 / {_FINE} AS h, ({scale}) * i * {_REACH}.0 / {_FINE} AS v "
+        f"FROM RANGE({_FINE + 1}) r(i)))))"
+    )
+
+
+def _log_normal(z: str) -> str:
+    far = _log_tail(f"(-ABS({z}) * ABS({z}) / 2 - LN(SQRT(2 * PI())))", f"-ABS({z}) * v - v * v / 2", f"1 / GREATEST(ABS({z}), 1.0)")
+    return f"(CASE WHEN {z} < 0 THEN LN(1 - EXP({far})) ELSE {far} END)"
+
+
+def _log_student() -> str:
+    density = "(LGAMMA((df + 1) / 2) - LGAMMA(df / 2) - LN(SQRT(df * PI())) - (df + 1) / 2 * LN(1 + t * t / df))"
+    shape = "-(df + 1) / 2 * LN((1 + POW(ABS(t) + v, 2) / df) / (1 + t * t / df))"
+    return f"(LN(2) + {_log_tail(density, shape, '(df + t * t) / ((df + 1) * GREATEST(ABS(t), 1.0))')})"
+
+
+def _log_chi2() -> str:
+    density = "((dof / 2.0 - 1) * LN(chi2) - chi2 / 2 - dof / 2.0 * LN(2) - LGAMMA(dof / 2.0))"
+    return _log_tail(density, "(dof / 2.0 - 1) * LN(1 + v / chi2) - v / 2", "2.0")
+
+
+def _log_ps() -> dict[str, str]:
+    """A query with the column ln_p for each of the four tests."""
+    return {
+        "H1 Welch t": f"SELECT {_log_student()} AS ln_p FROM ({_q(_h1_tables(), 'SELECT t, df FROM stat')})",
+        "H1 Mann-Whitney U": f"SELECT LEAST(LN(2) + {_log_normal('z')}, 0) AS ln_p "
+        f"FROM ({_q(_h1_tables(), f'SELECT {_z(True)} AS z')})",
+        "H2 chi-square": f"SELECT {_log_chi2()} AS ln_p FROM ({_q(_h2_tables(), 'SELECT chi2, dof FROM chi')})",
+        "H3 Mann-Whitney U, greater": f"SELECT {_log_normal('z')} AS ln_p "
+        f"FROM ({_q(_h3_tables(), f'SELECT {_z(False)} AS z')})",
+    }
+
+
+def _log10_ps() -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{test}' AS test, ROUND(ln_p / LN(10), 8) AS log10_p FROM ({query})"
+        for test, query in _log_ps().items()
+    )
+
+
+#: Significant digits of the p values in the registered report.
+P_DIGITS = 8
+
+
+def _report(reports: dict[str, str]) -> str:
+    """The three tests as the printed table."""
+
+    def row(hypothesis, test_type, statistic, test, takeaway, query):
+        p = f"CAST(printf('%.{P_DIGITS - 1}e', EXP(ln_p)) AS DOUBLE)"
+        return f"""
+SELECT '{hypothesis}' AS hypothesis, '{test_type}' AS test_type, {statistic} AS statistic, {p} AS p_value,
+       CASE WHEN EXP(ln_p) < 0.05 THEN 'Statistically Significant (p < 0.05)'
+            ELSE 'Not Statistically Significant (p >= 0.05)' END AS verdict,
+       {takeaway} AS business_takeaway
+FROM ({query}), ({test})"""
+
+    tests = _log_ps()
+    lift = _q(
+        _h3_tables(),
+        """SELECT (CAST(c1 AS DOUBLE) / 100 / n1 - CAST(c2 AS DOUBLE) / 100 / n2)
+               / (CAST(c2 AS DOUBLE) / 100 / n2) * 100 AS lift FROM mw, grp""",
+    )
+    return "\nUNION ALL ".join(
+        [
+            row(
+                "H1: Promotional Discounts lift AOV", "Welch''s Two-Sample t-test", "t_statistic", tests["H1 Welch t"],
+                "printf('Discounted orders average $%.2f vs $%.2f (margin changes from %.1f%% to %.1f%%).', "
+                "discounted_aov, full_price_aov, full_price_margin_pct, discounted_margin_pct)",
+                reports["h1_discount_effect"],
+            ),
+            row(
+                "H2: Channel affects Repeat Rate", "Chi-Square Test of Independence", "chi2", tests["H2 chi-square"],
+                "'Highest repeat rate is ' || best_channel || ' (' || best_rate_pct::VARCHAR || '%), lowest is ' "
+                "|| worst_channel || ' (' || worst_rate_pct::VARCHAR || '%).'",
+                reports["h2_chi_square"],
+            ),
+            row(
+                "H3: Multi-Item First Order boosts LTV", "Mann-Whitney U Test (One-Tailed)", "u_statistic",
+                _h3_log_p(),
+                "printf('Customers starting with 2+ items generate $%.2f LTV vs $%.2f (%+.1f%% lift).', "
+                "multi_mean_ltv, single_mean_ltv, lift)",
+                f"SELECT * FROM ({reports['h3_first_basket_ltv']}), ({lift})",
+            ),
+        ]
+    )
+
+
 _ORDER_COLUMNS = f"""order_date, day AS order_date_only,
        status AS order_status, payment_method, {_money("subtotal_c")} AS subtotal,
        {_money("o.discount_c")} AS discount_amount, {_money("o.shipping_c")} AS shipping_fee,
@@ -461,9 +617,105 @@ def oracle_sql() -> dict[str, str]:
         f"CAST(SUM({measure}) AS BIGINT) AS total FROM ({out[query]})"
         for name, query, measure in sections
     )
+    out["test_results_table"] = _report(out)
+    out["dashboard_payload"] = _document(out)
+    out["dashboard_cells"] = "\nUNION ALL ".join(
+        _cells(section, out[query], *how) for section, (query, *how) in _CELLS.items()
+    )
     return out
 
 
+#: section: query, order of its rows, texts, integers, numbers.
+_CELLS = {
+    "kpis": (
+        "executive_kpis", "1", [], ["total_orders", "total_customers"],
+        ["total_gmv", "avg_order_value", "total_gross_profit", "gross_margin_pct"],
+    ),
+    "repeat_rate": (
+        "repeat_customer_rate", "1", [], ["repeat_customers", "total_customers"], ["repeat_rate_pct"],
+    ),
+    "monthly_trend": (
+        "monthly_trend", "month", ["month"], ["orders", "active_customers"], ["revenue", "profit", "aov"],
+    ),
+    "category_performance": (
+        "category_performance", "total_sales DESC, category", ["category"],
+        ["units_sold", "order_appearances"], ["total_sales", "category_profit"],
+    ),
+    "cohort_matrix": (
+        "cohort_matrix_dashboard", "cohort_month, cohort_index", ["cohort_month"],
+        ["cohort_size", "cohort_index", "active_users"], ["retention_pct"],
+    ),
+    "rfm_segments": (
+        "rfm_dashboard", "total_revenue DESC, segment", ["segment"], ["customer_count"],
+        ["total_revenue", "avg_spend", "avg_orders", "avg_recency_days"],
+    ),
+    "market_basket": (
+        "top_pairs_dashboard", "co_orders DESC, p1_name, p2_name, p1_cat, p2_cat",
+        ["p1_name", "p1_cat", "p2_name", "p2_cat"], ["co_orders"], ["support_pct"],
+    ),
+    "channels": (
+        "channel_distribution", "revenue DESC, acquisition_channel", ["acquisition_channel"],
+        ["customers", "orders"], ["revenue", "aov"],
+    ),
+}
+
+
+def _cells(section: str, query: str, order: str, texts: list, integers: list, numbers: list) -> str:
+    def cell(field, kind):
+        number = "CAST(NULL AS DOUBLE)" if kind == "text" else f"CAST({field} AS DOUBLE)"
+        text = field if kind == "text" else "CAST(NULL AS VARCHAR)"
+        return (
+            f"SELECT '{section}' AS section, row_no, '{field}' AS field, '{kind}' AS kind, "
+            f"{number} AS number, {text} AS text FROM placed"
+        )
+
+    fields = [(f, "text") for f in texts] + [(f, "number") for f in integers + numbers]
+    return (
+        f"SELECT * FROM (WITH placed AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {order}) AS INTEGER) AS row_no "
+        f"FROM ({query})) " + " UNION ALL ".join(cell(f, k) for f, k in fields) + ")"
+    )
+
+
+#: The fields of a section as they are printed: t text, i integer, m amount, d double.
+_PRINTED = {
+    "kpis": "total_gmv:m total_orders:i total_customers:i avg_order_value:d total_gross_profit:m gross_margin_pct:d",
+    "repeat_rate": "repeat_customers:i total_customers:i repeat_rate_pct:d",
+    "monthly_trend": "month:t revenue:m profit:m orders:i active_customers:i aov:d",
+    "category_performance": "category:t total_sales:m category_profit:m units_sold:i order_appearances:i",
+    "cohort_matrix": "cohort_month:t cohort_size:i cohort_index:i active_users:i retention_pct:d",
+    "rfm_segments": "segment:t customer_count:i total_revenue:m avg_spend:d avg_orders:d avg_recency_days:d",
+    "market_basket": "p1_name:t p1_cat:t p2_name:t p2_cat:t co_orders:i support_pct:d",
+    "channels": "acquisition_channel:t customers:i orders:i revenue:m aov:d",
+}
+
+
+def _document(reports: dict[str, str]) -> str:
+    """The indented JSON text of all sections."""
+    # From ten million on a double is printed with an exponent.
+    digits, whole = "RTRIM(REPLACE({0}::VARCHAR, '.', ''), '0')", "STRPOS({0}::VARCHAR, '.') - 2"
+    large = f"SUBSTR({digits}, 1, 1) || '.' || COALESCE(NULLIF(SUBSTR({digits}, 2), ''), '0') || 'E' || ({whole})"
+    shown = {
+        "t": "to_json({0})::VARCHAR",
+        "i": "{0}::VARCHAR",
+        "d": f"CASE WHEN {{0}} >= 1e7 THEN {large} ELSE {{0}}::VARCHAR END",
+        "m": "printf('%.2f', {0})",
+    }
+    parts = []
+    for section, fields in _PRINTED.items():
+        query, order = _CELLS[section][:2]
+        pairs = [f.split(":") for f in fields.split()]
+        values = " || ',\n' || ".join(
+            f"""'    "{name}" : ' || COALESCE({shown[kind].format(name)}, 'null')""" for name, kind in pairs
+        )
+        row = f"'{{\n' || {values} || '\n  }}'"
+        rows = f"SELECT string_agg(entry, ', ' ORDER BY place) FROM (SELECT {row} AS entry, ROW_NUMBER() OVER (ORDER BY {order}) AS place FROM ({reports[query]}))"
+        if section in ("kpis", "repeat_rate"):
+            parts.append(f"""'  "{section}" : ' || ({rows})""")
+        else:
+            parts.append(f"""'  "{section}" : [ ' || COALESCE(({rows}) || ' ', '') || ']'""")
+    return "SELECT '{\n' || " + " || ',\n' || ".join(parts) + " || '\n}' AS document"
+
+
 def _reports() -> dict[str, str]:
     churn = _pct("before - n", "before", 2)
     return {
@@ -640,7 +892,9 @@ GROUP BY customer_id, region, acquisition_channel, signup_date""",
         ),
         "h2_chi_square": _h2(),
         "h3_first_basket_ltv": _h3(),
+        "h3_by_customer_group": _h3_by_group(),
         "hypothesis_p_values": _p_values(),
+        "hypothesis_log10_p": _log10_ps(),
         "analytics_master": _q(
             "",
             f"""SELECT l.item_id, l.order_id, l.product_id, l.quantity,
@@ -753,4 +1007,13 @@ d AS (SELECT *, CAST((SELECT MAX(day) FROM ord) - last_day AS INTEGER) AS days F
             FROM d""",
         ),
         "dq_keys": _dq(),
+        "active_customers_rollup": _q(
+            "a AS (SELECT region, mon // 12 AS y, mon % 12 + 1 AS m, customer_id "
+            "FROM done JOIN cust USING (customer_id))",
+            """SELECT CASE GROUPING(region, y, m) WHEN 0 THEN 'region month' WHEN 1 THEN 'region year'
+              WHEN 3 THEN 'region' WHEN 4 THEN 'month' WHEN 5 THEN 'year' ELSE 'total' END AS level,
+            region, y AS sales_year, CAST(m AS INTEGER) AS sales_month,
+            COUNT(DISTINCT customer_id) AS active_customers, COUNT(*) AS orders
+            FROM a GROUP BY GROUPING SETS ((region, y, m), (region, y), (region), (y, m), (y), ())""",
+        ),
     }

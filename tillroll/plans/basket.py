@@ -1,72 +1,68 @@
 """Products bought together.
 
-Counting pairs means expanding every order into its pairs, which is linear in the
-data only while orders are small. Orders wider than ``max_width`` lines are therefore
-never expanded as a whole:
+The lines are read once, into a stored table of distinct (order, product); everything
+else works on that. Counting pairs means expanding every order into its pairs, which is
+linear in the data only while orders are small. Orders wider than ``max_width`` products
+are therefore never expanded as a whole:
 
 * narrow orders are expanded and counted;
-* a pair seen in narrow orders gets its wide orders by probing them for the pair;
+* a pair seen in narrow orders gets its wide orders by probing them for the pair, a join
+  on the product cut into a grid of cells (``grid_join``), since a product may be in very
+  many candidates and very many wide orders;
 * a pair seen in wide orders only can matter only if it occurs in at least as many
   of them as the result asks for, so both its products do too. Only such products
-  are paired inside the wide orders, in blocks spread over tasks. With fewer wide
-  orders than the threshold there are none.
-
-Together this is exact for any mix of orders.
+  are paired inside the wide orders: an order of n of them is dealt into n / BLOCK blocks,
+  and every two blocks of it are a key of their own, with at most about BLOCK * BLOCK
+  pairs, whatever the order's width. With fewer wide orders than the threshold there are
+  none.
+
+Together this is exact for any mix of orders. Which products exist is asked of the
+products (one row each, counted map-side), never of the lines: lines only lose the
+products that turn out to be unknown, and stay where they are otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.functions.exact import pct
+from tillroll.operators import skew
 from tillroll.operators.scratch import materialize
-from tillroll.operators.skew import HotKeys, salted_join
+from tillroll.operators.skew import HotKeys, attach, exact_hot, grid_join, salted_join, with_group_values
 from tillroll.sources.tables import RetailTables
 
 MAX_WIDTH = 200
-_BLOCKS = 16
+#: Products of a wide order in one block.
+BLOCK = 200
 
 
 @dataclass(frozen=True)
 class BasketInput:
     """``lines(order_id, product_id)`` of any status, ``keys(order_id)`` of the orders
     that count, those orders themselves, ``products(product_id, product_name,
-    category)``, and how to find the hot keys of the lines should they matter."""
+    category)``. Without keys the lines are stored, distinct and of orders that count;
+    without orders every order that counts has lines."""
 
     lines: DataFrame
-    keys: DataFrame
-    orders: DataFrame
+    keys: DataFrame | None
+    orders: DataFrame | None
     products: DataFrame
-    hot_orders: Callable[[], HotKeys] = HotKeys
-    hot_products: Callable[[], HotKeys] = HotKeys
 
 
 def product_baskets(t: RetailTables) -> BasketInput:
+    stored = t.stored_sold_products()
+    lines = t.order_items if stored is None else stored
     return BasketInput(
-        t.order_items.select("order_id", "product_id"),
-        t.completed_keys(),
-        t.completed(),
+        lines.select("order_id", "product_id"),
+        t.completed_keys() if stored is None else None,
+        None if t.orders_have_lines else t.completed(),
         t.products.select("product_id", "product_name", "category"),
-        lambda: t.hot_orders,
-        lambda: t.hot_products,
     )
 
 
-def _order_sets(lines: DataFrame) -> DataFrame:
-    """Sorted distinct products of each order; for narrow orders only, so a set has
-    at most ``max_width`` members."""
-    return lines.groupBy("order_id").agg(
-        F.sort_array(F.collect_set("product_id")).alias("members")
-    )
-
-
-def _members(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("members").alias("product_id"))
-
-
 def _pairs_of(sets: DataFrame) -> DataFrame:
     """Pairs a < b of every set, generated in place: no join, no further shuffle."""
     return sets.select(F.posexplode("members").alias("at", "a"), "members").select(
@@ -78,23 +74,37 @@ def _count_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("together"))
 
 
-def _blocked_pairs(baskets: DataFrame) -> DataFrame:
-    """Pairs within wide orders, with an order's products split into blocks and every
-    pair of blocks a join key of its own."""
-    block = F.pmod(F.xxhash64("product_id"), F.lit(_BLOCKS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1)))
-    left = baskets.select("order_id", F.col("product_id").alias("a"), block.alias("i"))
-    right = baskets.select("order_id", F.col("product_id").alias("b"), block.alias("j"))
-    return (
-        left.withColumn("j", every)
-        .join(right.withColumn("i", every), ["order_id", "i", "j"])
-        .where(F.col("a") < F.col("b"))
-        .select("order_id", "a", "b")
+def _blocked_pairs(baskets: DataFrame, hot_orders: HotKeys) -> DataFrame:
+    """Pairs within wide orders, two blocks of an order at a time."""
+    sized = with_group_values(baskets, "order_id", hot_orders, {"n": F.count("*")})
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = (
+        sized.select("order_id", "product_id", blocks.alias("blocks"))
+        .withColumn("block", F.pmod(F.xxhash64("product_id"), F.col("blocks").cast("bigint")).cast("int"))
+        .groupBy("order_id", "block", "blocks")
+        .agg(F.collect_list("product_id").alias("members"))
+    )
+    # Stored, since both sides below repeat it.
+    dealt = materialize(dealt, "blocks")
+    first = dealt.select(
+        "order_id",
+        F.col("block").alias("i"),
+        F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"),
+        F.col("members").alias("one"),
     )
+    second = dealt.select(
+        "order_id",
+        F.explode(F.sequence(F.lit(0), "block")).alias("i"),
+        F.col("block").alias("j"),
+        F.col("members").alias("two"),
+    )
+    each = first.join(second, ["order_id", "i", "j"]).select("i", "j", F.explode("one").alias("x"), "two")
+    each = each.select("i", "j", "x", F.explode("two").alias("y")).where("i < j or x < y")
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _pairs_with_wide(
-    narrow: DataFrame, wide: DataFrame, n_wide: int, at_least: int, top_k: int | None
+    narrow: DataFrame, wide: DataFrame, n_wide: int, hot_orders: HotKeys, at_least: int, top_k: int | None
 ) -> DataFrame:
     """``a, b, together`` over all orders for every pair that can be in the result,
     from the pair counts of the narrow orders and the baskets of the wide ones."""
@@ -107,11 +117,9 @@ def _pairs_with_wide(
             at_least = max(at_least, best["kth"])
 
     candidates = narrow.where(F.col("together") >= at_least - n_wide)
-    probed = (
-        candidates.select("a", "b")
-        .join(wide.withColumnRenamed("product_id", "a"), "a")
-        .join(wide.withColumnRenamed("product_id", "b"), ["order_id", "b"])
-    )
+    probed = grid_join(
+        candidates.select("a", "b"), wide.withColumnRenamed("product_id", "a"), "a", ["b"], ["order_id"]
+    ).join(wide.withColumnRenamed("product_id", "b"), ["order_id", "b"])
     counts = (
         candidates.join(
             _count_pairs(probed).withColumnRenamed("together", "in_wide"),
@@ -126,68 +134,76 @@ def _pairs_with_wide(
     )
     if n_wide < at_least:
         return counts
-    recurring = (
-        wide.groupBy("product_id").count().where(F.col("count") >= at_least).drop("count")
+    recurring = wide.groupBy("product_id").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    recurring = materialize(recurring, "recurring")
+    paired = salted_join(
+        wide, recurring.select("product_id"), "product_id", exact_hot(recurring, "product_id", "n"), ["order_id"]
     )
-    only_wide = _count_pairs(
-        _blocked_pairs(wide.join(recurring, "product_id", "left_semi"))
-    ).join(narrow.select("a", "b"), ["a", "b"], "left_anti")
+    only_wide = _count_pairs(_blocked_pairs(paired, hot_orders)).join(narrow.select("a", "b"), ["a", "b"], "left_anti")
     return counts.unionByName(only_wide)
 
 
-def _affinity(
-    source: BasketInput, min_pair_orders: int, top_k: int | None, max_width: int
-):
-    """Pair counts that qualify and the order count of every product."""
+def _named(kept: DataFrame, products: DataFrame) -> tuple[DataFrame, int]:
+    """Every product sold with its order count and name (``known`` is false if it has
+    none), and how many unknown ones there are."""
+    singles = kept.groupBy("product_id").agg(F.count("*").alias("orders"))
+    known = products.withColumn("known", F.lit(True))
+    named = singles.join(known, "product_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    named = materialize(named, "products-sold")
+    return named, named.where("not known").count()
+
+
+def _affinity(source: BasketInput, min_pair_orders: int, top_k: int | None, max_width: int):
+    """Pair counts that qualify, the products sold, and the number of orders that count."""
     at_least = max(1, min_pair_orders)
-    widths = source.lines.groupBy("order_id").agg(F.count("*").alias("width"))
-    wide_keys = widths.where(F.col("width") > max_width).select("order_id")
-    n_wide = wide_keys.count()
-
-    # a hot order is a wide one
-    hot = source.hot_orders() if n_wide else HotKeys()
-    lines = salted_join(
-        source.lines, source.keys, "order_id", hot, ["product_id"], how="left_semi"
+    items = source.lines if source.keys is None else materialize(source.lines.distinct(), "items")
+    widths = items.groupBy("order_id").agg(F.count("*").alias("width"))
+    if source.keys is not None:
+        widths = widths.join(source.keys, "order_id", "left_semi")
+    orders = materialize(widths, "widths")
+    total = (orders if source.orders is None else source.orders).agg(F.count("*")).scalar()
+    size = orders.agg(F.count_if(F.col("width") > max_width), F.max("width")).first()
+    n_wide, widest = size[0], size[1] or 0
+    hot = exact_hot(orders, "order_id", "width") if widest > skew.ROWS_PER_TASK else HotKeys()
+    kept = salted_join(items, orders, "order_id", hot, ["product_id"])
+    named, unknown = _named(kept, source.products)
+    if unknown:
+        # An unknown product is in no pair, so it must not take a place among the first top_k.
+        lost = named.where("not known").select("product_id", F.lit(True).alias("lost"))
+        most = named.agg(F.max("orders")).first()[0]
+        parts = max(2, ceil(most / skew.ROWS_PER_TASK))
+        kept = attach(kept, lost, "product_id", unknown, parts).where("lost is null").drop("lost")
+
+    # A narrow order has at most max_width products in its set.
+    sets = kept.where(F.col("width") <= max_width).groupBy("order_id").agg(
+        F.sort_array(F.collect_list("product_id")).alias("members")
     )
-    # A product that the product table lacks is in no pair, so it must not take a place
-    # among the first top_k.
-    lines = lines.join(
-        source.products.select("product_id"), "product_id", "left_semi"
-    ).select("order_id", "product_id")
-    if not n_wide:
-        sets = _order_sets(lines)
-        pairs, members = _count_pairs(_pairs_of(sets)), _members(sets)
-    else:
-        flags = materialize(wide_keys.withColumn("is_wide", F.lit(True)), "wide-orders")
-        flagged = materialize(
-            salted_join(
-                lines.distinct(), flags, "order_id", hot, ["product_id"], how="left"
-            ),
-            "baskets",
-        )
-        wide = flagged.where("is_wide").select("order_id", "product_id")
-        sets = _order_sets(flagged.where(F.col("is_wide").isNull()))
-        narrow = materialize(_count_pairs(_pairs_of(sets)), "narrow-pairs")
-        pairs = _pairs_with_wide(narrow, wide, n_wide, at_least, top_k)
-        members = flagged.select("product_id")
+    pairs = _count_pairs(_pairs_of(sets))
+    if n_wide:
+        wide = materialize(kept.where(F.col("width") > max_width).select("order_id", "product_id"), "wide")
+        pairs = _pairs_with_wide(materialize(pairs, "narrow-pairs"), wide, n_wide, hot, at_least, top_k)
 
     pairs = pairs.where(F.col("together") >= at_least)
     if top_k:
-        pairs = pairs.orderBy(F.desc("together"), "a", "b").limit(top_k)
-    singles = members.groupBy("product_id").agg(F.count("*").alias("orders"))
-    return pairs, singles
-
-
-def _with_side(
-    pairs: DataFrame, side: DataFrame, key: str, top_k: int | None, source: BasketInput
-):
-    """Join a per-product table to one end of the pairs. With a limit the pairs are
-    at most ``top_k`` rows, the only size that is broadcast here by name; without one
-    a hot product may be in a large part of them."""
-    side = side.withColumnRenamed("product_id", key)
+        return pairs.orderBy(F.desc("together"), "a", "b").limit(top_k), named, total
+    return materialize(pairs, "pairs"), named, total
+
+
+def _with_product(pairs: DataFrame, end: str, named: DataFrame, top_k: int | None) -> DataFrame:
+    """Attach the product of one end of the pairs. With a limit the pairs are at most
+    ``top_k`` rows, and so broadcast; without one a product may be in a large part of them."""
+    side = named.where("known").select(
+        F.col("product_id").alias(end),
+        F.col("orders").alias(f"orders_{end}"),
+        F.col("product_name").alias(f"name_{end}"),
+        F.col("category").alias(f"category_{end}"),
+    )
     if top_k:
-        return side.join(F.broadcast(pairs), key)
-    return salted_join(pairs, side, key, source.hot_products(), ["a", "b"])
+        return side.join(F.broadcast(pairs), end)
+    hot = HotKeys()
+    if pairs.count() > skew.ROWS_PER_TASK:
+        hot = exact_hot(pairs.groupBy(end).agg(F.count("*").alias("n")), end, "n")
+    return salted_join(pairs, side, end, hot, ["a", "b"])
 
 
 def market_basket_pairs(
@@ -198,22 +214,10 @@ def market_basket_pairs(
     source: BasketInput | None = None,
 ) -> DataFrame:
     source = source or product_baskets(t)
-    pairs, singles = _affinity(source, min_pair_orders, top_k, max_width)
+    pairs, named, total = _affinity(source, min_pair_orders, top_k, max_width)
     for end in ("a", "b"):
-        pairs = _with_side(
-            pairs,
-            singles.withColumnRenamed("orders", f"orders_{end}"),
-            end,
-            top_k,
-            source,
-        )
-        names = source.products.select(
-            "product_id",
-            F.col("product_name").alias(f"name_{end}"),
-            F.col("category").alias(f"category_{end}"),
-        )
-        pairs = _with_side(pairs, names, end, top_k, source)
-    total = source.orders.agg(F.count("*")).scalar()
+        stored = pairs if top_k or end == "a" else materialize(pairs, "named-pairs")
+        pairs = _with_product(stored, end, named, top_k)
     together = F.col("together")
     return pairs.select(
         F.col("a").alias("product_a_id"),
@@ -238,20 +242,14 @@ def top_pairs_dashboard(
     source: BasketInput | None = None,
 ) -> DataFrame:
     source = source or product_baskets(t)
-    pairs, _ = _affinity(source, 1, top_k, max_width)
-    for end, label in (("a", "p1"), ("b", "p2")):
-        names = source.products.select(
-            "product_id",
-            F.col("product_name").alias(f"{label}_name"),
-            F.col("category").alias(f"{label}_cat"),
-        )
-        pairs = _with_side(pairs, names, end, top_k, source)
-    total = source.orders.agg(F.count("*")).scalar()
+    pairs, named, total = _affinity(source, 1, top_k, max_width)
+    for end in ("a", "b"):
+        pairs = _with_product(pairs, end, named, top_k)
     return pairs.orderBy(F.desc("together"), "a", "b").select(
-        "p1_name",
-        "p1_cat",
-        "p2_name",
-        "p2_cat",
+        F.col("name_a").alias("p1_name"),
+        F.col("category_a").alias("p1_cat"),
+        F.col("name_b").alias("p2_name"),
+        F.col("category_b").alias("p2_cat"),
         F.col("together").alias("co_orders"),
         pct(F.col("together"), total, 2).alias("support_pct"),
     )

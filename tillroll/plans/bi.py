@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from tillroll.functions.dates import month_label, month_number
 from tillroll.functions.exact import safe_divide
@@ -200,16 +200,23 @@ def bi_repeat_rate(t: RetailTables) -> DataFrame:
 
 
 def lod_customer_fields(t: RetailTables) -> DataFrame:
-    """Customer-level fields on each order, recency up to the latest order of all."""
-    latest = t.orders.select(F.max("order_date_only")).scalar()
+    """Customer-level fields on each order, recency up to the latest order of all.
+
+    The latest date is known only when all orders have been seen. It is accumulated while
+    the fields are written, so the orders are derived once.
+    """
     month = F.trunc("order_date_only", "month")
-    return _with_customer_values(
+    fields = _with_customer_values(
         t,
         cohort_month=F.min(month),
         customer_ltv=F.sum("total_amount"),
         order_frequency=F.count("*"),
         last_order_date=F.max("order_date_only"),
-    ).select(
+    )
+    seen = Observation("lod")
+    stored = materialize(fields.observe(seen, F.max("last_order_date").alias("latest")), "lod")
+    latest = F.lit(seen.get["latest"]).cast("date")
+    return stored.select(
         "order_id",
         "customer_id",
         "order_date_only",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillroll.functions.exact import decimals_to_double
-from tillroll.plans import basket, bi, cohort, export, lifecycle, quality, rfm, sales, stats
+from tillroll.plans import active, basket, bi, cohort, export, lifecycle, quality, rfm, sales, stats
 from tillroll.sources.calendar import calendar
 from tillroll.sources.tables import RetailTables
 from tillroll.sources.tpch import TpchTables, load_tpch_tables
@@ -21,13 +21,12 @@ def _brand_baskets(t: TpchTables) -> basket.BasketInput:
     return basket.BasketInput(
         t.brand_lines().select("order_id", brand.alias("product_id")),
         t.completed_keys(),
-        t.completed(),
+        None,
         t.brands().select(
             brand.alias("product_id"),
             brand.alias("product_name"),
             F.lit("Brand").alias("category"),
         ),
-        lambda: t.hot_orders,
     )
 
 
@@ -76,8 +75,10 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "h2_channel_contingency": stats.h2_channel_contingency,
     "h2_chi_square": stats.h2_chi_square,
     "h3_first_basket_ltv": stats.h3_first_basket_ltv,
+    "h3_by_customer_group": stats.h3_by_customer_group,
     "hypothesis_p_values": stats.hypothesis_p_values,
-    "test_results_table": stats.test_results_table,
+    "hypothesis_log10_p": stats.hypothesis_log10_p,
+    "test_results_table": lambda t: stats.test_results_table(t, digits=8),
     "analytics_master": bi.analytics_master,
     "order_rollup": sales.order_rollup,
     "order_rollup_by_rate": _rated_orders,
@@ -93,7 +94,9 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "lod_customer_fields": bi.lod_customer_fields,
     "rfm_threshold_segments": rfm.threshold_segments,
     "dashboard_payload": export.dashboard_payload,
+    "dashboard_cells": export.dashboard_cells,
     "dashboard_sections": export.dashboard_sections,
+    "active_customers_rollup": active.active_customers_rollup,
     "conditional_survival": lifecycle.conditional_survival,
     "repurchase_median": lifecycle.repurchase_median,
     "avg_month1_retention": cohort.avg_month1_retention,

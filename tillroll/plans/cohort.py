@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tillroll.functions.dates import month_label, month_number
+from tillroll.functions.dates import month_label
 from tillroll.functions.exact import mean, pct
 from tillroll.sources.schemas import COMPLETED
 from tillroll.sources.tables import RetailTables
@@ -13,23 +13,13 @@ from tillroll.sources.tables import RetailTables
 def _cohort_activity(t: RetailTables, status: str) -> DataFrame:
     """Active customers per (cohort month, months since).
 
-    A customer's orders shrink to the set of its active months, map-side and before
-    the only shuffle of customers. The set is bounded by the calendar months covered,
-    however many orders there are; its minimum is the cohort, so orders need not be
-    joined to their own first purchase.
+    A customer's orders shrink to a bit mask of its active months: hash aggregates on both
+    sides of the only shuffle of customers. The least month is the cohort, so orders need
+    not be joined to their own first purchase.
     """
-    months = (
-        t.orders_with(status)
-        .groupBy("customer_id")
-        .agg(F.collect_set(month_number(F.col("order_date_only"))).alias("months"))
-    )
-    return (
-        months.select(
-            F.array_min("months").alias("cohort_no"), F.explode("months").alias("month_no")
-        )
-        .groupBy("cohort_no", (F.col("month_no") - F.col("cohort_no")).alias("offset"))
-        .agg(F.count("*").alias("active"))
-    )
+    offset = (F.col("month_no") - F.col("cohort_no")).alias("offset")
+    months = t.month_mask.spread(t.customer_months(status))
+    return months.groupBy("cohort_no", offset).agg(F.count("*").alias("active"))
 
 
 def _with_size(activity: DataFrame) -> DataFrame:

@@ -2,49 +2,70 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, functions as F
 
+from tillroll.functions.dates import month_number
 from tillroll.operators.scratch import materialize, scratch_path
 from tillroll.plans import basket, bi, cohort, lifecycle, rfm, sales, stats
 from tillroll.sources import files, sinks
-from tillroll.sources.schemas import PRODUCTS
+from tillroll.sources.schemas import COMPLETED, PRODUCTS
+from tillroll.sources.stored import StoredOrders
 from tillroll.sources.tables import RetailTables
 
 
-class _CompletedOnce(RetailTables):
-    """The same tables with the completed orders written once and shared."""
+class _Shared(StoredOrders):
+    """The same tables with the grains that the sections share, each stored once.
+
+    The lines are read twice: summed up to completed orders, and to products of completed
+    orders. The stored orders feed two more grains, from one scan each: months with the
+    total beside them (``GROUPING SETS``), and customers with their months as a mask.
+    """
 
     def __init__(self, t: RetailTables):
-        self._t = t
-        self._completed = materialize(
-            t.completed().select(
-                "order_id",
-                "customer_id",
-                "order_date_only",
-                "order_status",
-                "total_amount",
-                "discount_amount",
-                "gross_profit",
-            ),
-            "completed",
-        )
+        super().__init__(t, COMPLETED)
+
+    @cached_property
+    def _periods(self) -> DataFrame:
+        month = month_number(F.col("order_date_only")).alias("month_no")
+        grouped = self.orders.select("*", month).groupingSets([["month_no"], []], "month_no")
+        sums = grouped.agg(F.grouping_id().alias("level_no"), *self._order_sums())
+        return materialize(sums, "periods")
+
+    def month_totals(self) -> DataFrame:
+        return self._periods.where("level_no = 0").drop("level_no")
+
+    def totals(self) -> DataFrame:
+        """No orders make no total row, which then is one of zeros and nulls."""
+        total = F.col("level_no") == 1
+        of = lambda c: F.max(F.when(total, F.col(c)))
+        counts = [F.coalesce(of(c), F.lit(0)).alias(c) for c in ("total_orders", "active_customers")]
+        sums = ("gross_revenue", "total_discounts", "total_gross_profit")
+        return self._periods.agg(*counts, *[of(c).alias(c) for c in sums])
+
+    @cached_property
+    def _customers(self) -> DataFrame:
+        month = month_number(F.col("order_date_only")).alias("month_no")
+        per_customer = self.orders.select("*", month).groupBy("customer_id")
+        masks = self.month_mask.aggregates(F.col("month_no"))
+        return materialize(per_customer.agg(*self._customer_sums(), *masks), "customers")
 
-    def completed(self) -> DataFrame:
-        return self._completed
+    def customer_totals(self) -> DataFrame:
+        return self._customers.drop("cohort_no", "until", *self.month_mask.columns)
 
-    def completed_keys(self) -> DataFrame:
-        return self._t.completed_keys()
+    def customer_months(self, status: str) -> DataFrame:
+        return self._customers if status == COMPLETED else super().customer_months(status)
 
-    def orders_with(self, status: str) -> DataFrame:
-        return self._completed.where(F.col("order_status") == status)
+    @cached_property
+    def _sold(self) -> DataFrame:
+        return materialize(self._t.sold_products(), "sold")
 
-    def __getattr__(self, name):
-        return getattr(self._t, name)
+    def sold_products(self) -> DataFrame:
+        return self._sold
 
-    customer_attributes = property(lambda self: self._t.customer_attributes)
-    hot_orders = property(lambda self: self._t.hot_orders)
-    hot_products = property(lambda self: self._t.hot_products)
-    hot_customers = property(lambda self: self._t.hot_customers)
+    def stored_sold_products(self) -> DataFrame | None:
+        return self._sold
 
 
 # The section names of the document. A record section has one row; a
@@ -84,7 +105,7 @@ def _records(df: DataFrame, order: list[str]):
 
 def dashboard_payload(t: RetailTables) -> DataFrame:
     """One row, one column: the document of all sections as indented JSON."""
-    t = _CompletedOnce(t)
+    t = _Shared(t)
     sections = [_record(fn(t)).alias(name) for name, fn in _RECORDS.items()]
     sections += [
         _records(fn(t), order).alias(name) for name, (fn, order) in _LISTS.items()
@@ -136,6 +157,34 @@ def dashboard_sections(t: RetailTables) -> DataFrame:
     return text.select(document.alias("d")).select(F.inline(sections))
 
 
+# Kinds of JSON values by the start of their type.
+_KINDS = {"STRING": "text", "VOID": "missing"}
+
+
+def dashboard_cells(t: RetailTables) -> DataFrame:
+    """The written document read back as one row per value: section, row of the section
+    (from 1), field, kind of value, and the value as number or text."""
+    spark = t.products.sparkSession
+    path = scratch_path(spark, "dashboard")
+    write_dashboard(t, path)
+    text = spark.read.text(path, wholetext=True)
+    kind = "".join(f"WHEN '{start}' THEN '{name}' " for start, name in _KINDS.items())
+    # A record section is an array of one row.
+    return spark.sql(
+        f"""
+        SELECT s.key AS section, r.pos + 1 AS row_no, c.key AS field,
+               CASE schema_of_variant(c.value) {kind} ELSE 'number' END AS kind,
+               CASE WHEN schema_of_variant(c.value) <> 'STRING' THEN variant_get(c.value, '$', 'double') END AS number,
+               CASE WHEN schema_of_variant(c.value) = 'STRING' THEN variant_get(c.value, '$', 'string') END AS text
+        FROM (SELECT parse_json(value) AS document FROM {{read}}),
+             LATERAL variant_explode(document) AS s,
+             LATERAL variant_explode(CASE WHEN schema_of_variant(s.value) LIKE 'ARRAY%' THEN s.value
+                                          ELSE parse_json(concat('[', to_json(s.value), ']')) END) AS r,
+             LATERAL variant_explode(r.value) AS c""",
+        read=text,
+    )
+
+
 def write_dashboard(t: RetailTables, path: str) -> None:
     sinks.write_document(dashboard_payload(t), path)
 

@@ -210,9 +210,8 @@ def repurchase_median(t: RetailTables, transition_to: int = 2) -> DataFrame:
 
 
 def repeat_customer_rate(t: RetailTables) -> DataFrame:
-    counts = t.completed().groupBy("customer_id").agg(F.count("*").alias("n"))
-    repeat = F.count_if(F.col("n") > 1)
-    return counts.agg(
+    repeat = F.count_if(F.col("total_orders") > 1)
+    return t.customer_totals().agg(
         repeat.alias("repeat_customers"),
         F.count("*").alias("total_customers"),
         pct(repeat, F.count("*"), 1).alias("repeat_rate_pct"),

@@ -66,17 +66,14 @@ def rfm_scores(
     ``snapshot`` is the day recency is counted to, by default the last completed
     order. Ties in a score are broken by customer id.
     """
-    raw = (
-        t.completed()
-        .groupBy("customer_id")
-        .agg(
-            F.max("order_date_only").alias("last_order_date"),
-            F.count("*").alias("frequency_orders"),
-            F.sum("total_amount").alias("monetary_spend"),
-            F.sum("gross_profit").alias("total_profit"),
-        )
-        .join(t.customer_attributes.drop("email"), "customer_id")
+    raw = t.customer_totals().select(
+        "customer_id",
+        "last_order_date",
+        F.col("total_orders").alias("frequency_orders"),
+        F.col("lifetime_spend").alias("monetary_spend"),
+        F.col("lifetime_gross_profit").alias("total_profit"),
     )
+    raw = raw.join(t.customer_attributes.drop("email"), "customer_id")
     # Customer grain, read several times below; facts are scanned once.
     raw = materialize(raw, "rfm")
     size = raw.agg(F.count("*").alias("n"), F.max("last_order_date").alias("last")).first()

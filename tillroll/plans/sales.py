@@ -4,26 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.functions.dates import month_label, month_number
+from tillroll.functions.dates import month_label
 from tillroll.functions.exact import mean, pct
 from tillroll.operators.skew import salted_join
 from tillroll.sources.tables import RetailTables
 
 
-def _customer_totals(t: RetailTables) -> DataFrame:
-    """Completed orders per customer; combined map-side, so no customer is hot."""
-    return t.completed().groupBy("customer_id").agg(
-        F.min("order_date_only").alias("first_order_date"),
-        F.max("order_date_only").alias("last_order_date"),
-        F.count("*").alias("total_orders"),
-        F.sum("total_amount").alias("lifetime_spend"),
-        F.sum("gross_profit").alias("lifetime_gross_profit"),
-    )
-
-
 def customer_order_summary(t: RetailTables) -> DataFrame:
     return (
-        t.customers.join(_customer_totals(t), "customer_id")
+        t.customers.join(t.customer_totals(), "customer_id")
         .select(
             "customer_id",
             "region",
@@ -40,20 +29,9 @@ def customer_order_summary(t: RetailTables) -> DataFrame:
 
 
 def monthly_sales_summary(t: RetailTables) -> DataFrame:
-    totals = (
-        t.completed()
-        .groupBy(month_number(F.col("order_date_only")).alias("month_no"))
-        .agg(
-            F.count("*").alias("total_orders"),
-            F.countDistinct("customer_id").alias("active_customers"),
-            F.sum("total_amount").alias("gross_revenue"),
-            F.sum("discount_amount").alias("total_discounts"),
-            F.sum("gross_profit").alias("total_gross_profit"),
-        )
-    )
     revenue, profit = F.col("gross_revenue"), F.col("total_gross_profit")
     return (
-        totals.select(
+        t.month_totals().select(
             month_label(F.col("month_no")).alias("sales_month"),
             "total_orders",
             "active_customers",
@@ -86,46 +64,22 @@ def create_report_views(t: RetailTables) -> None:
 
 
 def executive_kpis(t: RetailTables) -> DataFrame:
-    totals = t.completed().agg(
-        F.sum("total_amount").alias("total_gmv"),
-        F.count("*").alias("total_orders"),
-        F.countDistinct("customer_id").alias("total_customers"),
-        F.sum("gross_profit").alias("total_gross_profit"),
-    )
-    gmv, profit = F.col("total_gmv"), F.col("total_gross_profit")
-    return totals.select(
-        "total_gmv",
-        "total_orders",
-        "total_customers",
-        mean(gmv, F.col("total_orders")).alias("avg_order_value"),
-        "total_gross_profit",
+    gmv, profit, orders = (F.col(c) for c in ("gross_revenue", "total_gross_profit", "total_orders"))
+    return t.totals().select(
+        gmv.alias("total_gmv"),
+        orders,
+        F.col("active_customers").alias("total_customers"),
+        mean(gmv, orders).alias("avg_order_value"),
+        profit,
         pct(profit, gmv, 1).alias("gross_margin_pct"),
     )
 
 
 def category_performance(t: RetailTables) -> DataFrame:
     """Line-level sales per category, before the order discount."""
-    items = t.order_items.select(
-        "order_id", "product_id", "quantity", "line_subtotal", "line_cost"
-    )
-    sold = salted_join(
-        items,
-        t.completed_keys(),
-        "order_id",
-        t.hot_orders,
-        ["product_id"],
-        how="left_semi",
-    )
-    # one row per order and product: less to move to the products, and the
-    # distinct orders stay countable
-    per_product = sold.groupBy("order_id", "product_id").agg(
-        F.sum("line_subtotal").alias("sales"),
-        F.sum(F.col("line_subtotal") - F.col("line_cost")).alias("profit"),
-        F.sum("quantity").alias("units"),
-    )
     return (
         salted_join(
-            per_product,
+            t.sold_products(),
             t.products.select("product_id", "category"),
             "product_id",
             t.hot_products,
@@ -146,7 +100,7 @@ def channel_distribution(t: RetailTables) -> DataFrame:
     """Orders are counted per customer before customers meet their channel."""
     revenue, orders = F.col("revenue"), F.col("orders")
     return (
-        _customer_totals(t)
+        t.customer_totals()
         .join(
             t.customer_attributes.select("customer_id", "acquisition_channel"),
             "customer_id",

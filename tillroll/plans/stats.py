@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.functions.exact import mean, pct
 from tillroll.functions.tails import (
     chi2_sf_udf,
+    log10_chi2_udf,
+    log10_normal_udf,
+    log10_student_udf,
+    mann_whitney_exact_udf,
     normal_sf_udf,
     student_t_two_sided_udf,
 )
 from tillroll.operators.ranks import power_sums, rank_sums
 from tillroll.sources.schemas import COMPLETED
+from tillroll.sources.stored import StoredOrders
 from tillroll.sources.tables import ORDER_OF_SEQUENCE, RetailTables
 
 ALPHA = 0.05
+# Without ties, a sample of up to EXACT_SIZE gets its p from all orders of the two samples,
+# as long as these have up to EXACT_PRODUCT values of U; else the normal approximation.
+EXACT_SIZE, EXACT_PRODUCT = 8, 200_000
 
 
 def _d(name: str) -> Column:
@@ -28,10 +38,27 @@ _div = F.try_divide
 # -- generic tests: each adds its result to a one-row frame of sums ---------------------
 
 
+def _squared_deviations(i: int) -> Column:
+    """Sum of squared deviations of a sample from its mean.
+
+    The squares are first shifted to the mean in whole cents, on exact decimals: the sum
+    may be tiny beside q. What the shift leaves is subtracted in doubles.
+    """
+    n, s, q = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
+    centre = _div(s, n).try_cast("decimal(18,2)")
+    total = s.try_cast("decimal(20,2)")
+    twice = F.try_multiply(centre * F.lit(2).cast("decimal(1,0)"), total)
+    shifted = q - twice + F.try_multiply(centre * centre, n.cast("decimal(11,0)"))
+    left = (total - centre * n.cast("decimal(11,0)")).cast("double")
+    exact = shifted.cast("double") - _div(left * left, n.cast("double"))
+    plain = _d(f"q{i}") - _div(_d(f"s{i}") * _d(f"s{i}"), _d(f"n{i}"))
+    return F.coalesce(exact, plain)
+
+
 def _add_welch(sums: DataFrame, with_p: bool) -> DataFrame:
     for i in (1, 2):
         n, total = _d(f"n{i}"), _d(f"s{i}")
-        variance = _div(_d(f"q{i}") - _div(total * total, n), n - 1)
+        variance = _div(_squared_deviations(i), n - 1)
         sums = sums.withColumns({f"mean{i}": _div(total, n), f"_e{i}": _div(variance, n)})
     e1, e2 = F.col("_e1"), F.col("_e2")
     spread = _div(e1 * e1, _d("n1") - 1) + _div(e2 * e2, _d("n2") - 1)
@@ -42,11 +69,16 @@ def _add_welch(sums: DataFrame, with_p: bool) -> DataFrame:
         }
     ).drop("_e1", "_e2")
     if with_p:
-        sums = sums.withColumn("t_p_value", student_t_two_sided_udf("t_statistic", "df"))
+        sums = sums.withColumns(
+            {
+                "t_p_value": student_t_two_sided_udf("t_statistic", "df"),
+                "t_log10_p": log10_student_udf("t_statistic", "df"),
+            }
+        )
     return sums
 
 
-def _add_mann_whitney(sums: DataFrame, alternative: str, with_p: bool) -> DataFrame:
+def _add_mann_whitney(sums: DataFrame, alternative: str, with_p: bool, exact: bool = True) -> DataFrame:
     if alternative not in ("two-sided", "greater"):
         raise ValueError(f"alternative {alternative!r}")
     n1, n2, n = _d("n1"), _d("n2"), _d("n1") + _d("n2")
@@ -57,10 +89,16 @@ def _add_mann_whitney(sums: DataFrame, alternative: str, with_p: bool) -> DataFr
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - ties))
     sums = sums.withColumn("z", _div(u - n1 * n2 / 2 - 0.5, spread))
     if with_p:
-        tail = normal_sf_udf("z")
+        small = (F.least(n1, n2).between(1, EXACT_SIZE)) & (n1 * n2 <= EXACT_PRODUCT)
+        small = F.lit(exact) & small & (F.col("tie_term") == 0)
+        sums = sums.withColumn("exact", F.coalesce(small, F.lit(False)))
+        counted = mann_whitney_exact_udf(F.when(F.col("exact"), u), n1, n2)
+        tail = F.coalesce(counted, normal_sf_udf("z"))
+        log10 = F.coalesce(F.log10(counted), log10_normal_udf("z", F.lit(0.0)))
         if alternative == "two-sided":
             tail = F.least(tail * 2, F.lit(1.0))
-        sums = sums.withColumn("u_p_value", tail)
+            log10 = F.least(log10 + math.log10(2), F.lit(0.0))
+        sums = sums.withColumns({"u_p_value": tail, "u_log10_p": log10})
     return sums
 
 
@@ -78,14 +116,16 @@ def mann_whitney_u(
     in_first: Column,
     alternative: str = "two-sided",
     with_p: bool = True,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row: ``n1, n2, u1, z`` (and ``u_p_value``).
+    """One row, or one per ``by`` group: ``n1, n2, u1, z`` (and ``u_p_value``, ``exact``).
 
-    Normal approximation with tie and continuity correction. ``alternative`` is
-    'two-sided' or 'greater' (the first sample tends to be larger).
+    Small samples without ties get the exact p (see ``EXACT_SIZE``), others the normal
+    approximation with tie and continuity correction. ``alternative`` is 'two-sided' or
+    'greater' (the first sample tends to be larger).
     """
-    out = _add_mann_whitney(rank_sums(df, value, in_first), alternative, with_p)
-    return out.select("n1", "n2", "u1", "z", *(["u_p_value"] if with_p else []))
+    out = _add_mann_whitney(rank_sums(df, value, in_first, by=tuple(by)), alternative, with_p)
+    return out.select(*by, "n1", "n2", "u1", "z", *(["u_p_value", "exact"] if with_p else []))
 
 
 def chi_square(
@@ -127,7 +167,12 @@ def chi_square(
         *(extra or []),
     )
     if with_p:
-        out = out.withColumn("chi2_p_value", chi2_sf_udf("chi2", _d("dof")))
+        out = out.withColumns(
+            {
+                "chi2_p_value": chi2_sf_udf("chi2", _d("dof")),
+                "chi2_log10_p": log10_chi2_udf("chi2", _d("dof")),
+            }
+        )
     return out
 
 
@@ -138,8 +183,9 @@ def _discounted() -> Column:
     return F.coalesce(F.col("discount_amount") > 0, F.lit(False))
 
 
-def h1_discount_effect(t: RetailTables, with_p: bool = False) -> DataFrame:
-    """Order value and margin of discounted (1) against full-price (2) orders."""
+def h1_discount_effect(t: RetailTables, with_p: bool = False, exact: bool = True) -> DataFrame:
+    """Order value and margin of discounted (1) against full-price (2) orders. ``exact``:
+    whether a small sample may get its p from all orders of the samples."""
     disc = _discounted()
     profit = F.col("gross_profit")
     sums = rank_sums(
@@ -148,7 +194,7 @@ def h1_discount_effect(t: RetailTables, with_p: bool = False) -> DataFrame:
         disc,
         extra={"profit1": F.when(disc, profit), "profit2": F.when(~disc, profit)},
     )
-    tested = _add_mann_whitney(_add_welch(sums, with_p), "two-sided", with_p)
+    tested = _add_mann_whitney(_add_welch(sums, with_p), "two-sided", with_p, exact)
     mean1, mean2 = F.col("mean1"), F.col("mean2")
     return tested.select(
         F.col("n1").alias("discounted_orders"),
@@ -161,7 +207,7 @@ def h1_discount_effect(t: RetailTables, with_p: bool = False) -> DataFrame:
         F.round("t_statistic", 4).alias("t_statistic"),
         F.round("df", 4).alias("df"),
         F.col("u1").alias("u_statistic"),
-        *(["t_p_value", "u_p_value"] if with_p else []),
+        *(["t_p_value", "u_p_value", "t_log10_p", "u_log10_p"] if with_p else []),
     )
 
 
@@ -224,7 +270,7 @@ def h2_chi_square(t: RetailTables, with_p: bool = False) -> DataFrame:
         "best_rate_pct",
         "worst_channel",
         "worst_rate_pct",
-        *(["chi2_p_value"] if with_p else []),
+        *(["chi2_p_value", "chi2_log10_p"] if with_p else []),
     )
 
 
@@ -232,7 +278,7 @@ def h2_chi_square(t: RetailTables, with_p: bool = False) -> DataFrame:
 
 
 def _first_baskets(t: RetailTables) -> DataFrame:
-    """``is_multi, lifetime_spend`` of customers whose first order was completed.
+    """``customer_id, is_multi, lifetime_spend`` of customers whose first order was completed.
 
     The first order (the smallest by position) and the spend of a customer come from
     one map-side combined pass over the orders.
@@ -246,16 +292,16 @@ def _first_baskets(t: RetailTables) -> DataFrame:
     if t.has_sequence:
         # a stored sequence may begin later than 1
         per_customer = per_customer.where(F.col("first.order_sequence") == 1)
-    first = per_customer.select("first.*", "lifetime_spend").where(completed)
+    first = per_customer.select("customer_id", "first.*", "lifetime_spend").where(completed)
     if not t.order_line_count:
         first = first.join(t.line_counts(), "order_id")
-    return first.select((F.col("line_count") > 1).alias("is_multi"), "lifetime_spend")
+    return first.select("customer_id", (F.col("line_count") > 1).alias("is_multi"), "lifetime_spend")
 
 
-def h3_first_basket_ltv(t: RetailTables, with_p: bool = False) -> DataFrame:
+def h3_first_basket_ltv(t: RetailTables, with_p: bool = False, exact: bool = True) -> DataFrame:
     """Lifetime spend after a multi-item (1) against a single-item (2) first basket."""
     sums = rank_sums(_first_baskets(t), "lifetime_spend", F.col("is_multi"))
-    tested = _add_mann_whitney(sums, "greater", with_p)
+    tested = _add_mann_whitney(sums, "greater", with_p, exact)
     mean1, mean2 = _div(_d("s1"), _d("n1")), _div(_d("s2"), _d("n2"))
     lift = _div(mean1 - mean2, mean2) * 100
     return tested.select(
@@ -265,10 +311,27 @@ def h3_first_basket_ltv(t: RetailTables, with_p: bool = False) -> DataFrame:
         mean(F.col("s2"), F.col("n2")).alias("single_mean_ltv"),
         F.round(lift, 2).alias("ltv_lift_pct"),
         F.round("u1", 2).alias("u_statistic"),
-        *(["u_p_value", lift.alias("ltv_lift_unrounded")] if with_p else []),
+        *(["u_p_value", "u_log10_p", lift.alias("ltv_lift_unrounded")] if with_p else []),
     )
 
 
+def h3_by_customer_group(
+    t: RetailTables, by: tuple[str, ...] = ("region", "acquisition_channel"), dp: int = 9
+) -> DataFrame:
+    """The third test within each group of customers, exact where a group is small."""
+    customers = t.customer_attributes.select("customer_id", *by)
+    spend = _first_baskets(t).join(customers, "customer_id")
+    tested = mann_whitney_u(spend, "lifetime_spend", F.col("is_multi"), "greater", by=by)
+    return tested.select(
+        *by,
+        F.col("n1").alias("multi_customers"),
+        F.col("n2").alias("single_customers"),
+        F.col("u1").alias("u_statistic"),
+        "exact",
+        F.round("u_p_value", dp).alias("p_value"),
+    ).orderBy(*by)
+
+
 # -- summary -------------------------------------------------------------------------
 
 
@@ -289,8 +352,18 @@ def _result(df, hypothesis, test_type, statistic, p, takeaway, alpha):
     )
 
 
-def test_results_table(t: RetailTables, alpha: float = ALPHA) -> DataFrame:
-    """The three tests as one report."""
+def significant(value: Column, digits: int) -> Column:
+    """A double rounded to so many significant digits."""
+    text = F.format_string(f"%.{digits - 1}e", value)
+    return F.when(value.isNotNull(), text.try_cast("double"))
+
+
+def test_results_table(
+    t: RetailTables, alpha: float = ALPHA, digits: int | None = None
+) -> DataFrame:
+    """The three tests as one report, from orders that are derived once. ``digits`` rounds
+    the p values to so many significant digits."""
+    t = StoredOrders(t)
     # The texts of the report.
     h1 = _result(
         h1_discount_effect(t, with_p=True),
@@ -340,34 +413,45 @@ def test_results_table(t: RetailTables, alpha: float = ALPHA) -> DataFrame:
         ),
         alpha,
     )
-    return h1.unionByName(h2).unionByName(h3)
+    report = h1.unionByName(h2).unionByName(h3)
+    if digits is None:
+        return report
+    return report.withColumn("p_value", significant(F.col("p_value"), digits))
+
+
+def hypothesis_log10_p(t: RetailTables, dp: int = 8) -> DataFrame:
+    """log10 of the four p-values by normal approximation, rounded: far tails keep their
+    digits."""
+    return _four_tests(t, "log10_p", dp)
 
 
 def hypothesis_p_values(t: RetailTables, dp: int = 6) -> DataFrame:
-    """The four p-values, rounded."""
-    h1 = h1_discount_effect(t, with_p=True).select("t_p_value", "u_p_value")
-    h2 = h2_chi_square(t, with_p=True).select("chi2_p_value")
-    h3 = h3_first_basket_ltv(t, with_p=True).select("u_p_value")
+    """The four p-values, by normal approximation where there is a choice, rounded."""
+    return _four_tests(t, "p_value", dp)
+
+
+def _four_tests(t: RetailTables, what: str, dp: int) -> DataFrame:
+    t = StoredOrders(t)
+    h1 = h1_discount_effect(t, with_p=True, exact=False)
+    h2 = h2_chi_square(t, with_p=True)
+    h3 = h3_first_basket_ltv(t, with_p=True, exact=False)
 
     def row(df, *tests):
         return df.select(
             F.inline(
                 F.array(
                     *[
-                        F.struct(
-                            F.lit(name).alias("test"),
-                            F.round(p, dp).alias("p_value"),
-                        )
-                        for name, p in tests
+                        F.struct(F.lit(test).alias("test"), F.round(f"{p}_{what}", dp).alias(what))
+                        for test, p in tests
                     ]
                 )
             )
         )
 
     return (
-        row(h1, ("H1 Welch t", "t_p_value"), ("H1 Mann-Whitney U", "u_p_value"))
-        .unionByName(row(h2, ("H2 chi-square", "chi2_p_value")))
-        .unionByName(row(h3, ("H3 Mann-Whitney U, greater", "u_p_value")))
+        row(h1, ("H1 Welch t", "t"), ("H1 Mann-Whitney U", "u"))
+        .unionByName(row(h2, ("H2 chi-square", "chi2")))
+        .unionByName(row(h3, ("H3 Mann-Whitney U, greater", "u")))
     )
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tillroll.functions.dates import MonthMask, month_number
 from tillroll.operators.scan import ordered_scan
-from tillroll.operators.skew import HotKeys, hot_keys
+from tillroll.operators.skew import HotKeys, hot_keys, salted_join
 from tillroll.sources.schemas import COMPLETED
 
 # The purchase ordinal follows the time of day; running values go by date, then id.
@@ -23,6 +24,9 @@ class RetailTables:
     purchase, then order id.
     """
 
+    #: Whether an order is the sum of its lines, so that there is none without lines.
+    orders_have_lines = False
+
     def __init__(
         self,
         customers: DataFrame,
@@ -81,6 +85,77 @@ class RetailTables:
     def hot_products(self) -> HotKeys:
         return self._hot_item_keys[1]
 
+    # -- the calendar ----------------------------------------------------------
+
+    @cached_property
+    def month_mask(self) -> MonthMask:
+        """Room for the months that orders can have, from one narrow scan."""
+        return self._months_of(self.orders, "order_date_only")
+
+    @staticmethod
+    def _months_of(df: DataFrame, date: str) -> MonthMask:
+        month = month_number(F.col(date))
+        found = df.agg(F.min(month), F.max(month)).first()
+        return MonthMask(0, 0) if found[0] is None else MonthMask(*found)
+
+    # -- grains that several analyses share -------------------------------------
+
+    def customer_totals(self) -> DataFrame:
+        """Completed orders per customer; combined map-side, so no customer is hot."""
+        return self.completed().groupBy("customer_id").agg(*self._customer_sums())
+
+    @staticmethod
+    def _customer_sums() -> list[Column]:
+        return [
+            F.min("order_date_only").alias("first_order_date"),
+            F.max("order_date_only").alias("last_order_date"),
+            F.count("*").alias("total_orders"),
+            F.sum("total_amount").alias("lifetime_spend"),
+            F.sum("gross_profit").alias("lifetime_gross_profit"),
+        ]
+
+    def customer_months(self, status: str) -> DataFrame:
+        """The months in which each customer has orders of a status, as a mask."""
+        month = month_number(F.col("order_date_only")).alias("month_no")
+        orders = self.orders_with(status).select("customer_id", month)
+        return orders.groupBy("customer_id").agg(*self.month_mask.aggregates(F.col("month_no")))
+
+    @staticmethod
+    def _order_sums() -> list[Column]:
+        return [
+            F.count("*").alias("total_orders"),
+            F.countDistinct("customer_id").alias("active_customers"),
+            F.sum("total_amount").alias("gross_revenue"),
+            F.sum("discount_amount").alias("total_discounts"),
+            F.sum("gross_profit").alias("total_gross_profit"),
+        ]
+
+    def totals(self) -> DataFrame:
+        """One row over all completed orders."""
+        return self.completed().agg(*self._order_sums())
+
+    def month_totals(self) -> DataFrame:
+        """The same per ``month_no``."""
+        month = month_number(F.col("order_date_only")).alias("month_no")
+        return self.completed().groupBy(month).agg(*self._order_sums())
+
+    def sold_products(self) -> DataFrame:
+        """One row per completed order and product: ``sales, profit, units``. Less to move
+        to the products than lines, and the distinct orders stay countable."""
+        items = self.order_items.select("order_id", "product_id", "quantity", "line_subtotal", "line_cost")
+        sold = salted_join(
+            items, self.completed_keys(), "order_id", self.hot_orders, ["product_id"], how="left_semi"
+        )
+        return sold.groupBy("order_id", "product_id").agg(
+            F.sum("line_subtotal").alias("sales"),
+            F.sum(F.col("line_subtotal") - F.col("line_cost")).alias("profit"),
+            F.sum("quantity").alias("units"),
+        )
+
+    def stored_sold_products(self) -> DataFrame | None:
+        """``sold_products`` where they are stored already."""
+        return None
+
     # -- order sequence --------------------------------------------------------
 
     @property

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from tillroll.functions.dates import MonthMask
 from tillroll.functions.exact import pct
 from tillroll.operators.skew import HotKeys, hot_keys, salted_join
 from tillroll.sources.schemas import CANCELLED, COMPLETED, RETURNED
@@ -46,6 +47,8 @@ def _per_unit(cents: str) -> str:
 
 
 class TpchTables(RetailTables):
+    orders_have_lines = True
+
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
         self._schemas: dict[str, StructType] = {}
@@ -210,6 +213,10 @@ class TpchTables(RetailTables):
     def hot_customers(self) -> HotKeys:
         return hot_keys(self._raw("orders"), "o_custkey")[0]
 
+    @cached_property
+    def month_mask(self) -> MonthMask:
+        return self._months_of(self._raw("orders"), "o_orderdate")
+
     @cached_property
     def _hot_item_keys(self) -> list[HotKeys]:
         return hot_keys(self._raw("lineitem"), "l_orderkey", "l_partkey")
