@@ -164,3 +164,12 @@ def test_active_customers_at_every_level(spark, number):
             of = r.asDict()
             expected[(level, of.get("region"), of.get("y"), of.get("m"))] = (r.c, r.n)
     assert got == expected
+
+
+def test_month1_retention_of_cohorts_nobody_came_back_in(spark):
+    first = 2024 * 12
+    months = [("C0", first), ("C1", first), ("C0", first + 1), ("C2", first + 3), ("C3", first + 6)]
+    t = shop(spark, _orders_of(months), channels={f"C{c}": "Email" for c in range(4)})
+    # of the cohorts of month 0, 3 and 6 the first shows half, the second none, the last is too young
+    assert rows(cohort.avg_month1_retention_all(t)) == [(2, 25.0, 33.33)]
+    assert rows(cohort.avg_month1_retention(t)) == [(1, 50.0, 50.0)]

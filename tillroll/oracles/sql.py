@@ -1007,6 +1007,39 @@ d AS (SELECT *, CAST((SELECT MAX(day) FROM ord) - last_day AS INTEGER) AS days F
             FROM d""",
         ),
         "dq_keys": _dq(),
+        "bi_yoy_growth_by_region": _q(
+            "m AS (SELECT region, mon, SUM(total_c) AS c FROM ord JOIN cust USING (customer_id) GROUP BY ALL)",
+            f"""SELECT m.region, {_month("m.mon")} AS month, {_money("m.c")} AS total_sales,
+            {_money("y.c")} AS sales_prior_year,
+            COALESCE({_money("(m.c - y.c)")} / ({_money("y.c")}), 0.0) AS yoy_sales_growth
+            FROM m LEFT JOIN m y ON y.mon = m.mon - 12 AND y.region = m.region""",
+        ),
+        "bi_rolling_30d_by_status": _q(
+            """d AS (SELECT region, status, day, SUM(total_c) AS c
+                  FROM ord JOIN cust USING (customer_id) GROUP BY ALL),
+cal AS (SELECT region, status, CAST(UNNEST(GENERATE_SERIES((SELECT MIN(day) FROM d), (SELECT MAX(day) FROM d),
+               INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT region, status FROM d))""",
+            f"""SELECT cal.region, cal.status AS order_status, date,
+              {_money("COALESCE(MAX(d.c) FILTER (d.day = date), 0)")} AS total_sales,
+              {_money("COALESCE(SUM(d.c), 0)")} AS rolling_sales
+            FROM cal LEFT JOIN d ON d.region = cal.region AND d.status = cal.status
+              AND d.day BETWEEN date - 29 AND date GROUP BY ALL""",
+        ),
+        "bi_repeat_rate_by_slice": _q(
+            "c AS (SELECT acquisition_channel, status, customer_id, COUNT(*) AS n "
+            "FROM ord JOIN cust USING (customer_id) GROUP BY ALL)",
+            """SELECT acquisition_channel, status AS order_status, COUNT(*) FILTER (n > 1) AS repeat_customers,
+            COUNT(*) AS total_customers,
+            CAST(COUNT(*) FILTER (n > 1) AS DOUBLE) / COUNT(*) AS repeat_customer_rate FROM c GROUP BY ALL""",
+        ),
+        "avg_month1_retention_all": _q(
+            _COHORT,
+            f"""SELECT COUNT(*) AS cohorts, {_avg("SUM(hundredths)", "COUNT(*) * 100", 2)} AS avg_retention_pct,
+            {_pct("SUM(back)", "SUM(size)", 2)} AS pooled_retention_pct
+            FROM (SELECT *, CAST(ROUND({_pct("back", "size", 2)} * 100) AS BIGINT) AS hundredths
+                  FROM (SELECT cohort, size, COALESCE(SUM(active) FILTER (off = 1), 0) AS back FROM ret
+                        WHERE cohort < (SELECT MAX(mon) FROM done) GROUP BY ALL))""",
+        ),
         "active_customers_rollup": _q(
             "a AS (SELECT region, mon // 12 AS y, mon % 12 + 1 AS m, customer_id "
             "FROM done JOIN cust USING (customer_id))",

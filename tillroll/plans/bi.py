@@ -68,32 +68,38 @@ def analytics_master(t: RetailTables) -> DataFrame:
     )
 
 
-def _sliced_orders(t: RetailTables, by: list[str]) -> DataFrame:
-    """Orders with the columns to slice by, whether of the order or of its customer.
+def _sliced_orders(
+    t: RetailTables, by: list[str], sums: dict[str, Column], *keys: Column
+) -> DataFrame:
+    """``sums`` of the orders per ``by`` and ``keys``, whether ``by`` names columns of the
+    order or of its customer.
 
     Slices by customer columns sum up each customer's orders before they meet the
     customer, so one row per customer and order slice is joined.
     """
     of_order = [c for c in by if c in t.orders.columns]
     of_customer = [c for c in by if c not in of_order]
-    keys = [*of_order, *(["customer_id"] if of_customer else [])]
-    sums = t.orders.groupBy(*keys).agg(
-        F.sum("total_amount").alias("total_sales"),
-        F.sum("gross_profit").alias("total_gross_profit"),
-        F.count_if(F.col("order_status") == COMPLETED).alias("total_completed_orders"),
-    )
-    if of_customer:
-        sums = sums.join(t.customer_attributes.select("customer_id", *of_customer), "customer_id")
-    return sums
+    named = [F.col(c) for c in of_order] + list(keys)
+    first = named + ([F.col("customer_id")] if of_customer else [])
+    rows = t.orders.groupBy(*first).agg(*[v.alias(n) for n, v in sums.items()])
+    if not of_customer:
+        return rows
+    rows = rows.join(t.customer_attributes.select("customer_id", *of_customer), "customer_id")
+    every = [c for c in rows.columns if c not in (*sums, "customer_id")]
+    return rows.groupBy(*every).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 def bi_core_measures(t: RetailTables, by: list[str] | None = None) -> DataFrame:
     """The measures over all orders, or per slice of order or customer columns."""
     by = by or []
-    totals = _sliced_orders(t, by).groupBy(*by).agg(
-        F.sum("total_sales").alias("total_sales"),
-        F.sum("total_gross_profit").alias("total_gross_profit"),
-        F.coalesce(F.sum("total_completed_orders"), F.lit(0)).alias("total_completed_orders"),
+    totals = _sliced_orders(
+        t,
+        by,
+        {
+            "total_sales": F.sum("total_amount"),
+            "total_gross_profit": F.sum("gross_profit"),
+            "total_completed_orders": F.count_if(F.col("order_status") == COMPLETED),
+        },
     )
     sales = F.col("total_sales")
     return totals.select(
@@ -123,47 +129,55 @@ def bi_prior_year_daily(t: RetailTables) -> DataFrame:
     )
 
 
-def bi_yoy_growth(t: RetailTables) -> DataFrame:
-    """Sales per month, the same month a year earlier, and the growth.
+def bi_yoy_growth(t: RetailTables, by: list[str] | None = None) -> DataFrame:
+    """Sales per month, the same month a year earlier, and the growth; over all orders, or
+    per slice of order or customer columns.
 
     The earlier month is found by its number, so a gap in the months is no matter.
     """
-    monthly = t.orders.groupBy(
-        month_number(F.col("order_date_only")).alias("month_no")
-    ).agg(F.sum("total_amount").alias("total_sales"))
-    year_ago = W.orderBy("month_no").rangeBetween(-12, -12)  # one row per month
+    by = by or []
+    month = month_number(F.col("order_date_only")).alias("month_no")
+    monthly = _sliced_orders(t, by, {"total_sales": F.sum("total_amount")}, month)
+    # one row per month and slice
+    year_ago = W.partitionBy(*by).orderBy("month_no").rangeBetween(-12, -12)
     sales, prior = F.col("total_sales"), F.col("sales_prior_year")
     return (
         monthly.withColumn("sales_prior_year", F.sum("total_sales").over(year_ago))
         .select(
+            *by,
             month_label(F.col("month_no")).alias("month"),
             "total_sales",
             "sales_prior_year",
             safe_divide(sales - prior, prior).alias("yoy_sales_growth"),
         )
-        .orderBy("month")
+        .orderBy(*by, "month")
     )
 
 
-def rolling_sales(t: RetailTables, days: int = 30) -> DataFrame:
-    """Sales of the ``days`` days up to each day of the calendar, sold on or not."""
-    # one row per day, written so that the calendar does not read the facts again
-    daily = materialize(
-        t.orders.groupBy(F.col("order_date_only").alias("date")).agg(
-            F.sum("total_amount").alias("sales")
-        ),
-        "daily",
-    )
-    trailing = W.orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)  # days only
+def rolling_sales(t: RetailTables, days: int = 30, by: list[str] | None = None) -> DataFrame:
+    """Sales of the ``days`` days up to each day of the calendar, sold on or not; over all
+    orders, or per slice of order or customer columns."""
+    by = by or []
+    # one row per day and slice, written so that the calendar does not read the facts again
+    date = F.col("order_date_only").alias("date")
+    daily = materialize(_sliced_orders(t, by, {"sales": F.sum("total_amount")}, date), "daily")
+    # days of a slice only
+    trailing = W.partitionBy(*by).orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)
+    if by:
+        span = daily.agg(F.min("date"), F.max("date")).first()
+        first, last = (F.lit(d).cast("date") for d in span)
+        dates = daily.select(*by).distinct().withColumn("date", F.explode(F.sequence(first, last)))
+    else:
+        dates = calendar(daily, "date")
     return (
-        calendar(daily, "date")
-        .join(daily, "date", "left")
+        dates.join(daily, [*by, "date"], "left")
         .select(
+            *by,
             "date",
             F.coalesce("sales", F.lit(0)).alias("total_sales"),
             F.coalesce(F.sum("sales").over(trailing), F.lit(0)).alias("rolling_sales"),
         )
-        .orderBy("date")
+        .orderBy(*by, "date")
     )
 
 
@@ -189,10 +203,17 @@ def bi_cohort_measures(t: RetailTables) -> DataFrame:
     )
 
 
-def bi_repeat_rate(t: RetailTables) -> DataFrame:
-    counts = t.orders.groupBy("customer_id").agg(F.count("*").alias("n"))
+def bi_repeat_rate(t: RetailTables, by: list[str] | None = None) -> DataFrame:
+    """Customers with more than one order, over all orders or within each slice of order
+    or customer columns."""
+    by = by or []
+    of_order = [c for c in by if c in t.orders.columns]
+    of_customer = [c for c in by if c not in of_order]
+    counts = t.orders.groupBy("customer_id", *of_order).agg(F.count("*").alias("n"))
+    if of_customer:
+        counts = counts.join(t.customer_attributes.select("customer_id", *of_customer), "customer_id")
     repeat = F.count_if(F.col("n") > 1)
-    return counts.agg(
+    return counts.groupBy(*by).agg(
         repeat.alias("repeat_customers"),
         F.count("*").alias("total_customers"),
         safe_divide(repeat, F.count("*")).alias("repeat_customer_rate"),

@@ -89,8 +89,11 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "bi_prior_year_daily": bi.bi_prior_year_daily,
     "bi_yoy_growth": bi.bi_yoy_growth,
     "bi_rolling_30d": bi.rolling_sales,
+    "bi_yoy_growth_by_region": lambda t: bi.bi_yoy_growth(t, ["region"]),
+    "bi_rolling_30d_by_status": lambda t: bi.rolling_sales(t, by=["region", "order_status"]),
     "bi_cohort_measures": bi.bi_cohort_measures,
     "bi_repeat_rate": bi.bi_repeat_rate,
+    "bi_repeat_rate_by_slice": lambda t: bi.bi_repeat_rate(t, ["acquisition_channel", "order_status"]),
     "lod_customer_fields": bi.lod_customer_fields,
     "rfm_threshold_segments": rfm.threshold_segments,
     "dashboard_payload": export.dashboard_payload,
@@ -100,6 +103,7 @@ _ANALYSES: dict[str, Callable[[RetailTables], DataFrame]] = {
     "conditional_survival": lifecycle.conditional_survival,
     "repurchase_median": lifecycle.repurchase_median,
     "avg_month1_retention": cohort.avg_month1_retention,
+    "avg_month1_retention_all": cohort.avg_month1_retention_all,
     "dq_keys": quality.dq_keys,
     "date_dimension": lambda t: calendar(t.orders, "order_date_only"),
     "products_through_csv": export.products_through_csv,

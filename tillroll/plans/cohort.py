@@ -78,7 +78,8 @@ def cohort_retention_pivot(
 
 
 def avg_month1_retention(t: RetailTables) -> DataFrame:
-    """Month-1 retention over the cohorts that show it: mean of rates and pooled."""
+    """Month-1 retention over the cohorts that show it: mean of rates and pooled. Cohorts
+    without a month 1 are left out, see ``avg_month1_retention_all``."""
     month1 = cohort_retention(t).where(F.col("month_offset") == 1)
     rate = F.col("retention_rate_pct").cast("decimal(10,2)")
     return month1.agg(
@@ -88,3 +89,20 @@ def avg_month1_retention(t: RetailTables) -> DataFrame:
             "pooled_retention_pct"
         ),
     )
+
+
+def avg_month1_retention_all(t: RetailTables, status: str = COMPLETED) -> DataFrame:
+    """The same over every cohort old enough to have a month 1: one that nobody came back
+    in counts as 0. Old enough are the cohorts before the last month with an order."""
+    activity = _cohort_activity(t, status)
+    at = lambda k: F.coalesce(F.sum(F.when(F.col("offset") == k, F.col("active"))), F.lit(0))
+    last = F.max(F.col("cohort_no") + F.col("offset"))
+    cohorts = activity.groupBy("cohort_no").agg(at(0).alias("size"), at(1).alias("back"), last.alias("until"))
+    # one row per cohort
+    old = cohorts.withColumn("last", F.max("until").over(W.partitionBy())).where("cohort_no < last")
+    rate = pct(F.col("back"), F.col("size"), 2).cast("decimal(10,2)")
+    return old.agg(
+        F.count("*").alias("cohorts"),
+        mean(F.sum(rate), F.count("*"), 2).alias("avg_retention_pct"),
+        pct(F.sum("back"), F.sum("size"), 2).alias("pooled_retention_pct"),
+    )
