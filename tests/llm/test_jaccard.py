@@ -2,11 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import jaccard, queries
 from tillroll.llm.components import components
-from tests.llm.tables import ODD_TEXTS, docs_of, rows_by_id
+from tests.llm.tables import DOCS, ODD_TEXTS, docs_of, rows_by_id
 
 
 def shingles(text):
@@ -123,3 +124,60 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long"))
     want = {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7} | {k: 20 for k in range(20, 51)}
     assert {r.id: r.label for r in got.collect()} == want
+
+
+def _edited(rng, words, n):
+    """Copies with ``n`` words changed each at places of their own."""
+    out = list(words)
+    for k in rng.sample(range(len(words)), n):
+        out[k] = f"x{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_a_large_group_on_both_sides_of_the_threshold(spark, monkeypatch, block):
+    """Copies of one text, some within 0.9 of each other and most a little beyond."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PAIR_BATCH", 7)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(150)]
+    texts = [_edited(rng, words, rng.choice([1, 2, 3, 4])) for _ in range(60)]
+    got = rows_by_id(jaccard.jaccard_components(docs_of(spark, texts)))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert [got[i]["component_id"] for i in range(len(texts))] == label
+    assert 1 < len(set(label)) < len(texts)
+
+
+def test_runs_of_a_stream():
+    import pyarrow as pa
+
+    keys = [1] * 3 + [2] + [3] * 9 + [4] * 2 + [5]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(keys[i : i + 4]), pa.array(range(i, min(i + 4, len(keys))))], ["k", "v"])
+        for i in range(0, len(keys), 4)
+    ]
+    found = [t.column("v").to_pylist() for t in jaccard.runs(iter(batches), ["k"])]
+    assert found == [[0, 1, 2], list(range(4, 13)), [13, 14]]
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    copy, near = " ".join(f"w{k}" for k in range(60)), " ".join(["other", *(f"w{k}" for k in range(1, 60))])
+    rows = [
+        (9, copy), (9, copy), (4, near), (None, copy), (None, None), (None, "lone text of its own here"),
+        (9, "another text under the same id"), (7, None), (7, ""), (None, "lone text of its own here"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one_of_each(docs).collect()]
+    expected = [(4, near), (None, None), (None, "lone text of its own here"), (9, "another text under the same id")]
+    sevens = [k for k in kept if k[0] == 7]
+    assert len(sevens) == 1 and not sevens[0][1]
+    assert sorted(map(str, (k for k in kept if k[0] != 7))) == sorted(map(str, expected))
+    plain = docs_of(spark, [copy, copy, near, None, None, "a", "a"])
+    assert sorted(r.doc_id for r in jaccard.keep_one_of_each(plain).collect()) == [0, 3, 4, 5]

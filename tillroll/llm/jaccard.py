@@ -11,8 +11,8 @@ The order puts long shingles first, since they are rare, and pivots that turn ou
 held by many documents last (which moves documents that share a common passage into
 smaller regions). Within a region documents first meet a hub: those within the threshold
 form one component, and need no comparison with each other. Further hubs are tried for
-the rest, and what still lies in regions of several components is compared pair by
-pair, across components only.
+the rest, and regions that still hold several components are cut into blocks, every two of
+which are compared inside a task, across components only.
 
 A set's profile counts its shingles in ``CLASSES`` hash classes. Two profiles differ by
 no more than the sets do (the triangle inequality again, for the classes as pivots), so
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.llm import textbytes as tb
@@ -46,6 +47,9 @@ HUB_ROUNDS = 2
 #: In a round a document meets the hubs of about one in so many of its regions.
 HUB_SHARE = 6
 CLASSES = 96
+#: Documents of a region in one block, rows of a block and pairs that are compared at a time.
+BLOCK = 1024
+PAIR_ROWS, PAIR_BATCH = 128, 1 << 15
 
 
 class Sets:
@@ -316,36 +320,105 @@ def _hub_pairs(met: DataFrame, profiles: DataFrame, percent: int, turn: int) ->
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def _rest_pairs(open_regions: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one region and different components; the region's largest component meets
-    only the documents outside it.
+def _survivors(left, right, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in left, in right) of the pairs that no bound rules out.
 
-    A pair within the threshold shares no pivot before its first region, so there neither
-    has passed more pivots than the sets may differ in; other rows of a pair are dropped.
+    A side is (doc, n, at, label, profile rows). A pair within the threshold shares no pivot
+    before its first region, so there neither has passed more pivots than the sets may
+    differ in; and profiles differ by no more than the sets.
     """
-    sizes = open_regions.groupBy("pivot", "label").agg(F.count("*").alias("members"))
-    major = sizes.groupBy("pivot").agg(F.max(F.struct("members", "label")).getField("label").alias("major"))
-    known = open_regions.join(major, "pivot")
-    minor = known.where("label <> major").select(
-        "pivot", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ia"), "major"
-    )
-    other = open_regions.select(
-        "pivot", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("at").alias("ib")
-    )
-    return (
-        minor.join(other, "pivot")
-        .where(
-            (F.col("la") != F.col("lb"))
-            & _sizes_fit("na", "nb", percent)
-            & (
-                (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-                >= percent * (F.col("na") + F.col("nb"))
-            )
-            & ((F.col("lb") == F.col("major")) | (F.col("a") < F.col("b")))
-        )
-        .select("a", "b")
-        .distinct()
-    )
+    doc, n, at, label, profile = left
+    doc2, n2, at2, label2, profile2 = right
+    kept = []
+    for k in range(0, len(doc), PAIR_ROWS):
+        here = slice(k, k + PAIR_ROWS)
+        total = n[here, None] + n2[None]
+        fits = label[here, None] != label2[None]
+        fits &= (100 * n[here, None] >= percent * n2[None]) & (100 * n2[None] >= percent * n[here, None])
+        rest = np.minimum((n - at)[here, None], (n2 - at2)[None])
+        fits &= (100 + percent) * rest >= percent * total
+        if same:
+            fits &= doc[here, None] < doc2[None]
+        a, b = np.nonzero(fits)
+        for lo in range(0, len(a), PAIR_BATCH):
+            x, y = a[lo : lo + PAIR_BATCH], b[lo : lo + PAIR_BATCH]
+            p, q = profile[here][x], profile2[y]
+            gap = (np.maximum(p, q) - np.minimum(p, q)).sum(1, dtype=np.int64)
+            shared = -(-percent * total[x, y] // (100 + percent))
+            near = gap <= total[x, y] - 2 * shared
+            kept.append((x[near] + k, y[near]))
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
+
+
+def _rest_pairs(open_regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one region and different components that may be within the
+    threshold.
+
+    A region is dealt into blocks of about ``BLOCK`` documents, and every two of its blocks are
+    compared in a task of their own: the pairs of a region are never rows, only those that
+    the bounds leave are.
+    """
+    sizes = open_regions.groupBy("pivot").agg(F.count("*").alias("docs"))
+    rows = open_regions.join(sizes, "pivot").join(profiles.select("doc", "profile"), "doc")
+    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), blocks.cast("bigint")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = ["pivot", "i", "j"]
+    rows = rows.select(
+        "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "doc", "n", "at", "label", "profile",
+    )
+
+    def side(table: pa.Table):
+        column = lambda c: table.column(c).to_numpy()
+        data = b"".join(table.column("profile").to_pylist())
+        profile = np.frombuffer(data, np.uint8).reshape(-1, CLASSES)
+        return column("doc"), column("n"), column("at"), column("label"), profile
+
+    def compared(table: pa.Table):
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            left = right = side(table)
+            same = True
+        else:
+            first = pc.equal(table.column("own"), table.column("i"))
+            left, right, same = side(table.filter(first)), side(table.filter(pc.invert(first))), False
+        x, y = _survivors(left, right, percent, same)
+        return left[0][x], right[0][y]
+
+    def pairs(batches):
+        for table in runs(batches, cell):
+            a, b = compared(table)
+            if len(a):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
+                )
+
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def runs(batches, keys: list[str]):
+    """Tables of equal keys from a stream sorted by them, however batches cut it."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        columns = [table.column(k).to_numpy() for k in keys]
+        change = np.zeros(table.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo > 1:
+                yield table.slice(lo, hi - lo)
+        held = table.slice(cuts[-1]).combine_chunks()
+    if held is not None and held.num_rows > 1:
+        yield held
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -395,8 +468,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
         pairs = materialize(_hub_pairs(met, profiles, percent, turn), "pairs")
         links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
         still = _labelled(still.select("pivot", "doc", "n", "at"), links)
-    pairs = _near(_rest_pairs(still, percent), profiles, percent).select("a", "b")
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_rest_pairs(still, profiles, percent), "pairs")
     links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
     labels = components(links).select(F.col("id").alias("doc"), "label")
     named = classes.select("sig1", "sig2", "n", "doc").join(labels, "doc", "left")
@@ -409,8 +481,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
-    """The documents that name their component, with their columns. Rows without a doc_id
-    cannot be told apart and all stay."""
-    kept = jaccard_components(docs, percent, width).where("doc_id = component_id").select("doc_id")
+    """One row of each component, that of the least doc_id, with its columns.
+
+    Rows without a doc_id come last in their component. Where ids repeat or are missing,
+    rows are numbered (and stored) and take part as rows; equal rows are one component
+    like any copies. Texts without a word link with nothing and stay, except that rows of
+    one doc_id and no word are kept once.
+    """
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return rows.join(kept.distinct(), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if not odd.limit(1).count():
+        kept = jaccard_components(rows, percent, width).where("doc_id = component_id").select("doc_id")
+        return rows.join(kept, "doc_id", "left_semi")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), percent, width)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"), (F.col("n_shingles") > 0).alias("worded"))
+    named = rows.select("row", "doc_id").join(found, "row")
+    # Wordless rows of one doc_id are one, whatever their row.
+    alone = ~F.col("worded") & F.col("doc_id").isNotNull()
+    group = [F.when(~alone, F.col("of")).alias("of"), F.when(alone, F.col("doc_id")).alias("id")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row"))
+    kept = named.groupBy(*group).agg(first.getField("row").alias("row"))
+    return rows.join(kept.select("row"), "row", "left_semi").drop("row")
