@@ -116,7 +116,7 @@ def test_keep_one_of_each(spark):
     kept = jaccard.keep_one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4]
     unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") < 2, F.col("doc_id")))
-    assert jaccard.keep_one_of_each(unnamed).count() == 5
+    assert jaccard.keep_one_of_each(unnamed).count() == 4  # a copy without a doc_id is a copy
 
 
 def test_components(spark):

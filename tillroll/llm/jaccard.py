@@ -27,6 +27,8 @@ a doc_id are one document with the links of all of them; extra columns are ignor
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillroll.llm import textbytes as tb
 from tillroll.llm.components import components
-from tillroll.operators.scratch import materialize
+from tillroll.operators.scratch import materialize, scratch_path
 
 WORDS = 3
 PERCENT = 90
@@ -47,6 +49,8 @@ HUB_ROUNDS = 2
 #: In a round a document meets the hubs of about one in so many of its regions.
 HUB_SHARE = 6
 CLASSES = 96
+#: Pairs of a hub that are verified together.
+HUB_PART = 256
 #: Documents of a region in one block, rows of a block and pairs that are compared at a time.
 BLOCK = 1024
 PAIR_ROWS, PAIR_BATCH = 128, 1 << 15
@@ -221,36 +225,52 @@ def _regions(
     return materialize(regions.join(shared, "pivot", "left_semi"), "regions")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _stored_texts(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """(id, text) of the documents that ``ids`` names, stored in buckets of the id, and the
+    name of that table. Joins on the id then move the other side only; texts move once."""
+    spark = docs.sparkSession
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    name = f"tillroll_texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = named.join(ids, "id", "left_semi")
+    wanted.write.bucketBy(buckets, "id").sortBy("id").option("path", scratch_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name), name
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose sets are within the threshold.
 
-    Texts move, not sets, since they compress; rows arrive together by b, so the set of a
-    hub is made once for the rows of its batch.
+    Texts move, not sets, since they compress. The pairs of a hub b are dealt into parts
+    of about ``HUB_PART``; the hub's text moves once to each part, and is followed there by
+    the texts of its a.
     """
 
     def compare(batches):
+        hub = None
         for batch in batches:
-            a, b = np.asarray(tb.column(batch, "a")), np.asarray(tb.column(batch, "b"))
-            keep = np.zeros(len(a), bool)
-            data, offsets = tb.buffers(tb.column(batch, "x"))
-            hubs = tb.column(batch, "y")
-            last, hub = None, None
+            a, b = tb.column(batch, "a"), np.asarray(tb.column(batch, "b"))
+            is_hub = np.asarray(a.is_null())
+            keep = np.zeros(batch.num_rows, bool)
+            data, offsets = tb.buffers(tb.column(batch, "text"))
             for lo, hi in tb.row_slices(offsets):
                 sets = Sets(tb.Texts(data, offsets[lo : hi + 1]), width)
                 for k in range(lo, hi):
-                    if last != b[k]:
-                        last, hub = b[k], Sets(tb.Texts(*tb.buffers(hubs.slice(k, 1))), width).key
                     own = sets.key[sets.first[k - lo] : sets.first[k - lo + 1]]
+                    if is_hub[k]:  # comes before the others of its part
+                        hub = own.copy()
+                        continue
                     shared = int(_in_sorted(own, hub).sum())
                     keep[k] = shared > 0 and 100 * shared >= percent * (len(own) + len(hub) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([a, pa.array(b)], ["a", "b"]).filter(pa.array(keep))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
-    )
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PART).alias("parts"))
+    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    of = lambda x: texts.select(F.col("id").alias(x), "text")
+    rows = dealt.join(of("a"), "a").select("b", "part", "a", "text")
+    hubs = dealt.select("b", "part").distinct().join(of("b"), "b")
+    rows = rows.unionByName(hubs.select("b", "part", F.lit(None).cast("long").alias("a"), "text"))
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long")
 
 
 def _labelled(regions: DataFrame, links: DataFrame) -> DataFrame:
@@ -458,18 +478,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
     )
     regions = materialize(regions.join(hubs, "pivot"), "regions")
 
+    # Only documents that share a region are ever read again.
+    texts, name = _stored_texts(docs, regions.select(F.col("doc").alias("id")).distinct())
     pairs = materialize(_hub_pairs(regions, profiles, percent, 0), "pairs")
-    links = materialize(_verify(pairs, docs, percent, width), "found")
+    links = materialize(_verify(pairs, texts, percent, width), "found")
     still = _labelled(regions.select("pivot", "doc", "n", "at"), links)
     for turn in range(1, HUB_ROUNDS):
         hubs = still.groupBy("pivot").agg(_hub("label", turn).alias("h"))
         met = still.join(hubs, "pivot").where(F.col("label") != F.col("h.label"))
         met = met.select("pivot", "doc", "n", F.col("h.doc").alias("hub"))
         pairs = materialize(_hub_pairs(met, profiles, percent, turn), "pairs")
-        links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
+        links = links.unionByName(materialize(_verify(pairs, texts, percent, width), "found"))
         still = _labelled(still.select("pivot", "doc", "n", "at"), links)
     pairs = materialize(_rest_pairs(still, profiles, percent), "pairs")
-    links = links.unionByName(materialize(_verify(pairs, docs, percent, width), "found"))
+    links = links.unionByName(materialize(_verify(pairs, texts, percent, width), "found"))
+    spark.sql(f"DROP TABLE {name}")
     labels = components(links).select(F.col("id").alias("doc"), "label")
     named = classes.select("sig1", "sig2", "n", "doc").join(labels, "doc", "left")
     named = named.select("sig1", "sig2", "n", F.coalesce("label", "doc").alias("component"))
