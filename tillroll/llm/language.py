@@ -15,12 +15,13 @@ doc_id are predicted but not learned from; without any learnable row everything
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tillroll.llm import textbytes as tb
 
@@ -31,8 +32,6 @@ CENTROIDS = 3
 #: Centroids are fitted on at most so many rows of a language (least hash of doc_id);
 #: document frequencies count all learnable rows.
 SAMPLE_PER_LANGUAGE = 400
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGUAGES = 200
 FOLDS = 5
 REJECT_SHARE = 0.5
 
@@ -95,14 +94,20 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def letter_slices(column) -> Iterator[tuple[int, int, tb.Texts, np.ndarray]]:
+    """Slices of a column as ``letter_texts``: first row, end, texts, which have a letter."""
+    _, offsets = tb.buffers(column)
+    for lo, hi in tb.row_slices(offsets):
+        data, bounds, lettered = letter_texts(column.slice(lo, hi - lo))
+        yield lo, hi, tb.Texts(data, bounds), lettered
+
+
 def _frequencies(batches):
     """Per partition, in how many rows each bucket occurs, as one row of chunks."""
     total, rows = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        data, offsets, _ = letter_texts(tb.column(batch, "text"))
-        for lo, hi in tb.row_slices(offsets):
-            counts = gram_counts(tb.Texts(data, offsets[lo : hi + 1]))
-            total += (counts > 0).sum(0)
+        for lo, hi, texts, _ in letter_slices(tb.column(batch, "text")):
+            total += (gram_counts(texts) > 0).sum(0)
             rows += hi - lo
     if rows:
         yield pa.RecordBatch.from_arrays(
@@ -113,15 +118,13 @@ def _frequencies(batches):
 
 def _sample_counts(batches):
     for batch in batches:
-        data, offsets, lettered = letter_texts(tb.column(batch, "text"))
         lang = tb.column(batch, "lang")
-        for lo, hi in tb.row_slices(offsets):
-            counts = gram_counts(tb.Texts(data, offsets[lo : hi + 1]))
-            packed = [np.minimum(c, 65504).astype(np.float16).tobytes() for c in counts]
+        for lo, hi, texts, lettered in letter_slices(tb.column(batch, "text")):
+            packed = [np.minimum(c, 65504).astype(np.float16).tobytes() for c in gram_counts(texts)]
             part = pa.RecordBatch.from_arrays(
                 [lang.slice(lo, hi - lo), pa.array(packed, pa.binary())], ["lang", "x"]
             )
-            yield part.filter(pa.array(lettered[lo:hi]))
+            yield part.filter(pa.array(lettered))
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -141,16 +144,32 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _learn_one(sample: pa.Table, idf: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """A language's centroids, and the least cosines usual for texts of each length."""
+    counts = np.stack([np.frombuffer(b, np.float16) for b in sorted(sample.column("x").to_pylist())])
+    counts = counts.astype(np.float32)
+    centroids = np.stack(cluster(vectors(counts, idf), CENTROIDS)).astype(np.float32)
+    # The distance at which a text is rejected, by its length: cosines of cut training texts.
+    least, rng = [], np.random.default_rng(0)
+    for grams in (*LENGTHS, None):
+        part = counts
+        if grams is not None:
+            share = np.minimum(1, grams / np.maximum(counts.sum(1, keepdims=True), 1))
+            part = rng.poisson(counts * share).astype(np.float32)
+            part = part[part.sum(1) > 0]
+        best = (vectors(part, idf) @ centroids.T).max(1) if len(part) else np.zeros(1)
+        least.append(float(np.quantile(best, 0.01)))
+    return centroids, least
+
+
 def train_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
+    """Centroids are fitted in one task per language, on at most ``per_language`` of its rows;
+    the driver gets the centroids, three vectors a language."""
     learn = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull()
         & F.col("doc_id").isNotNull()
         & (fold(F.col("doc_id"), FOLDS) != 0)
     )
-    counted = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in counted.collect())
-    if not languages:
-        return None
     frequency = dict(
         learn.select("text")
         .mapInArrow(_frequencies, "bucket long, n long")
@@ -158,49 +177,35 @@ def train_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
         .agg(F.sum("n").alias("n"))
         .collect()
     )
+    if not frequency:
+        return None
     rows = frequency.pop(-1)
     df = np.array([frequency.get(b, 0) for b in range(BUCKETS)])
     idf = (np.log((1 + rows) / (1 + df)) + 0.1).astype(np.float32)
-    picked = None
-    ids = learn.select("doc_id", "lang")
-    for lang in languages:
-        part = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id")
-        part = part.limit(per_language).select(F.col("doc_id").alias("id"))
-        picked = part if picked is None else picked.unionByName(part)
-    # At most MAX_LANGUAGES * per_language ids are broadcast.
+
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # The rank limit also runs before the shuffle: so many ids of a language and map task.
+    picked = learn.select("doc_id", "lang").withColumn("place", F.row_number().over(first))
+    picked = picked.where(F.col("place") <= per_language).select(F.col("doc_id").alias("id"))
+    # At most per_language ids of each language are broadcast. Rows that repeat an id are
+    # limited once more.
     chosen = learn.join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("id"), "left_semi")
+    chosen = chosen.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
     sample = chosen.select("text", "lang").mapInArrow(_sample_counts, "lang string, x binary")
-    by_language: dict[str, list[bytes]] = {}
-    for r in sample.collect():
-        by_language.setdefault(r["lang"], []).append(r["x"])
-    owner, centroids, least = [], [], []
-    kept = sorted(set(languages) & set(by_language))
-    for j, lang in enumerate(kept):
-        counts = np.stack([np.frombuffer(b, np.float16) for b in sorted(by_language[lang])])
-        x = vectors(counts.astype(np.float32), idf)
-        for c in cluster(x, CENTROIDS):
-            owner.append(j)
-            centroids.append(c)
-    if not centroids:
+
+    def learned(table: pa.Table) -> pa.Table:
+        centroids, least = _learn_one(table, idf)
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "c": [centroids.tobytes()], "least": [least]})
+
+    fitted = sample.groupBy("lang").applyInArrow(learned, "lang string, c binary, least array<double>").collect()
+    if not fitted:
         return None
-    stacked = np.stack(centroids).astype(np.float32)
-    owner = np.array(owner)
-    # The distance at which a text is rejected, by its length: cosines of cut training texts.
-    for j, lang in enumerate(kept):
-        counts = np.stack([np.frombuffer(b, np.float16) for b in sorted(by_language[lang])])
-        counts = counts.astype(np.float32)
-        per_length = []
-        rng = np.random.default_rng(0)
-        for grams in (*LENGTHS, None):
-            part = counts
-            if grams is not None:
-                share = np.minimum(1, grams / np.maximum(counts.sum(1, keepdims=True), 1))
-                part = rng.poisson(counts * share).astype(np.float32)
-                part = part[part.sum(1) > 0]
-            best = (vectors(part, idf) @ stacked[owner == j].T).max(1) if len(part) else np.zeros(1)
-            per_length.append(float(np.quantile(best, 0.01)))
-        least.append(per_length)
-    return LanguageModel(idf, kept, owner, stacked, np.array(least))
+    fitted.sort(key=lambda r: r["lang"])
+    each = [np.frombuffer(r["c"], np.float32).reshape(-1, BUCKETS) for r in fitted]
+    owner = np.repeat(np.arange(len(each)), [len(c) for c in each])
+    return LanguageModel(
+        idf, [r["lang"] for r in fitted], owner, np.concatenate(each), np.array([r["least"] for r in fitted])
+    )
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None, *more: str) -> DataFrame:
@@ -208,18 +213,15 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, *more: str) -
 
     def rows(batches):
         for batch in batches:
-            data, offsets, lettered = letter_texts(tb.column(batch, "text"))
-            n = len(lettered)
+            n = batch.num_rows
             names = np.full(n, UNKNOWN, object)
             score, rejected = np.zeros(n), np.ones(n, bool)
-            for lo, hi in tb.row_slices(offsets) if model is not None else ():
-                texts = tb.Texts(data, offsets[lo : hi + 1])
+            for lo, hi, texts, use in letter_slices(tb.column(batch, "text")) if model is not None else ():
                 counts = gram_counts(texts)
                 cosine = vectors(counts, model.idf) @ model.centroids.T
                 best = cosine.argmax(1)
                 lang = model.owner[best]
                 length = np.searchsorted(LENGTHS, counts.sum(1))
-                use = lettered[lo:hi]
                 top = np.clip(cosine[np.arange(hi - lo), best], 0, 1)
                 names[lo:hi][use] = np.array(model.languages, object)[lang[use]]
                 score[lo:hi][use] = top[use]
@@ -232,7 +234,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, *more: str) -
                     pa.array(names, pa.string()),
                     pa.array(score),
                     pa.array(rejected),
-                    *(tb.column(batch, "_" + m) for m in more),
+                    *(tb.column(batch, m if m == "text" else "_" + m) for m in more),
                 ],
                 ["doc_id", "held_out", "lang_pred", "score", "rejected", *("_" + m for m in more)],
             )
@@ -243,7 +245,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, *more: str) -
         F.col("doc_id").cast("long"),
         "text",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"),
-        *(F.col(m).alias("_" + m) for m in more),
+        *(F.col(m).alias("_" + m) for m in more if m != "text"),
     ).mapInArrow(rows, schema)
 
 
