@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillroll.llm import textbytes as tb
 
-#: Words and whole chunks whose encoding a worker remembers; both are emptied when full.
-REMEMBERED = 250_000
+#: Words and whole chunks whose encoding a task remembers, and token pairs that a worker does;
+#: each is emptied when full, words and chunks at the end of the task as well.
+REMEMBERED, REMEMBERED_PAIRS = 250_000, 400_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -89,6 +90,11 @@ class Vocabulary:
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
 
+    def forget(self) -> None:
+        """Workers outlive tasks, which may be of other stages next."""
+        self.words.clear()
+        self.chunks.clear()
+
     @staticmethod
     def _symbols(text: str) -> list[str]:
         if text.endswith(_END):
@@ -120,7 +126,7 @@ class Vocabulary:
         if known is None:
             a, b = self.text_of[left], self.text_of[right]
             known = self.pairs[key] = self.merge(a + b) == [a, b]
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED_PAIRS:
                 self.pairs.clear()
         return known
 
@@ -243,6 +249,7 @@ def bpe_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        vocabulary.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, SCHEMA)
 
