@@ -340,8 +340,9 @@ def _hub_pairs(met: DataFrame, profiles: DataFrame, percent: int, turn: int) ->
     return best.select("a", F.col("best.b").alias("b"))
 
 
-def _survivors(left, right, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in left, in right) of the pairs that no bound rules out.
+def _survivors(left, right, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (in left, in right) of the pairs that no bound rules out, and how far their
+    profiles are apart.
 
     A side is (doc, n, at, label, profile rows). A pair within the threshold shares no pivot
     before its first region, so there neither has passed more pivots than the sets may
@@ -366,15 +367,15 @@ def _survivors(left, right, percent: int, same: bool) -> tuple[np.ndarray, np.nd
             gap = (np.maximum(p, q) - np.minimum(p, q)).sum(1, dtype=np.int64)
             shared = -(-percent * total[x, y] // (100 + percent))
             near = gap <= total[x, y] - 2 * shared
-            kept.append((x[near] + k, y[near]))
+            kept.append((x[near] + k, y[near], gap[near]))
     if not kept:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(column) for column in zip(*kept))
 
 
-def _rest_pairs(open_regions: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(open_regions: DataFrame, profiles: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """The pairs (a, b) of one region and different components that may be within the
-    threshold.
+    threshold; or, of these, for each document the one whose profile is ``nearest``.
 
     A region is dealt into blocks of about ``BLOCK`` documents, and every two of its blocks are
     compared in a task of their own: the pairs of a region are never rows, only those that
@@ -404,19 +405,30 @@ def _rest_pairs(open_regions: DataFrame, profiles: DataFrame, percent: int) -> D
         else:
             first = pc.equal(table.column("own"), table.column("i"))
             left, right, same = side(table.filter(first)), side(table.filter(pc.invert(first))), False
-        x, y = _survivors(left, right, percent, same)
-        return left[0][x], right[0][y]
+        x, y, gap = _survivors(left, right, percent, same)
+        return left[0][x], right[0][y], gap
 
     def pairs(batches):
         for table in runs(batches, cell):
-            a, b = compared(table)
+            a, b, gap = compared(table)
+            if nearest:  # for the documents of either side
+                a, b, gap = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((gap, gap))
+                order = np.lexsort((b, gap, a))
+                new = np.ones(len(a), bool)
+                new[1:] = np.diff(a[order]) != 0
+                first = order[new]
+                a, b, gap = a[first], b[first], gap[first]
+            else:
+                a, b = np.minimum(a, b), np.maximum(a, b)
             if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap)], ["a", "b", "gap"])
 
     dealt = rows.repartition(*cell).sortWithinPartitions(*cell)
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+    found = dealt.mapInArrow(pairs, "a long, b long, gap long")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("gap", "b")).getField("b").alias("b"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def runs(batches, keys: list[str]):
@@ -490,8 +502,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
         pairs = materialize(_hub_pairs(met, profiles, percent, turn), "pairs")
         links = links.unionByName(materialize(_verify(pairs, texts, percent, width), "found"))
         still = _labelled(still.select("pivot", "doc", "n", "at"), links)
-    pairs = materialize(_rest_pairs(still, profiles, percent), "pairs")
-    links = links.unionByName(materialize(_verify(pairs, texts, percent, width), "found"))
+    # First each document's nearest, which joins most components that can be joined.
+    for nearest in (True, False):
+        pairs = materialize(_rest_pairs(still, profiles, percent, nearest), "pairs")
+        links = links.unionByName(materialize(_verify(pairs, texts, percent, width), "found"))
+        if nearest:
+            still = _labelled(still.select("pivot", "doc", "n", "at"), links)
     spark.sql(f"DROP TABLE {name}")
     labels = components(links).select(F.col("id").alias("doc"), "label")
     named = classes.select("sig1", "sig2", "n", "doc").join(labels, "doc", "left")
