@@ -71,6 +71,68 @@ def test_query_on_held_out_labels(spark):
     assert right >= 0.95 * len(english)
 
 
+def plain_scores(model, text):
+    """The score of a text again: kernels by definition are tested above, here every window's
+    margin by the plain subsequence sum, and the larger of the machines' scores."""
+    best = 0.0
+    for m in model.machines:
+        margins = []
+        for chunk in tox.units_of(text or ""):
+            values = []
+            for w in tox._windows(tox.letters_of(chunk)):
+                value = m.bias
+                if len(w) >= tox.ORDER:
+                    code = tox.codes([w])[0]
+                    total = 0.0
+                    for at in combinations(range(len(w)), tox.ORDER):
+                        key = 0
+                        for i in at:
+                            key = key * tox._LETTERS + int(code[i])
+                        total += float(m.weights[key]) * tox.DECAY ** (at[-1] - at[0] + 1)
+                    value += total / np.sqrt(max(float(tox.self_kernel(code[None])[0]), 1e-12))
+                values.append(value)
+            margins.append(max(values))
+        least = min(m.bias, 0.0)
+        top = sorted(margins, reverse=True)[: tox.TOP]
+        top += [least] * (tox.TOP - len(top))
+        margin = max(a + b for a, b in zip(top, m.lifts))
+        best = max(best, 1 / (1 + np.exp(-np.clip(m.slope * margin + m.shift, -30, 30))))
+    return best
+
+
+def test_scores_against_brute_force(spark, model):
+    texts = ODD_TEXTS[:12] + ["you idiot and you moron", "x" * 40 + " idiot", "i d i o t", "a b c d e f g h"]
+    got = rows_by_id(tox.score_toxicity(docs_of(spark, texts), model))
+    for i, text in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(plain_scores(model, text), abs=1e-5), text
+
+
+def test_held_out_recall_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = rows_by_id(spark.read.parquet(f"{sf}/labels.parquet"))
+    langs = rows_by_id(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"))
+    got = rows_by_id(queries.op9_toxicity(spark, sf))
+    held = [i for i, r in got.items() if r["held_out"] and i in labels]
+    caught = lambda some: np.mean([got[i]["predicted"] for i in some])
+    of = lambda lang, toxic: [i for i in held if langs[i]["lang"] == lang and labels[i]["toxic"] == toxic]
+    for lang, recall, false in (("en", 0.9, 0.01), ("de", 0.8, 0.15), ("fr", 0.9, 0.15), ("es", 0.7, 0.1)):
+        assert caught(of(lang, 1)) >= recall and caught(of(lang, 0)) <= false, lang
+    assert caught([i for i in held if labels[i]["toxic"] == 1]) >= 0.9
+
+
+def test_a_repeated_id_does_not_widen_the_sample(spark):
+    docs = docs_of(spark, ["you idiot", "fine words"]).selectExpr("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(50)).drop("id"))
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    original, tox.train_bags = tox.train_bags, lambda bags, y: seen.append(list(y)) or None
+    try:
+        tox.train_toxicity(docs, labels, {0: 5, 1: 3})
+    finally:
+        tox.train_bags = original
+    assert sum(seen[0]) <= 3
+
+
 def test_no_labels(spark):
     labels = spark.createDataFrame([(None, 1, 1), (0, 1, None)], "doc_id long, quality int, toxic int")
     row = rows_by_id(tox.toxicity(docs_of(spark, ["x"]), labels))[0]

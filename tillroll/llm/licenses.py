@@ -194,6 +194,7 @@ def scan_text(text: str, machine: ahocorasick.Automaton) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
     places, base, labels, tagged = [], set(), set(), False
+    at = number = 0  # the word that starts at a place, counted on from the last match
     for end, (back, label, is_base) in machine.iter(joined):
         if label is None:
             tagged = True
@@ -201,7 +202,10 @@ def scan_text(text: str, machine: ahocorasick.Automaton) -> tuple:
         labels.add(label)
         if is_base:
             base.add(label)
-            places.append(joined.count(" ", 0, end - back))
+            start = end - back
+            step = joined.count(" ", at, start) if start >= at else -joined.count(" ", start, at)
+            at, number = start, number + step
+            places.append(number)
     expressions = [read_expression(m) for m in _TAG_LINE.findall(text)] if tagged else []
     for e in expressions:
         labels.update(e.labels)

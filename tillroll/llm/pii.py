@@ -12,8 +12,10 @@ repeated results.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -142,7 +144,7 @@ def _is_ip(text: str) -> bool:
 
 
 def _is_card(text: str) -> bool:
-    digits = [int(c) for c in text if c.isdigit()]
+    digits = [int(c) for c in text if c in "0123456789"]
     if not 13 <= len(digits) <= 19:
         return False
     doubled = [2 * d - 9 * (d > 4) for d in digits[-2::-2]]
@@ -167,7 +169,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def shape(word: str) -> str:
     """Letters and digits by kind with runs shortened; other characters as they are."""
     out, last = [], ""
-    for c in word[:48]:
+    for c in word:
+        if len(out) > 10:
+            break
         k = "0" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if c.isalpha() else c
         if k != last:
             out.append(k)
@@ -375,14 +379,29 @@ def find_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
             known[words] = field.potentials(list(words))
         potentials.append(known[words])
     added: list[list] = [[] for _ in texts]
+    taken = [Taken(spans) for spans in base]
     for (k, places), tags in zip(flat, field.viterbi(potentials)):
         if tags.any():
             for kind, a, b in tagged_spans(texts[k], places, tags):
-                if not any(a < y and x < b for _, x, y in base[k]):
+                # a number that no card can have is none, whatever stands around it
+                if (kind != "card" or _is_card(texts[k][a:b])) and not taken[k].overlaps(a, b):
                     added[k].append((kind, a, b))
     return list(zip(base, added))
 
 
+class Taken:
+    """Spans by start, with the furthest end so far: one look tells whether any overlaps."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.furthest = list(itertools.accumulate((b for _, b in ordered), max))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        before = bisect.bisect_left(self.starts, b)
+        return before > 0 and self.furthest[before - 1] > a
+
+
 def written(spans: list[tuple[str, int, int]]) -> str:
     ordered = sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in ordered)

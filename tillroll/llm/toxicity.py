@@ -7,11 +7,15 @@ with itself; an inserted or left-out letter only weakens it. Kernels with a few
 units, whitened, are the Nyström features of a linear SVM. It is trained on labelled sentences:
 those of a toxic text name the units that hold a letter piece far commoner in toxic
 texts, and clean texts are searched for their most suspicious units, round by round.
+A second machine is trained for the toxic texts that the first does not find: there each
+text names its own telling units, those commoner in toxic texts as a whole.
 Since a landmark has few subsequences, the trained machine is one weight per subsequence, which is how texts are
 scored: the same value, without a kernel per landmark.
 
-A text's margin is that of its most toxic unit; a logistic curve fitted on training
-texts that the machine did not see turns it into a score.
+A text's margin is that of its most toxic unit; for the second machine that of its second
+one, or of its third with what that many are worth more, since one unit that is no word of
+its own may stand in a clean text. A logistic curve, fitted on training texts that the machine did not
+see, turns it into a score, and a text has the larger of its two scores.
 
 Defined cases: null, empty and letterless texts have the least margin and so the least
 score; without labels of both kinds every score is 0; labels that are null or not 0/1
@@ -21,6 +25,7 @@ columns are ignored; repeated rows give repeated results.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -29,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tillroll.llm import textbytes as tb
 from tillroll.llm.language import fold
@@ -38,16 +43,21 @@ from tillroll.llm.quality import fit_platt
 FOLDS, HELD_OUT = 4, 2
 PREDICT_AT = 0.3
 DECAY = 0.6
-LANDMARKS = 128
+LANDMARKS = 192
 ROUNDS = 4
 #: Lengths of the letter pieces by which toxic texts name units, and how much commoner (as
 #: a logarithm) a piece must be in toxic texts: the first that half of the texts meet.
 PIECES = (4, 5)
 NAMED_ODDS = (3.5, 2.5, 1.5)
-#: At most so many clean and toxic labelled texts train the machine (least hash of
-#: doc_id), each with at most so many characters.
+#: For the second machine a unit is telling if so many toxic texts hold it, and it is so much
+#: commoner in them. Fewer missed texts than ``MISSED`` are no second machine's work.
+TELLING_TEXTS, TELLING_ODDS, MISSED = 3, 1.5, 8
+#: At most so many clean and toxic labelled texts train the machine (least hash of doc_id).
 SAMPLE = {0: 1600, 1: 800}
-SAMPLE_CHARS = 20_000
+#: So many of a text's most toxic units count, and what the third may be worth more.
+TOP = 3
+LIFTS = np.arange(0, 2.6, 0.25)
+NEVER = -1e9
 ORDER = 4
 WINDOW, STRIDE = 16, 8
 #: Units whose margin a worker remembers; emptied when full.
@@ -138,6 +148,7 @@ class ToxicModel:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    lifts: tuple[float, ...] = (0.0,) * TOP
 
     def margins(self, units: list[str]) -> np.ndarray:
         """Margin of each unit of at most WINDOW letters."""
@@ -149,10 +160,39 @@ class ToxicModel:
             out[at] += total / np.sqrt(np.maximum(self_kernel(code), 1e-12))
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
+    def top(self, margins) -> list[float]:
+        """The largest margins of a text's units, as if it had enough of the least."""
+        least = min(self.bias, 0.0)
+        found = heapq.nlargest(TOP, margins)
+        return found + [least] * (TOP - len(found))
+
+    def score(self, top: np.ndarray) -> np.ndarray:
+        """From rows of the largest margins."""
+        margin = (top + np.array(self.lifts)).max(1)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+@dataclass
+class Committee:
+    machines: list[ToxicModel]
+
+    def margins(self, units: list[str]) -> np.ndarray:
+        """A row per machine."""
+        out = np.array([[m.bias] * len(units) for m in self.machines])
+        for length, at, part in by_length(units):
+            code = codes(part)
+            index, decay = subsequences(length)
+            found, norm = keys(code, index), np.sqrt(np.maximum(self_kernel(code), 1e-12))
+            for row, m in zip(out, self.machines):
+                row[at] += m.weights[found] @ decay / norm
+        return out
+
+    def score(self, units: list[np.ndarray]) -> float:
+        """The score of a text from the margins of its units, an array per unit."""
+        each = zip(*units) if units else [()] * len(self.machines)
+        return max(float(m.score(np.array([m.top(row)]))[0]) for m, row in zip(self.machines, each))
+
+
 def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     """Scaled kernels of units and landmarks."""
     held = []
@@ -211,23 +251,51 @@ def collapse(landmarks: list[str], white: np.ndarray, w: np.ndarray, bias: float
     return ToxicModel(weights.astype(np.float32), bias)
 
 
-def bag(text: str) -> list[str]:
-    return sorted({w for c in units_of(text) for w in _windows(letters_of(c)) if len(w) >= ORDER})
+def bag(text: str) -> dict[str, int]:
+    """The units of a text and how often they occur, up to ``TOP``."""
+    counts = Counter(w for c in units_of(text) for w in _windows(letters_of(c)) if len(w) >= ORDER)
+    return {u: min(n, TOP) for u, n in sorted(counts.items())}
 
 
-def fit_bags(bags: list[list[str]], y: np.ndarray) -> ToxicModel:
-    toxic, clean = [b for b, v in zip(bags, y) if v], [b for b, v in zip(bags, y) if not v]
-    pieces_of = lambda b: {u[k : k + n] for u in b for n in PIECES for k in range(len(u) - n + 1)}
-    in_toxic, in_clean = (Counter(p for b in part for p in pieces_of(b)) for part in (toxic, clean))
-    odds = lambda p: np.log((in_toxic[p] + 0.1) / (in_clean[p] + 0.5))
+def _log_odds(toxic: int, clean: int) -> float:
+    return float(np.log((toxic + 0.1) / (clean + 0.5)))
+
+
+def _pieces(unit: str) -> set[str]:
+    return {unit[k : k + n] for n in PIECES for k in range(len(unit) - n + 1)}
+
+
+def named_by_pieces(toxic: list, clean: list) -> list[str]:
+    """Units of toxic texts that hold a telling piece, one entry per text."""
+    in_toxic, in_clean = (Counter(p for b in part for p in set().union(*map(_pieces, b))) for part in (toxic, clean))
+    names: list[list[str]] = []
     for least in NAMED_ODDS:
-        telling = {p for p in in_toxic if odds(p) >= least}
-        names = [[u for u in b if pieces_of([u]) & telling] for b in toxic]
+        telling = {p for p in in_toxic if _log_odds(in_toxic[p], in_clean[p]) >= least}
+        names = [[u for u in b if _pieces(u) & telling] for b in toxic]
         if 2 * sum(map(bool, names)) >= len(toxic):
             break
     named = [u for found in names for u in found]
-    if not named:  # too few texts to tell pieces apart
-        named = [u for b in toxic for u in b if pieces_of([u])]
+    # too few texts to tell pieces apart
+    return named or [u for b in toxic for u in b if _pieces(u)]
+
+
+def named_whole(toxic: list, clean: list) -> list[str]:
+    """Telling units of toxic texts, one entry per text."""
+    in_toxic, in_clean = (Counter(u for b in part for u in b) for part in (toxic, clean))
+    whole = {
+        u
+        for u, n in in_toxic.items()
+        if n >= TELLING_TEXTS and _log_odds(n, in_clean[u]) >= TELLING_ODDS
+    }
+    return [u for b in toxic for u in b if u in whole]
+
+
+def fit_bags(bags: list[dict[str, int]], y: np.ndarray, naming=named_by_pieces) -> ToxicModel | None:
+    """A machine for the units that ``naming`` finds in toxic texts, None if it finds none."""
+    toxic, clean = [b for b, v in zip(bags, y) if v], [b for b, v in zip(bags, y) if not v]
+    named = naming(toxic, clean)
+    if not named:
+        return None
     clean_units = Counter(u for b in clean for u in b)
     usual = [u for u, _ in sorted(clean_units.items(), key=lambda p: (-p[1], p[0]))[:500]]
     rng = np.random.default_rng(7)
@@ -259,7 +327,7 @@ def fit_bags(bags: list[list[str]], y: np.ndarray) -> ToxicModel:
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE
-) -> ToxicModel | None:
+) -> Committee | None:
     known = labels.select(
         F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")
     ).where((fold(F.col("id"), FOLDS) != HELD_OUT) & F.col("label").isin(0, 1))
@@ -267,33 +335,73 @@ def train_toxicity(
     for value, most in sample.items():
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    # The broadcast ids and the texts that reach the driver are bounded by ``sample``.
-    rows = (
-        docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, SAMPLE_CHARS).alias("part"))
-        .join(F.broadcast(picked), "id")
-        .where(F.length("part") > 0)
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["id"] * 2654435761 % 4294967296, r["id"], r["part"]))
+    # At most the ids of ``sample`` are broadcast. Whole texts become bags of units in the
+    # tasks, and rows that repeat an id are limited once more.
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id")
+    first = W.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    most = F.when(F.col("label") == 1, sample[1]).otherwise(sample[0])
+    rows = rows.where(F.length("text") > 0).withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    rows = rows.mapInArrow(_bags, "id long, label int, units array<string>, counts array<int>").collect()
+    rows.sort(key=lambda r: (r["id"] * 2654435761 % 4294967296, r["id"], r["units"], r["counts"]))
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    bags = [bag(r["part"]) for r in rows]
+    bags = [dict(zip(r["units"], r["counts"])) for r in rows]
+    return train_bags([dict(zip(r["units"], r["counts"])) for r in rows], y)
+
+
+def train_bags(bags: list[dict[str, int]], y: np.ndarray) -> Committee | None:
     held = np.arange(len(y)) % 4 == 3
     if not (0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum()):
         held = np.zeros(len(y), bool)
-    model = fit_bags([b for b, h in zip(bags, held) if not h], y[~held])
     check = held if held.any() else ~held
-    margin = np.array([
-        model.margins(b).max() if b else model.bias for b, c in zip(bags, check) if c
-    ])
-    model.slope, model.shift = fit_platt(margin, y[check].astype(float))
-    return model
-
-
-def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
+    some = lambda chosen: [b for b, c in zip(bags, chosen) if c]
+    tops = lambda model, part: np.array([model.top(np.repeat(model.margins(list(b)), list(b.values()))) for b in part])
+    first = fit_bags(some(~held), y[~held])
+    if first is None:
+        return None
+    calibrate(first, tops(first, some(check)), y[check].astype(float), [(0.0,) * TOP])
+    missed = (y == 0) | (first.score(tops(first, bags)) < PREDICT_AT)
+    if y[missed].sum() < MISSED or not y[missed & check].any():
+        return Committee([first])
+    second = fit_bags(some(missed & ~held), y[missed & ~held], named_whole)
+    if second is None:
+        return Committee([first])
+    worth = [(NEVER, 0.0, float(third)) for third in LIFTS]
+    calibrate(second, tops(second, some(missed & check)), y[missed & check].astype(float), worth)
+    return Committee([first, second])
+
+
+def calibrate(model: ToxicModel, top: np.ndarray, y: np.ndarray, worth: list[tuple]) -> None:
+    """Choose what a first, second and third unit are worth, among ``worth``, and the logistic
+    curve, by least loss."""
+    best = np.inf
+    for lifts in worth:
+        margin = (top + np.array(lifts)).max(1)
+        slope, shift = fit_platt(margin, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30))), 1e-6, 1 - 1e-6)
+        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        if loss < best - 1e-9:
+            best, model.lifts, model.slope, model.shift = loss, lifts, slope, shift
+
+
+def _bags(batches):
+    for batch in batches:
+        bags = [bag(t) for t in tb.column(batch, "text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                tb.column(batch, "id").cast(pa.int64()),
+                tb.column(batch, "label"),
+                pa.array([list(b) for b in bags], pa.list_(pa.string())),
+                pa.array([list(b.values()) for b in bags], pa.list_(pa.int32())),
+            ],
+            ["id", "label", "units", "counts"],
+        )
+
+
+def score_toxicity(docs: DataFrame, model: Committee | None) -> DataFrame:
     def rows(batches):
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, ...]] = {}
         for batch in batches:
             ids, held = tb.column(batch, "doc_id"), tb.column(batch, "held_out")
             texts = tb.column(batch, "text")
@@ -310,13 +418,11 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None) -> DataFrame:
                         for w in _windows(letters_of(chunk)):
                             windows.append(w)
                             owner.append(k)
-                    best = np.full(len(new), -np.inf)
-                    np.maximum.at(best, owner, model.margins(windows))
-                    known.update(zip(new, best.tolist()))
-                    least = min(model.bias, 0.0)
-                    score = model.score(
-                        np.array([max(map(known.__getitem__, u), default=least) for u in part])
-                    )
+                    best = np.full((len(model.machines), len(new)), -np.inf)
+                    for row, margin in zip(best, model.margins(windows)):
+                        np.maximum.at(row, owner, margin)
+                    known.update(zip(new, zip(*best.tolist())))
+                    score = np.array([model.score([known[c] for c in u]) for u in part])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, 256),
