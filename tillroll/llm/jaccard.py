@@ -225,14 +225,15 @@ def _regions(
     return materialize(regions.join(shared, "pivot", "left_semi"), "regions")
 
 
-def _stored_texts(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+def stored_texts(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
     """(id, text) of the documents that ``ids`` names, stored in buckets of the id, and the
     name of that table. Joins on the id then move the other side only; texts move once."""
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     name = f"tillroll_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = named.join(ids, "id", "left_semi")
+    # Dealt by id first, so that a bucket is one file.
+    wanted = named.repartition(buckets, "id").join(ids, "id", "left_semi")
     wanted.write.bucketBy(buckets, "id").sortBy("id").option("path", scratch_path(spark, "texts")).saveAsTable(name)
     return spark.table(name), name
 
@@ -491,7 +492,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
     regions = materialize(regions.join(hubs, "pivot"), "regions")
 
     # Only documents that share a region are ever read again.
-    texts, name = _stored_texts(docs, regions.select(F.col("doc").alias("id")).distinct())
+    texts, name = stored_texts(docs, regions.select(F.col("doc").alias("id")).distinct())
     pairs = materialize(_hub_pairs(regions, profiles, percent, 0), "pairs")
     links = materialize(_verify(pairs, texts, percent, width), "found")
     still = _labelled(regions.select("pivot", "doc", "n", "at"), links)
