@@ -223,10 +223,12 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def bpe_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+def bpe_digests(docs: DataFrame, vocabulary_path: str, keep_tables: bool = True) -> DataFrame:
     """Token counts and digests of ids and decoded text, one row per document.
 
     The file is read once by the driver and broadcast (a few MB, whatever the corpus).
+    Workers outlive tasks: with ``keep_tables`` the next task finds the vocabulary's tables,
+    else they leave the memory to whatever runs next.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -250,6 +252,8 @@ def bpe_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         vocabulary.forget()
+        if not keep_tables:
+            _loaded.cache_clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, SCHEMA)
 
