@@ -38,7 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(docs, public_tokenizers.path(VOCABULARY))
+    # The workers serve all stages.
+    return bpe.bpe_digests(docs, public_tokenizers.path(VOCABULARY), keep_tables=False)
 
 
 STAGES = [
