@@ -234,7 +234,8 @@ def stored_texts(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by id first, so that a bucket is one file.
     wanted = named.repartition(buckets, "id").join(ids, "id", "left_semi")
-    wanted.write.bucketBy(buckets, "id").sortBy("id").option("path", scratch_path(spark, "texts")).saveAsTable(name)
+    written = wanted.write.bucketBy(buckets, "id").sortBy("id").option("compression", "zstd")
+    written.option("path", scratch_path(spark, "texts")).saveAsTable(name)
     return spark.table(name), name
 
 
