@@ -181,3 +181,23 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     assert sorted(map(str, (k for k in kept if k[0] != 7))) == sorted(map(str, expected))
     plain = docs_of(spark, [copy, copy, near, None, None, "a", "a"])
     assert sorted(r.doc_id for r in jaccard.keep_one_of_each(plain).collect()) == [0, 3, 4, 5]
+
+
+def test_links_fall_from_round_to_round(spark, monkeypatch):
+    """The rounds together read few times the links, also of long paths."""
+    from tillroll.llm import components as module
+
+    sizes, write = [], module.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "materialize", counted)
+    n = 400
+    rows = components(spark.createDataFrame([(k, k + 1) for k in range(n)] + [(n, -5), (1000, 1001)], "a long, b long"))
+    assert {r.id: r.label for r in rows.collect()} == {k: -5 for k in [-5, *range(n + 1)]} | {1000: 1000, 1001: 1000}
+    links = [size for label, size in sizes if label == "links"]
+    assert links[0] == n + 2 and links[-1] == 0 and all(a > b for a, b in zip(links, links[1:]))
+    assert sum(links) < 4 * links[0]
